@@ -31,7 +31,7 @@ def headline(title: Column | str, body: Column | str) -> Column:
 
 def label_tokens(label: Column | str) -> Column:
     """Distinct lower-case words of a label, letters of any script included."""
-    words = F.regexp_extract_all(F.lower(_col(label)), F.lit(r"(?U)\w+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(_col(label)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return F.array_distinct(words)
 
 
@@ -62,7 +62,7 @@ def title_case(text: Column | str) -> Column:
 
 def clean_label(raw: Column | str) -> Column:
     """Tidy a label written by someone else: trim, drop stars, quotes and later lines, cap at 50."""
-    text = F.regexp_replace(_col(raw), r"(?U)^\s+|\s+\z", "")
+    text = F.regexp_replace(_col(raw), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     text = F.replace(text, F.lit("*"), F.lit(""))
     text = F.regexp_replace(text, r"^[\"']+|[\"']+\z", "")
     line = F.split_part(text, F.lit("\n"), F.lit(1))

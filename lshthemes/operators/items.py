@@ -54,7 +54,20 @@ def sample_items(items: DataFrame, n: int) -> DataFrame:
     The rank filter also runs before the shuffle, so each task sends at most ``n`` rows per bucket.
     """
     first = Window.partitionBy("bucket_id").orderBy(*_order(items))
-    return items.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= n)
+    sampled = items.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= n)
+    return sampled.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def present_entries(
+    index: DataFrame,
+    corpus: DataFrame,
+    buckets: DataFrame | Iterable[int] | None = None,
+    bits: int | None = None,
+) -> DataFrame:
+    """Entries that have a corpus row. Only row ids are shuffled, no text."""
+    keys = identity(index, corpus)
+    entries = in_buckets(index, buckets, bits).select("bucket_id", *keys)
+    return entries.join(corpus.select(*keys), keys, "left_semi")
 
 
 def sample_bucket_items(
@@ -71,9 +84,7 @@ def sample_bucket_items(
     fetched for the sampled rows alone. ``max_buckets`` is how many buckets there can be, if known.
     """
     keys = identity(index, corpus)
-    entries = in_buckets(index, buckets, bits).select("bucket_id", *keys)
-    present = entries.join(corpus.select(*keys), keys, "left_semi")
-    sample = sample_items(present, n)
+    sample = sample_items(present_entries(index, corpus, buckets, bits), n)
     if max_buckets is not None and max_buckets * n <= BROADCAST_ROWS:
         sample = F.broadcast(sample)
     return corpus.join(sample, keys).select(

@@ -59,7 +59,10 @@ def keyword_counts(
     )
     words = F.array(*[F.lit(w) for w in lexicon])
     return texts.select("bucket_id", "text", F.posexplode(words).alias("keyword_pos", "keyword")).select(
-        "bucket_id", "keyword_pos", "keyword", substring_count(F.col("text"), F.col("keyword")).alias("n")
+        "bucket_id",
+        "keyword_pos",
+        "keyword",
+        substring_count(F.col("text"), F.col("keyword")).alias("n"),
     )
 
 

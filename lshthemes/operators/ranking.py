@@ -71,10 +71,10 @@ class Best:
         self.rows: pa.Table | None = None
 
     def offer(self, found: pa.Table) -> None:
-        """``found`` has the columns query, rank_key, row_id (and file_path), then what is carried."""
+        """``found`` has the columns query, similarity, row_id (and file_path), then what is carried."""
         table = found if self.rows is None else pa.concat_tables([self.rows, found])
         query = table["query"].to_numpy()
-        key = table["rank_key"].to_numpy()
+        key = np.round(table["similarity"].to_numpy(), RANK_DIGITS)
         ties = [table["row_id"].to_numpy()]
         if "file_path" in table.column_names:
             paths = table["file_path"].to_pandas().fillna("")
@@ -90,13 +90,13 @@ class Best:
 def _scores(x: np.ndarray, norms: np.ndarray, block: QueryBlock, q: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
         scores = (x @ block.vectors[q].T) / (norms[:, None] * block.norms[q][None, :])
-    return np.where(np.isfinite(scores), np.round(scores, RANK_DIGITS), UNDEFINED)
+    return np.where(np.isfinite(scores), scores, UNDEFINED)
 
 
 def _pairs(
     batch: pa.RecordBatch, dim: int, block: QueryBlock, best: Best
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, query and key of the pairs of one batch that may still be among the best."""
+    """Row, query and score of the pairs of one batch that may still be among the best."""
     x, fits = batch_matrix(batch.column("embedding"), dim)
     position = np.flatnonzero(fits)
     norms = np.linalg.norm(x, axis=1)
@@ -116,16 +116,17 @@ def _pairs(
         step = max(1, TILE // len(rows))
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
-            keys = _scores(x[rows], norms[rows], block, q)
+            scores = _scores(x[rows], norms[rows], block, q)
             if level is not None:
                 wanted = block.levels[q][None, :]
-                keys[(wanted >= 0) & (wanted != level[rows][:, None])] = -np.inf
+                scores[(wanted >= 0) & (wanted != level[rows][:, None])] = -np.inf
+            keys = np.round(scores, RANK_DIGITS)
             cut = best.cut[q]
             if len(rows) > best.k:
                 nth = len(rows) - best.k
                 cut = np.maximum(cut, np.partition(keys, nth, axis=0)[nth])
             i, j = np.nonzero((keys >= cut[None, :]) & (keys > -np.inf))
-            yield position[rows[i]], q[j], keys[i, j]
+            yield position[rows[i]], q[j], scores[i, j]
 
 
 def _rank_partition(
@@ -150,7 +151,7 @@ def _rank_partition(
     if best.rows is None:
         return
     rows = best.rows
-    similarity = rows["rank_key"].to_numpy()
+    similarity = rows["similarity"].to_numpy()
     columns = {
         "query_id": ids.take(pa.array(rows["query"].to_numpy())),
         "similarity": pa.array(similarity, mask=similarity <= UNDEFINED),
@@ -160,8 +161,8 @@ def _rank_partition(
 
 
 def _table(batch: pa.RecordBatch, kept: list[str], held: list[tuple]) -> pa.Table:
-    rows, queries, keys = (np.concatenate(part) for part in zip(*held))
-    columns = {"query": pa.array(queries, pa.int64()), "rank_key": pa.array(keys)}
+    rows, queries, scores = (np.concatenate(part) for part in zip(*held))
+    columns = {"query": pa.array(queries, pa.int64()), "similarity": pa.array(scores)}
     taken = pa.Table.from_batches([batch.select(kept)]).take(rows)
     return pa.table(columns | {c: taken[c] for c in kept})
 
@@ -172,7 +173,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(
         F.round("similarity", RANK_DIGITS).desc_nulls_last(), *ties
     )
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _one_pass(
@@ -225,7 +227,7 @@ def rank_rows(
     query_bytes: int = QUERY_BYTES,
     stored_bits: int | None = None,
 ) -> DataFrame:
-    """The ``k`` most similar rows of every query; similarities are given to nine digits.
+    """The ``k`` most similar rows of every query.
 
     ``queries`` has ``query_id`` (unique), ``embedding`` and optionally ``buckets``, the ids whose rows the
     query looks at, and ``only_level``, the ``level1`` those rows must have. ``rows`` has ``row_id``,

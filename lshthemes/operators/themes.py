@@ -56,8 +56,13 @@ def merge_themes(
     sizes of the buckets and ``n_items`` the items found, which differ where index entries dangle.
     """
     assigned = theme_buckets(buckets, labels, threshold, top_n)
-    present = items.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("n_items"))
-    counted = present.join(_small(assigned, top_n), "bucket_id", "right")
+    wanted = _small(assigned.select("bucket_id"), top_n)
+    present = (
+        items.join(wanted, "bucket_id", "left_semi")
+        .groupBy("bucket_id")
+        .agg(F.count(F.lit(1)).alias("n_items"))
+    )
+    counted = assigned.join(_small(present, top_n), "bucket_id", "left")
     entry = F.struct((-F.col("count")).alias("order"), "bucket_id", "count")
     ordered = F.transform(
         F.sort_array(F.collect_list(entry)),
@@ -96,5 +101,13 @@ def theme_samples(
         items.join(_small(members, max_buckets), "bucket_id")
         .withColumn("pos", F.row_number().over(first))
         .where(F.col("pos") <= n)
-        .select("label", "pos", "bucket_id", *place, "item_id", "display_text", more.alias("more_items"))
+        .select(
+            "label",
+            F.col("pos").cast("bigint").alias("pos"),
+            "bucket_id",
+            *place,
+            "item_id",
+            "display_text",
+            more.alias("more_items"),
+        )
     )
