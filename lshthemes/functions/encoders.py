@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lshthemes.functions.vectors import evaluated_once
+
 # Public model names by short name.
 SENTENCE_MODELS = {
     "MiniLM-L3": "sentence-transformers/paraphrase-MiniLM-L3-v2",
@@ -24,29 +26,39 @@ SENTENCE_MODELS = {
 }
 
 
+class _Slots(dict):
+    """Slot of every word met: below ``dim`` it counts up, from there on down."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        slot = self[word] = number % self.dim + self.dim * (number // self.dim % 2)
+        return slot
+
+
 class TokenHashEncoder:
     """Signed bag of hashed words. The sums stay whole numbers, so every engine agrees on them."""
 
+    # Words remembered in one task.
+    MAX_WORDS = 1 << 20
+
     def __init__(self, dim: int = 64):
         self.dim = dim
-        self._known: dict[str, tuple[int, int]] = {}
-
-    def _slot(self, token: str) -> tuple[int, int]:
-        slot = self._known.get(token)
-        if slot is None:
-            number = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-            slot = (number % self.dim, 1 - 2 * (number // self.dim % 2))
-            if len(self._known) >= 1 << 18:
-                self._known.clear()
-            self._known[token] = slot
-        return slot
+        self._slots = _Slots(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
-            slots = np.array([self._slot(t) for t in re.findall("[a-z0-9_]+", text.lower())])
-            if len(slots):
-                row += np.bincount(slots[:, 0], weights=slots[:, 1], minlength=self.dim)
+        words = re.compile("[a-z0-9_]+").findall
+        for i, text in enumerate(texts):
+            slots = [self._slots[word] for word in words(text.lower())]
+            if slots:
+                counts = np.bincount(slots, minlength=2 * self.dim)
+                out[i] = counts[: self.dim] - counts[self.dim :]
+            if len(self._slots) > self.MAX_WORDS:
+                self._slots.clear()
         return out
 
 
@@ -80,4 +92,4 @@ def encode(df: DataFrame, text_col: str, encoder, out: str = "embedding") -> Dat
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from map(partial(_vectors, encoder=encoder), batches)
 
-    return df.withColumn(out, encoded(text_col))
+    return df.withColumn(out, evaluated_once(encoded)(text_col))

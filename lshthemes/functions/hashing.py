@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lshthemes.functions.vectors import batch_matrix, column_or_none
+from lshthemes.functions.vectors import batch_matrix, column_or_none, evaluated_once
 
 SEED = 31
 HASH_BITS = 16
@@ -49,7 +49,7 @@ def hash_vectors(
             raise ValueError(f"{(~fits).sum()} vectors do not have {dim} components")
         return column_or_none(sign_hash(matrix, planes), fits, pa.int64())
 
-    return df.withColumn("hash", hashed(vec))
+    return df.withColumn("hash", evaluated_once(hashed)(vec))
 
 
 def low_bits(value: Column | str, bits: int) -> Column:

@@ -24,6 +24,15 @@ def column_or_none(values: np.ndarray, fits: np.ndarray, kind: pa.DataType) -> p
     return pa.array(out, type=kind, mask=~fits)
 
 
+def evaluated_once(function):
+    """Keep a costly function where it is called.
+
+    The optimizer moves a filter on a deterministic result below it and then evaluates the function twice,
+    in the filter and again for the column.
+    """
+    return function.asNondeterministic()
+
+
 def infer_dim(df: DataFrame, vec: str = "embedding") -> int:
     """Most common vector width among the first rows; pass ``dim`` yourself to save this look."""
     widths = (

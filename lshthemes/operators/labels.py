@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lshthemes.functions.text import (
@@ -197,51 +196,54 @@ def _fold(ranked: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _block_grouping(ranked: DataFrame, threshold: float) -> DataFrame:
+def _block_grouping(ranked: DataFrame, threshold: float, block: int) -> DataFrame:
     """The same grouping for any number of labels.
 
     The next block of open labels is folded; its leaders then take in every later label that is like them.
     Leaders of earlier blocks rank lower, so a label joins the first leader it matches, as in one long
-    fold. Each round is written out: lost executors repeat one round, and plans stay short.
+    fold. A block's leaders are few and travel to the labels, so a token shared by many labels pairs them
+    with those leaders only. Each round is written out: a lost executor repeats one round.
     """
     spark = ranked.sparkSession
 
-    def settle(df: DataFrame, purpose: str) -> DataFrame:
-        path = scratch_path(spark, purpose)
+    def settle(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "labels")
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    undecided = settle(ranked.select("label", "rank"), "labels")
-    decided = []
-    while not undecided.isEmpty():
-        block = undecided.orderBy("rank").limit(GROUP_BLOCK)
-        folded = settle(_fold(block, threshold), "groups")
-        decided.append(folded)
-        rest = undecided.join(F.broadcast(folded.select("label")), "label", "left_anti")
-        leaders = (
-            folded.where(F.col("label") == F.col("leader"))
-            .select("leader")
-            .join(undecided.select(F.col("label").alias("leader"), F.col("rank").alias("at")), "leader")
+    state = settle(
+        ranked.select("label", "rank", label_tokens("label").alias("tokens"), F.lit(None).cast("string").alias("leader"))
+    )
+    while True:
+        undecided = state.where(F.col("leader").isNull())
+        # At most one block of labels comes back.
+        folded = _fold(undecided.orderBy("rank").limit(block), threshold).collect()
+        if not folded:
+            return state.select("label", "leader")
+        own = spark.createDataFrame(folded, "label string, own string")
+        leads = [(i, row["leader"]) for i, row in enumerate(folded) if row["label"] == row["leader"]]
+        leaders = spark.createDataFrame(leads, "place int, lead string").withColumn(
+            "lead_tokens", label_tokens("lead")
         )
-        lead_words = leaders.withColumn("token", F.explode(label_tokens("leader")))
-        alike = jaccard(label_tokens("label"), label_tokens("leader")) >= threshold
         joined = (
-            rest.withColumn("token", F.explode(label_tokens("label")))
-            .join(F.broadcast(lead_words), "token")
-            .where(alike)
+            undecided.select("label", "tokens", F.explode("tokens").alias("token"))
+            .join(F.broadcast(leaders.withColumn("token", F.explode("lead_tokens"))), "token")
+            .where(jaccard(F.col("tokens"), F.col("lead_tokens")) >= threshold)
             .groupBy("label")
-            .agg(F.min_by("leader", "at").alias("leader"))
+            .agg(F.min_by("lead", "place").alias("joined"))
+        )
+        state = settle(
+            state.join(F.broadcast(own), "label", "left")
+            .join(joined, "label", "left")
+            .select("label", "rank", "tokens", F.coalesce("leader", "own", "joined").alias("leader"))
         )
-        joined = settle(joined, "groups")
-        decided.append(joined)
-        undecided = settle(rest.join(joined, "label", "left_anti"), "labels")
-    if not decided:
-        return ranked.select("label", F.col("label").alias("leader"))
-    return reduce(DataFrame.unionByName, decided)
 
 
 def group_labels(
-    ranked_labels: DataFrame, threshold: float = 0.5, small: bool | None = None
+    ranked_labels: DataFrame,
+    threshold: float = 0.5,
+    small: bool | None = None,
+    block: int = GROUP_BLOCK,
 ) -> DataFrame:
     """Give every label a leader: the first one, by ``rank``, that it is like, or itself.
 
@@ -255,9 +257,4 @@ def group_labels(
         return ranked.select("label", first.alias("leader"))
     if small is None:
         small = ranked.limit(GROUP_BLOCK + 1).count() <= GROUP_BLOCK
-    return _fold(ranked, threshold) if small else _block_grouping(ranked, threshold)
-
-
-def labels_from_pairs(spark: SparkSession, pairs: dict[int, str]) -> DataFrame:
-    """A small label table from ids and raw labels, as a labeller returns them."""
-    return spark.createDataFrame(list(pairs.items()), "bucket_id bigint, raw_label string")
+    return _fold(ranked, threshold) if small else _block_grouping(ranked, threshold, min(block, GROUP_BLOCK))

@@ -28,6 +28,7 @@ from lshthemes.functions.hashing import (
 from lshthemes.functions.vectors import infer_dim
 from lshthemes.operators.index import identity
 from lshthemes.operators.ranking import QUERY_BYTES, rank_rows
+from lshthemes.sources.scratch import use_checkpoints
 
 PAYLOAD = ("item_id", "title")
 
@@ -130,18 +131,22 @@ def _strategy(
 ) -> DataFrame:
     """Hashed queries with the outcome of the density rule.
 
-    It is decided on the sizes of buckets and of their ``level1`` parts, two tables bounded by the width of
-    the hash; no candidate row is looked at.
+    It is decided on one row per bucket: its size and the sizes of its ``level1`` parts, of which the hash
+    allows ``2 ** refine_bits``. No candidate row is looked at.
     """
-    parts = (
+    part = F.struct("level1", "part_size")
+    sizes = (
         index_at(index, base_bits, refine_bits)
         .groupBy("bucket_id", "level1")
         .agg(F.count("row_id").alias("part_size"))
+        .groupBy("bucket_id")
+        .agg(
+            F.sum("part_size").alias("bucket_size"),
+            F.map_from_entries(F.collect_list(part)).alias("parts"),
+        )
     )
-    sizes = parts.groupBy("bucket_id").agg(F.sum("part_size").alias("bucket_size"))
-    joined = hashed.join(keyed_by_bucket(sizes, base_bits), "bucket_id", "left").join(
-        keyed_by_bucket(parts, base_bits + refine_bits), ["bucket_id", "level1"], "left"
-    )
+    joined = hashed.join(keyed_by_bucket(sizes, base_bits), "bucket_id", "left")
+    joined = joined.withColumn("part_size", F.try_element_at("parts", F.col("level1")))
     status = (
         F.when(F.col("bucket_size").isNull(), "empty")
         .when(F.col("bucket_size") >= threshold, "refined")
@@ -327,6 +332,9 @@ def multi_probe_stats(
         .groupBy(F.col("bucket_id").alias("probe_bucket"))
         .agg(F.count("row_id").alias("size"))
     )
+    # Used twice, and small: one row per bucket.
+    use_checkpoints(index.sparkSession)
+    sizes = sizes.checkpoint()
     n_rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar()
     own = F.when(F.col("probe_bucket") == F.col("bucket_id"), F.col("size"))
     zero = F.lit(0).cast("bigint")

@@ -237,7 +237,7 @@ def _metadata() -> str:
 
 def _corpus(title: str, display: str, preview: str, category: str, score: str, author: str) -> str:
     return f"""SELECT doc_id AS row_id, doc_id::VARCHAR AS item_id, {title} AS title, {display} AS display_text,
-        {preview} AS preview, {category} AS category, {score} AS score, {author} AS author FROM documents"""
+        {preview} AS preview, {category} AS category, {score}::DOUBLE AS score, {author} AS author FROM documents"""
 
 
 _HEADLINE = "source || chr(10) || chr(10) || left(text, 200) || '...'"
@@ -260,12 +260,12 @@ def oracle_sql() -> dict[str, str]:
 
     plain["corpus_tweets"] = _corpus(
         "left(text, 100)", "text", "CASE WHEN length(text) > 100 THEN text END",
-        _NO_TEXT, "NULL::BIGINT", _NO_TEXT,
+        _NO_TEXT, "NULL", _NO_TEXT,
     )
     plain["corpus_papers"] = _corpus(
         "source", _HEADLINE,
         "CASE WHEN length(text) > 500 THEN left(text, 500) || '...' WHEN length(text) > 0 THEN text END",
-        "lang", "NULL::BIGINT", _NO_TEXT,
+        "lang", "NULL", _NO_TEXT,
     )
     plain["corpus_posts"] = _corpus(
         "source", _HEADLINE, "CASE WHEN length(text) > 0 AND text <> source THEN text END",
@@ -341,10 +341,10 @@ def oracle_sql() -> dict[str, str]:
             FROM q JOIN ix ON ix.bucket_id = q.bucket_id GROUP BY q.query_id)
         SELECT q.query_id, q.bucket_id,
                CASE WHEN size IS NULL THEN 'empty' WHEN size >= 10 THEN 'refined' ELSE 'sparse' END AS status,
-               size AS bucket_size, size AS original_candidates,
-               CASE WHEN size >= 10 THEN q.level1 END AS level_1_hash,
-               CASE WHEN size >= 10 THEN same END AS refined_candidates,
-               CASE WHEN size >= 10 AND same > 0 THEN same ELSE size END AS final_candidates,
+               size::DOUBLE AS bucket_size, size::DOUBLE AS original_candidates,
+               (CASE WHEN size >= 10 THEN q.level1 END)::DOUBLE AS level_1_hash,
+               (CASE WHEN size >= 10 THEN same END)::DOUBLE AS refined_candidates,
+               (CASE WHEN size >= 10 AND same > 0 THEN same ELSE size END)::DOUBLE AS final_candidates,
                coalesce(size >= 10 AND same = 0, false) AS fell_back,
                CASE WHEN size >= 10 THEN round((1 - same / size) * 100, 6) END AS reduction_pct
         FROM q LEFT JOIN c USING (query_id)"""
@@ -410,11 +410,14 @@ def oracle_sql() -> dict[str, str]:
     plain["group_labels"] = f"""WITH RECURSIVE {_labels(WORD_PARTS)},
         ranked_labels AS (SELECT label, min(bucket_id) AS place FROM labels GROUP BY label),
         {_groups(0.5)} SELECT * FROM grouped"""
-    plain["group_passages"] = f"""WITH RECURSIVE
-        cleaned AS (SELECT doc_id, {_clean('text')} AS label FROM documents),
-        ranked_labels AS (
-            SELECT label, min(doc_id) AS place FROM cleaned WHERE label <> '' GROUP BY label),
-        {_groups(0.3)} SELECT * FROM grouped"""
+    plain["group_many_labels"] = f"""WITH RECURSIVE
+        ranked_labels AS (SELECT url AS label, page_id AS place FROM pages),
+        {_groups(0.5)} SELECT * FROM grouped"""
+    plain["similar_many_labels"] = f"""WITH d AS (SELECT url AS label, {_tokens('url')} AS tokens FROM pages),
+        pairs AS (
+            SELECT a.label AS label_a, b.label AS label_b, {_jaccard('a.tokens', 'b.tokens')} AS jaccard
+            FROM d a JOIN d b ON a.label < b.label)
+        SELECT label_a, label_b, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= 0.6"""
     for name, lexicon, threshold in (
         ("merge_themes_03", KEYWORDS_FOUND, 0.3),
         ("merge_themes_05", KEYWORDS_FOUND, 0.5),

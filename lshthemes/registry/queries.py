@@ -1,4 +1,8 @@
-"""The registered queries. Arrays and structs are shown as text, floats to six digits."""
+"""The registered queries.
+
+For comparison with other engines arrays and structs are shown as text, floats to six digits, and whole
+numbers that may be missing as floats.
+"""
 
 from __future__ import annotations
 
@@ -84,7 +88,14 @@ def probe_lists(spark, sf_dir):
 
 def _corpus_columns(corpus: DataFrame) -> DataFrame:
     return corpus.select(
-        "row_id", "item_id", "title", "display_text", "preview", "category", "score", "author"
+        "row_id",
+        "item_id",
+        "title",
+        "display_text",
+        "preview",
+        "category",
+        F.col("score").cast("double").alias("score"),
+        "author",
     )
 
 
@@ -260,7 +271,8 @@ def density_search(spark, sf_dir):
 def search_strategy(spark, sf_dir):
     index = t.document_index(spark, sf_dir)
     plan = search_op.search_strategy(t.text_queries(spark, sf_dir), index, dim=DIM)
-    return _rounded(plan, "reduction_pct")
+    maybe = ["bucket_size", "original_candidates", "level_1_hash", "refined_candidates", "final_candidates"]
+    return _rounded(plan, "reduction_pct").withColumns({c: F.col(c).cast("double") for c in maybe})
 
 
 @_query
@@ -405,15 +417,20 @@ def group_labels(spark, sf_dir):
     return labels_op.group_labels(ranked, 0.5)
 
 
+def _url_labels(spark, sf_dir) -> DataFrame:
+    """Page addresses in the role of labels: many, and with words that most of them share."""
+    return t.table(spark, sf_dir, "pages").select(F.col("url").alias("label"), F.col("page_id").alias("rank"))
+
+
 @_query
-def group_passages(spark, sf_dir):
-    """Passages and tidied first lines of all documents as labels, in blocks."""
-    lines = t.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("bucket_id"), F.col("text").alias("raw_label")
-    )
-    labels = labels_op.clean_labels(lines).where(F.col("label") != "")
-    ranked = labels.groupBy("label").agg(F.min("bucket_id").alias("rank"))
-    return labels_op.group_labels(ranked, 0.3, small=False)
+def group_many_labels(spark, sf_dir):
+    """More labels than one block holds."""
+    return labels_op.group_labels(_url_labels(spark, sf_dir), 0.5, small=False, block=64)
+
+
+@_query
+def similar_many_labels(spark, sf_dir):
+    return _rounded(labels_op.similar_labels(_url_labels(spark, sf_dir), 0.6), "jaccard")
 
 
 def _themes(lexicon: tuple[str, ...], threshold: float) -> Query:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lshthemes.functions.encoders import TokenHashEncoder, encode
 from lshthemes.operators.index import build_index
-from lshthemes.sources.corpora import CorpusShape, canonical
+from lshthemes.sources.corpora import CorpusShape, canonical, spread_small
 
 DIM = 64
 
@@ -59,7 +59,8 @@ def documents(
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
-    return encode(documents(spark, sf_dir), "body", TokenHashEncoder(dim))
+    texts = canonical(spread_small(table(spark, sf_dir, "documents"), "doc_id"), AS_TWEETS)
+    return encode(texts, "body", TokenHashEncoder(dim))
 
 
 def document_index(

@@ -9,6 +9,7 @@ from lshthemes.sources.corpora import (
     canonical,
     load_corpus,
     shape_of,
+    spread_small,
 )
 from lshthemes.sources.indexes import merge_indexes, read_index, write_index
 from lshthemes.sources.scratch import scratch_path
@@ -28,6 +29,7 @@ __all__ = [
     "read_metadata",
     "scratch_path",
     "shape_of",
+    "spread_small",
     "write_index",
     "write_metadata",
 ]

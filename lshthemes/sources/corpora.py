@@ -125,3 +125,16 @@ def load_corpus(spark: SparkSession, path: str, shape: CorpusShape | None = None
             }
         )
     return canonical(df, shape)
+
+
+# A table of up to this many rows may lie in a single split.
+FEW_ROWS = 1_000_000
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small table out to all cores before costly work on its rows.
+
+    Rows are counted from the file footers. A large table has splits enough and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.count() <= FEW_ROWS else df

@@ -11,13 +11,14 @@ SETTINGS = ("seed", "dim", "bits")
 
 
 def write_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write the index in bucket order, so min/max statistics skip row groups of other buckets.
+    """Write the index clustered by bucket, so statistics skip the files and row groups of other buckets.
 
-    Ranging over ``row_id`` as well lets one hot bucket spread over many files.
+    The index is computed once: rebalancing needs no sample pass. It spreads a hot bucket over as many
+    files as its size asks for and packs small ones together (with adaptive execution, Spark's default).
     """
     order = [c for c in ("bucket_id", "file_path", "row_id") if c in index.columns]
     (
-        index.repartitionByRange(*order)
+        index.hint("rebalance", "bucket_id")
         .sortWithinPartitions(*order)
         .write.mode(mode)
         .parquet(path)
