@@ -11,7 +11,7 @@ from lshthemes.functions.hashing import keyed_by_bucket
 from lshthemes.operators.index import identity
 
 # More rows than this are not broadcast on the strength of a caller's limits.
-BROADCAST_ROWS = 10_000
+BROADCAST_ROWS = 100_000
 
 
 def in_buckets(
@@ -73,7 +73,7 @@ def present_entries(
 def sample_bucket_items(
     index: DataFrame,
     corpus: DataFrame,
-    buckets: DataFrame | Iterable[int],
+    buckets: DataFrame | Iterable[int] | None,
     n: int,
     max_buckets: int | None = None,
     bits: int | None = None,

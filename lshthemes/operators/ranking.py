@@ -25,6 +25,9 @@ QUERY_BYTES = 32 << 20
 # Similarities are compared at this many digits, so float noise cannot order true ties.
 RANK_DIGITS = 9
 
+# Wide enough that no pair equal in the digits that rank is sorted out.
+MARGIN = 1e-8
+
 # A pair whose similarity is undefined ranks below every cosine.
 UNDEFINED = -2.0
 
@@ -35,11 +38,22 @@ TILE = 1 << 21
 FILTER_IDS = 1024
 
 
+def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one, and the lengths; NaN marks a row without direction."""
+    with np.errstate(all="ignore"):
+        norms = np.linalg.norm(matrix, axis=1)
+        norms[~np.isfinite(norms) | (norms == 0)] = np.nan
+        units = matrix / norms[:, None]
+    units[np.isnan(norms)] = 0.0
+    return units, norms
+
+
 @dataclass
 class QueryBlock:
     """The queries of one pass: vectors, and which row groups each one looks at."""
 
     vectors: np.ndarray
+    units: np.ndarray
     norms: np.ndarray
     routes: dict[int, np.ndarray] | None
     levels: np.ndarray
@@ -47,6 +61,7 @@ class QueryBlock:
     @classmethod
     def of(cls, rows: Sequence[Row]) -> QueryBlock:
         vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        units, norms = unit_rows(vectors)
         routes: dict[int, list[int]] | None = None
         if "buckets" in rows[0]:
             routes = {}
@@ -56,7 +71,8 @@ class QueryBlock:
         levels = [r["only_level"] if "only_level" in r else None for r in rows]
         return cls(
             vectors=vectors,
-            norms=np.linalg.norm(vectors, axis=1),
+            units=units,
+            norms=norms,
             routes=routes and {b: np.array(q) for b, q in routes.items()},
             levels=np.array([-1 if v is None else v for v in levels], dtype=np.int64),
         )
@@ -87,46 +103,53 @@ class Best:
         self.cut[query[last]] = key[last]
 
 
-def _scores(x: np.ndarray, norms: np.ndarray, block: QueryBlock, q: np.ndarray) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        scores = (x @ block.vectors[q].T) / (norms[:, None] * block.norms[q][None, :])
-    return np.where(np.isfinite(scores), scores, UNDEFINED)
+def _groups(
+    batch: pa.RecordBatch, fits: np.ndarray, block: QueryBlock
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one batch with the queries that look at them."""
+    if block.routes is None:
+        return [(np.arange(fits.sum()), np.arange(len(block.vectors)))]
+    bucket = batch.column("bucket_id").to_numpy(zero_copy_only=False)[fits]
+    order = np.argsort(bucket, kind="stable")
+    ids, starts = np.unique(bucket[order], return_index=True)
+    members = np.split(order, starts[1:])
+    return [(m, block.routes[b]) for b, m in zip(ids, members) if b in block.routes]
 
 
 def _pairs(
     batch: pa.RecordBatch, dim: int, block: QueryBlock, best: Best
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, query and score of the pairs of one batch that may still be among the best."""
+    """Row, query and score of the pairs of one batch that may still be among the best.
+
+    Unit vectors sort out the pairs, with a margin over the digits that rank; only those left are scored.
+    """
     x, fits = batch_matrix(batch.column("embedding"), dim)
+    if not len(x):
+        return
     position = np.flatnonzero(fits)
-    norms = np.linalg.norm(x, axis=1)
-    if block.routes is None:
-        groups = [(np.arange(len(x)), np.arange(len(block.vectors)))]
-    else:
-        bucket = batch.column("bucket_id").to_numpy(zero_copy_only=False)[fits]
-        order = np.argsort(bucket, kind="stable")
-        ids, starts = np.unique(bucket[order], return_index=True)
-        members = np.split(order, starts[1:])
-        groups = [(m, block.routes[b]) for b, m in zip(ids, members) if b in block.routes]
-    has_level = "level1" in batch.schema.names
-    level = batch.column("level1").to_numpy(zero_copy_only=False)[fits] if has_level else None
-    for rows, queries in groups:
-        if not len(rows):
-            continue
+    units, norms = unit_rows(x)
+    level = None
+    if "level1" in batch.schema.names:
+        level = batch.column("level1").to_numpy(zero_copy_only=False)[fits]
+    for rows, queries in _groups(batch, fits, block):
         step = max(1, TILE // len(rows))
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
-            scores = _scores(x[rows], norms[rows], block, q)
+            near = block.units[q] @ units[rows].T
+            near[:, np.isnan(norms[rows])] = UNDEFINED
+            near[np.isnan(block.norms[q])] = UNDEFINED
             if level is not None:
-                wanted = block.levels[q][None, :]
-                scores[(wanted >= 0) & (wanted != level[rows][:, None])] = -np.inf
-            keys = np.round(scores, RANK_DIGITS)
-            cut = best.cut[q]
-            if len(rows) > best.k:
+                wanted = block.levels[q][:, None]
+                near[(wanted >= 0) & (wanted != level[rows][None, :])] = -np.inf
+            hits = near >= best.cut[q][:, None] - MARGIN
+            if len(rows) > best.k and np.count_nonzero(hits) > 4 * best.k * len(q):
                 nth = len(rows) - best.k
-                cut = np.maximum(cut, np.partition(keys, nth, axis=0)[nth])
-            i, j = np.nonzero((keys >= cut[None, :]) & (keys > -np.inf))
-            yield position[rows[i]], q[j], scores[i, j]
+                hits &= near >= np.partition(near, nth, axis=1)[:, nth][:, None] - MARGIN
+            j, i = np.nonzero(hits & (near > -np.inf))
+            i, j = rows[i], q[j]
+            with np.errstate(all="ignore"):
+                scores = np.einsum("ij,ij->i", x[i], block.vectors[j]) / (norms[i] * block.norms[j])
+            yield position[i], j, np.where(np.isfinite(scores), scores, UNDEFINED)
 
 
 def _rank_partition(

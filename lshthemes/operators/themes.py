@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lshthemes.functions.hashing import bucket_hex
 from lshthemes.functions.text import best_label
+from lshthemes.operators.index import identity
 from lshthemes.operators.items import BROADCAST_ROWS
 from lshthemes.operators.labels import GROUP_BLOCK, group_labels, label_buckets
+from lshthemes.sources.scratch import use_checkpoints
 
 
 def bucket_summary(buckets: Column | str) -> Column:
@@ -28,7 +30,10 @@ def _small(df: DataFrame, rows: int | None) -> DataFrame:
 def theme_buckets(
     buckets: DataFrame, labels: DataFrame, threshold: float = 0.5, top_n: int | None = 10
 ) -> DataFrame:
-    """Every bucket with its own label and the label of the theme it belongs to."""
+    """Every bucket with its own label and the label of the theme it belongs to.
+
+    The labels are read twice, for the groups and for the result; settle them first where they are costly.
+    """
     if top_n is not None:
         buckets = buckets.orderBy(F.desc("count"), "bucket_id").limit(top_n)
     labelled = label_buckets(buckets, labels)
@@ -55,7 +60,9 @@ def merge_themes(
     ``items`` is only counted: one partial sum per bucket and task leaves the scan. ``total_count`` adds the
     sizes of the buckets and ``n_items`` the items found, which differ where index entries dangle.
     """
-    assigned = theme_buckets(buckets, labels, threshold, top_n)
+    # One row per bucket, used for the counts and for the themes: the labels behind it are made once.
+    use_checkpoints(buckets.sparkSession)
+    assigned = theme_buckets(buckets, labels, threshold, top_n).checkpoint()
     wanted = _small(assigned.select("bucket_id"), top_n)
     present = (
         items.join(wanted, "bucket_id", "left_semi")
@@ -84,30 +91,34 @@ def merge_themes(
 
 
 def theme_samples(
-    themes: DataFrame, items: DataFrame, n: int = 8, max_buckets: int | None = 10
+    themes: DataFrame,
+    items: DataFrame,
+    n: int = 8,
+    corpus: DataFrame | None = None,
+    max_buckets: int | None = 10,
 ) -> DataFrame:
     """The first ``n`` items of every theme, bucket after bucket, and how many more there are.
 
-    The rank filter also runs before the shuffle, so each task sends at most ``n`` items per theme.
+    The rank filter also runs before the shuffle, so each task sends at most ``n`` items per theme. With a
+    ``corpus``, ``items`` may be bare index entries; the text is then fetched for the sampled ones alone.
     ``max_buckets`` is how many buckets the themes can hold together, or None where that is not known.
     """
-    members = themes.select("label", "n_items", F.posexplode("buckets").alias("bucket_pos", "b")).select(
-        "label", "n_items", "bucket_pos", F.col("b.bucket_id").alias("bucket_id")
-    )
+    members = themes.select(
+        "label", "n_items", F.posexplode("buckets").alias("bucket_pos", "b")
+    ).select("label", "n_items", "bucket_pos", F.col("b.bucket_id").alias("bucket_id"))
     place = [c for c in ("file_path", "row_id") if c in items.columns]
     first = Window.partitionBy("label").orderBy("bucket_pos", *place)
     more = F.greatest(F.col("n_items") - n, F.lit(0).cast("bigint"))
-    return (
+    sampled = (
         items.join(_small(members, max_buckets), "bucket_id")
         .withColumn("pos", F.row_number().over(first))
         .where(F.col("pos") <= n)
-        .select(
-            "label",
-            F.col("pos").cast("bigint").alias("pos"),
-            "bucket_id",
-            *place,
-            "item_id",
-            "display_text",
-            more.alias("more_items"),
-        )
+        .withColumns({"pos": F.col("pos").cast("bigint"), "more_items": more})
     )
+    if corpus is not None:
+        keys = identity(items, corpus)
+        few = max_buckets is not None and max_buckets * n <= BROADCAST_ROWS
+        ranked = sampled.select("label", "pos", "bucket_id", *place, "more_items")
+        texts = corpus.select(*keys, "item_id", "display_text")
+        sampled = texts.join(F.broadcast(ranked) if few else ranked, keys)
+    return sampled.select("label", "pos", "bucket_id", *place, "item_id", "display_text", "more_items")

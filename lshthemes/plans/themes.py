@@ -33,7 +33,7 @@ def discover_themes(
 ) -> Themes:
     """Dense buckets, their labels and the merged themes.
 
-    The ``top_n`` dense buckets are found once and kept. Their ids then filter the scan of the index, only
+    The ``top_n`` dense buckets and their labels are found once and kept. The ids then filter the scan of the index, only
     row ids are shuffled to see which entries exist, and only sampled rows fetch their text. ``external`` may
     bring labels ``(bucket_id, raw_label)``; buckets it leaves out are labelled by keywords.
     """
@@ -44,5 +44,6 @@ def discover_themes(
     labels = theme_labels(items, lexicon, sample)
     if external is not None:
         labels = coalesce_labels(clean_labels(external), labels)
+    labels = labels.checkpoint()
     present = present_entries(index, corpus, ids)
     return Themes(buckets, labels, merge_themes(buckets, labels, present, threshold, top_n))

@@ -263,7 +263,8 @@ def lsh_search(spark, sf_dir):
 
 @_query
 def density_search(spark, sf_dir):
-    index = t.searchable_documents(spark, sf_dir)
+    """Through a stored index, which is read for its sizes first and then for its rows."""
+    index = t.stored_documents(spark, sf_dir)
     return _shown(search_op.density_search(t.text_queries(spark, sf_dir), index, dim=DIM))
 
 
@@ -317,7 +318,7 @@ def multi_probe_candidates(spark, sf_dir):
 def recall_at_k(spark, sf_dir):
     """Recall of the three approximate searches."""
     asked = t.text_queries(spark, sf_dir)
-    index = t.searchable_documents(spark, sf_dir)
+    index = t.stored_documents(spark, sf_dir)
     exact = search_op.search_exact(asked, index, k=5, dim=DIM)
     found = {
         "bucket": search_op.lsh_search(asked, index, k=5, dim=DIM),
@@ -335,8 +336,9 @@ def recall_at_k(spark, sf_dir):
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    """Items of all buckets: documents filed under the vector with their id."""
-    return items_op.bucket_items(t.vector_index(spark, sf_dir), t.documents(spark, sf_dir))
+    """The items that labels are made from, for all buckets: documents filed under the vector of their id."""
+    index, corpus = t.vector_index(spark, sf_dir), t.documents(spark, sf_dir)
+    return items_op.sample_bucket_items(index, corpus, None, 10, max_buckets=256)
 
 
 @_query
@@ -472,8 +474,8 @@ for _name, _lexicon, _threshold in (
 def theme_samples(spark, sf_dir):
     index, corpus = t.vector_index(spark, sf_dir), t.documents(spark, sf_dir)
     found = discover_themes(index, corpus, lexicon=KEYWORDS_FOUND)
-    items = items_op.bucket_items(index, corpus, found.buckets, bits=8)
-    samples = themes_op.theme_samples(found.themes, items)
+    entries = items_op.present_entries(index, corpus, found.buckets, bits=8)
+    samples = themes_op.theme_samples(found.themes, entries, corpus=corpus)
     return samples.select("label", "pos", "bucket_id", "row_id", "display_text", "more_items")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lshthemes.functions.encoders import TokenHashEncoder, encode
 from lshthemes.operators.index import build_index
 from lshthemes.sources.corpora import CorpusShape, canonical, spread_small
+from lshthemes.sources.indexes import read_index, write_index
+from lshthemes.sources.scratch import scratch_path
 
 DIM = 64
 
@@ -75,6 +77,13 @@ def searchable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_index(spark, sf_dir, carry=("embedding", "item_id", "title"))
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index in files, encoded once however often it is read."""
+    path = scratch_path(spark, "index")
+    write_index(searchable_documents(spark, sf_dir), path)
+    return read_index(spark, path)
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages as ``(query_id, embedding)``."""
     passages = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
