@@ -8,7 +8,6 @@ one pass are split in blocks, each of which passes over the rows again.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,34 +47,32 @@ def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return units, norms
 
 
-@dataclass
 class QueryBlock:
-    """The queries of one pass: vectors, and which row groups each one looks at."""
-
-    vectors: np.ndarray
-    units: np.ndarray
-    norms: np.ndarray
-    routes: dict[int, np.ndarray] | None
-    levels: np.ndarray
-
-    @classmethod
-    def of(cls, rows: Sequence[Row]) -> QueryBlock:
-        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        units, norms = unit_rows(vectors)
-        routes: dict[int, list[int]] | None = None
-        if "buckets" in rows[0]:
-            routes = {}
-            for i, row in enumerate(rows):
-                for bucket in row["buckets"]:
-                    routes.setdefault(bucket, []).append(i)
-        levels = [r["only_level"] if "only_level" in r else None for r in rows]
-        return cls(
-            vectors=vectors,
-            units=units,
-            norms=norms,
-            routes=routes and {b: np.array(q) for b, q in routes.items()},
-            levels=np.array([-1 if v is None else v for v in levels], dtype=np.int64),
-        )
+    """The queries of one pass inside a task: vectors, and which row groups each one looks at."""
+
+    def __init__(
+        self, vectors: np.ndarray, routes: dict[int, np.ndarray] | None, levels: np.ndarray
+    ):
+        self.vectors, self.routes, self.levels = vectors, routes, levels
+        self.units, self.norms = unit_rows(vectors)
+
+
+def packed_queries(rows: Sequence[Row]) -> tuple:
+    """What every task needs of the queries, as plain arrays: vectors, routes, levels and ids."""
+    vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    routes: dict[int, list[int]] | None = None
+    if "buckets" in rows[0]:
+        routes = {}
+        for i, row in enumerate(rows):
+            for bucket in row["buckets"]:
+                routes.setdefault(bucket, []).append(i)
+    levels = [r["only_level"] if "only_level" in r else None for r in rows]
+    return (
+        vectors,
+        routes and {b: np.array(q) for b, q in routes.items()},
+        np.array([-1 if v is None else v for v in levels], dtype=np.int64),
+        [r["query_id"] for r in rows],
+    )
 
 
 class Best:
@@ -221,14 +218,12 @@ def _one_pass(
     )
     if not block:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(
-        (QueryBlock.of(block), [r["query_id"] for r in block])
-    )
+    shared = spark.sparkContext.broadcast(packed_queries(block))
     id_arrow = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, ids = shared.value
-        return _rank_partition(batches, dim, k, queries, pa.array(ids, id_arrow), kept)
+        *queries, ids = shared.value
+        return _rank_partition(batches, dim, k, QueryBlock(*queries), pa.array(ids, id_arrow), kept)
 
     routed = rows
     buckets = sorted({b for r in block if "buckets" in r for b in r["buckets"]})
