@@ -29,7 +29,7 @@ from lshthemes.operators.labels import (
     similar_labels,
     theme_labels,
 )
-from lshthemes.operators.maps import map_density, map_points, probe_classes
+from lshthemes.operators.maps import map_density, map_points, principal_axes, probe_classes
 from lshthemes.operators.models import (
     ModelIndex,
     build_metadata,
@@ -40,6 +40,7 @@ from lshthemes.operators.models import (
     model_options,
 )
 from lshthemes.operators.ranking import rank_rows, top_k
+from lshthemes.operators.reports import map_report, model_report, probe_report, search_report
 from lshthemes.operators.search import (
     candidates,
     density_search,
@@ -87,20 +88,25 @@ __all__ = [
     "lsh_search",
     "map_density",
     "map_points",
+    "map_report",
     "merge_themes",
     "model_info",
     "model_options",
+    "model_report",
     "multi_probe_candidates",
     "multi_probe_search",
     "multi_probe_stats",
     "present_entries",
+    "principal_axes",
     "probe_classes",
+    "probe_report",
     "rank_rows",
     "recall_at_k",
     "refine_candidates",
     "sample_bucket_items",
     "sample_items",
     "search_exact",
+    "search_report",
     "search_strategy",
     "similar_labels",
     "theme_buckets",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +23,34 @@ from lshthemes.functions.vectors import infer_dim, project
 from lshthemes.operators.search import hash_queries, index_at
 
 
+def principal_axes(corpus: DataFrame, dim: int) -> np.ndarray:
+    """The three directions in which the vectors vary most, as axes for ``map_points``.
+
+    Tasks add up one ``dim`` by ``dim`` matrix each; no vector reaches the driver. Of the two signs of an axis
+    the one with a positive largest component is taken.
+    """
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    usable = (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    rows = corpus.where(usable).select(array_to_vector(whole).alias("features"))
+    fitted = PCA(k=3, inputCol="features", outputCol="at").fit(rows)
+    axes = fitted.pc.toArray().T
+    largest = np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], axis=1)
+    return axes * np.sign(largest)
+
+
 def map_points(
     corpus: DataFrame,
     index: DataFrame,
     bits: int = BASE_BITS,
     seed: int = SEED,
     dim: int | None = None,
+    axes: np.ndarray | None = None,
 ) -> DataFrame:
-    """A point for every corpus row: a random projection of its vector, its bucket and the bucket's size.
+    """A point for every corpus row: a projection of its vector, its bucket and the bucket's size.
 
     The bucket follows from the vector in the same pass, so the index is only needed for sizes, one row per
-    bucket. The three axes are the planes after those of the hash.
+    bucket. The three axes are random, the planes after those of the hash, unless ``axes`` are given, such as
+    ``principal_axes``.
     """
     dim = dim or infer_dim(corpus)
     n_planes = max(bits, HASH_BITS)
@@ -45,7 +65,7 @@ def map_points(
         .where(F.col("hash").isNotNull())
         .select(
             *[c for c in ("file_path", "row_id") if c in corpus.columns],
-            project("embedding", planes[n_planes:]).alias("at"),
+            project("embedding", planes[n_planes:] if axes is None else axes).alias("at"),
             F.col("display_text").alias("text"),
             low_bits("hash", bits).alias("bucket_int"),
         )

@@ -463,4 +463,23 @@ def oracle_sql() -> dict[str, str]:
     plain["stream_counts"] = (
         f"WITH {_VECTOR_INDEX}, {_SIZES} SELECT bucket_id, size AS count FROM sizes"
     )
+
+    plain["model_report"] = (
+        f"{_metadata()} SELECT model_name, printf('%.1f', load_factor * 100) || '%' AS load FROM metadata"
+    )
+    plain["search_report"] = f"""WITH plan AS ({plain['search_strategy']})
+        SELECT query_id, {_hex('bucket_id')} AS bucket,
+               CASE status WHEN 'empty' THEN 'No documents' WHEN 'refined' THEN 'Dense, refined'
+                    ELSE 'Sparse, direct' END AS strategy,
+               CASE WHEN status = 'refined' THEN {_hex('level_1_hash::BIGINT')} END AS level_1,
+               CASE WHEN status = 'refined' THEN 'Reduced by ' || printf('%.0f', reduction_pct) || '%' END AS reduction
+        FROM plan"""
+    plain["probe_report"] = f"""WITH stats AS ({plain['multi_probe_stats']})
+        SELECT query_id, total_candidates || ' (' || printf('%.1f', pct_candidates) || '% of dataset)' AS candidates,
+               printf('%.1f', speedup) || 'x' AS speedup FROM stats"""
+    plain["map_report"] = f"""WITH density AS ({plain['map_density']})
+        SELECT unique_buckets || ' buckets' AS buckets,
+               min_size || ' to ' || max_size || ' documents (avg: ' || printf('%.1f', avg_size) || ')' AS sizes,
+               printf('%.1f', pct_dense) || '% of points in dense buckets' AS dense
+        FROM density"""
     return plain

@@ -22,6 +22,7 @@ from lshthemes.operators import items as items_op
 from lshthemes.operators import labels as labels_op
 from lshthemes.operators import maps as maps_op
 from lshthemes.operators import models as models_op
+from lshthemes.operators import reports as reports_op
 from lshthemes.operators import search as search_op
 from lshthemes.operators import themes as themes_op
 from lshthemes.plans.themes import discover_themes
@@ -581,3 +582,34 @@ def stream_counts(spark, sf_dir):
         .awaitTermination()
     )
     return spark.table(name)
+
+
+# Reports
+
+
+@_query
+def model_report(spark, sf_dir):
+    return reports_op.model_report(_metadata(spark, sf_dir))
+
+
+@_query
+def search_report(spark, sf_dir):
+    index = t.document_index(spark, sf_dir)
+    plan = search_op.search_strategy(t.text_queries(spark, sf_dir), index, dim=DIM)
+    return reports_op.search_report(plan)
+
+
+@_query
+def probe_report(spark, sf_dir):
+    stats = search_op.multi_probe_stats(
+        t.text_queries(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
+    )
+    return reports_op.probe_report(stats)
+
+
+@_query
+def map_report(spark, sf_dir):
+    points = maps_op.map_points(
+        t.encoded_documents(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
+    )
+    return reports_op.map_report(maps_op.map_density(points))

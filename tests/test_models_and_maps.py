@@ -1,3 +1,9 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +18,7 @@ from lshthemes.operators import (
     map_points,
     model_info,
     model_options,
+    principal_axes,
     probe_classes,
 )
 from lshthemes.plans import index_model, load_model
@@ -23,7 +30,7 @@ from lshthemes.sources import (
     write_metadata,
 )
 from lshthemes.streaming import append_index, stream_bucket_counts, stream_index
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 
 
 @pytest.fixture
@@ -142,3 +149,34 @@ def test_streamed_index_is_the_batch_index(spark, index, tmp_path):
     query.awaitTermination()
     want = {r[0]: r[1] for r in index.groupBy("bucket_id").count().collect()}
     assert {r[0]: r[1] for r in spark.table("bucket_counts").collect()} == want
+
+
+def test_principal_axes(vectors, index, documents):
+    axes = principal_axes(vectors, 64)
+    matrix = np.array([r["embedding"] for r in vectors.select("embedding").collect()], dtype=float)
+    values = np.linalg.eigvalsh(np.cov(matrix.T))[::-1][:3]
+    spread = np.var((matrix - matrix.mean(axis=0)) @ axes.T, axis=0, ddof=1)
+    assert np.allclose(spread, values)
+    corpus = vectors.join(documents.select("row_id", "display_text"), "row_id")
+    points = map_points(corpus, index, dim=64, axes=axes).agg(F.var_samp("x")).first()[0]
+    assert points == pytest.approx(values[0])
+
+
+def test_tasks_need_no_package(tmp_path):
+    """A driver elsewhere, with the package on its own path only."""
+    repo = Path(__file__).parents[1]
+    script = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as entry
+for name in ("density_search", "map_points", "encode_documents"):
+    print(name, entry.queries()[name](spark, {SF001!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "map_points 500" in done.stdout
