@@ -20,7 +20,7 @@ from lshthemes.functions.hashing import (
     probe_masks,
 )
 from lshthemes.functions.vectors import infer_dim, project
-from lshthemes.operators.search import hash_queries, index_at
+from lshthemes.operators.search import bucket_join, hash_queries, index_at
 
 
 def principal_axes(corpus: DataFrame, dim: int) -> np.ndarray:
@@ -124,13 +124,13 @@ def probe_classes(
     )
     classes = (
         hash_queries(queries, dim, bits, seed=seed)
-        .select("query_id", "bucket_id", F.explode(flips).alias("mask"))
+        .select("query_id", F.col("bucket_id").alias("own"), F.explode(flips).alias("mask"))
         .select(
             "query_id",
-            F.col("bucket_id").bitwiseXOR(F.col("mask")).alias("bucket_int"),
+            F.col("own").bitwiseXOR(F.col("mask")).alias("bucket_id"),
             colour.alias("probe_class"),
         )
     )
-    return points.join(classes, "bucket_int").select(
-        "query_id", *[c for c in ("file_path", "row_id") if c in points.columns], "probe_class"
-    )
+    place = [c for c in ("file_path", "row_id") if c in points.columns]
+    rows = points.select(F.col("bucket_int").alias("bucket_id"), *place)
+    return bucket_join(classes, rows).select("query_id", *place, "probe_class")

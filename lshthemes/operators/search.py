@@ -145,7 +145,7 @@ def _strategy(
             F.map_from_entries(F.collect_list(part)).alias("parts"),
         )
     )
-    joined = hashed.join(keyed_by_bucket(sizes, base_bits), "bucket_id", "left")
+    joined = hashed.join(keyed_by_bucket(sizes, base_bits + refine_bits), "bucket_id", "left")
     joined = joined.withColumn("part_size", F.try_element_at("parts", F.col("level1")))
     status = (
         F.when(F.col("bucket_size").isNull(), "empty")
@@ -242,19 +242,17 @@ def multi_probe_search(
     return _ranked(routed, rows, dim, k, payload, bits, query_bytes=query_bytes)
 
 
-def _bucket_join(keyed: DataFrame, index: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Queries to index entries of the same bucket.
+def bucket_join(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Queries ``(query_id, bucket_id, ..)`` to rows ``(bucket_id, row_id, ..)`` of the same bucket.
 
-    Few queries travel to the entries, which stay where they are. Many are joined by a shuffle in which a
-    salt from the row id splits every bucket, so a hot one is spread over many tasks.
+    Few queries travel to the rows, which stay where they are. Many are joined by a shuffle in which a salt
+    from the row id splits every bucket, so a hot one is spread over many tasks.
     """
     if keyed.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return index.select(*keep).join(F.broadcast(keyed), "bucket_id")
-    salted = index.select(*keep).withColumn(
-        "salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")
-    )
+        return rows.join(F.broadcast(keyed), "bucket_id")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
     spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["bucket_id", "salt"])
+    return salted.join(spread, ["bucket_id", "salt"]).drop("salt")
 
 
 def _identity(index: DataFrame) -> list[str]:
@@ -272,7 +270,7 @@ def candidates(
     keyed = hash_queries(queries, dim, base_bits, seed=seed).select("query_id", "bucket_id")
     entries = index_at(index, base_bits)
     ids = _identity(entries)
-    return _bucket_join(keyed, entries, ["bucket_id", *ids]).select("query_id", *ids)
+    return bucket_join(keyed, entries.select("bucket_id", *ids)).select("query_id", *ids)
 
 
 def refine_candidates(
@@ -292,7 +290,7 @@ def refine_candidates(
     entries = index_at(index, base_bits, refine_bits)
     ids = _identity(entries)
     return (
-        _bucket_join(keyed, entries, ["bucket_id", "level1", *ids])
+        bucket_join(keyed, entries.select("bucket_id", "level1", *ids))
         .where(F.col("only_level").isNull() | (F.col("only_level") == F.col("level1")))
         .select("query_id", *ids)
     )
@@ -313,7 +311,7 @@ def multi_probe_candidates(
     )
     entries = index_at(index, bits)
     ids = _identity(entries)
-    return _bucket_join(keyed, entries, ["bucket_id", *ids]).select("query_id", *ids)
+    return bucket_join(keyed, entries.select("bucket_id", *ids)).select("query_id", *ids)
 
 
 def multi_probe_stats(

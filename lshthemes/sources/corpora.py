@@ -95,22 +95,28 @@ class DatasetCatalog:
 
     folders: dict[str, str]
 
+    # Names of the files in a folder.
+    corpus_file: str = "{model}_embeddings.parquet"
+    index_file: str = "{model}_lsh_index.parquet"
+    metadata_file: str = "models_metadata.parquet"
+    map_file: str = "umap_3d_data_{model}.parquet"
+
     def folder(self, dataset: str) -> str:
         if dataset not in self.folders:
             raise ValueError(f"Unknown dataset: {dataset}")
         return self.folders[dataset].rstrip("/")
 
     def corpus_path(self, dataset: str, model: str) -> str:
-        return f"{self.folder(dataset)}/{model}_embeddings.parquet"
+        return f"{self.folder(dataset)}/{self.corpus_file.format(model=model)}"
 
     def index_path(self, dataset: str, model: str) -> str:
-        return f"{self.folder(dataset)}/{model}_lsh_index.parquet"
+        return f"{self.folder(dataset)}/{self.index_file.format(model=model)}"
 
     def metadata_path(self, dataset: str) -> str:
-        return f"{self.folder(dataset)}/models_metadata.parquet"
+        return f"{self.folder(dataset)}/{self.metadata_file}"
 
     def map_path(self, dataset: str, model: str) -> str:
-        return f"{self.folder(dataset)}/umap_3d_data_{model}.parquet"
+        return f"{self.folder(dataset)}/{self.map_file.format(model=model)}"
 
 
 def load_corpus(spark: SparkSession, path: str, shape: CorpusShape | None = None) -> DataFrame:

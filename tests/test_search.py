@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lshthemes.functions import TokenHashEncoder
 from lshthemes.operators import (
+    build_index,
     candidates,
     density_search,
     documents_by_id,
@@ -224,3 +225,17 @@ def test_searching_texts(spark, searches):
     report = search_text(texts, TokenHashEncoder(DIM), index)
     assert found(report.results) == found(density_search(queries, index, dim=DIM))
     assert report.strategy.count() == 40
+
+
+def test_golden_outcomes_at_a_low_threshold(vectors):
+    """Given vectors against each other, with every branch of the density rule."""
+    asked = vectors.where("row_id < 50").withColumnRenamed("row_id", "query_id")
+    index = build_index(vectors.where("row_id >= 50"), dim=DIM, carry=("embedding",))
+    rows = search_strategy(asked, index, threshold=3, dim=DIM).groupBy("status", "fell_back").count()
+    assert {(r[0], r[1]): r[2] for r in rows.collect()} == {
+        ("sparse", False): 19,
+        ("refined", False): 7,
+        ("refined", True): 15,
+        ("empty", False): 9,
+    }
+    assert density_search(asked, index, k=5, threshold=3, dim=DIM).count() == 92
