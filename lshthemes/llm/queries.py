@@ -4,25 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lshthemes.llm import bpe
 from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.sharding import assign_shards
+from lshthemes.llm.token_records import token_layout, write_token_records
+from lshthemes.sources.scratch import scratch_path
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Ids of each text, and the text decoded from them, as digests."""
+    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    encoded = docs.select("doc_id", bpe.encoder(path, pattern)("text").alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decoder(path, pattern)("ids"))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-records")
+    index = write_token_records(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY))
+    return token_layout(spark, index)
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = (op2_content_sort_dedup, op10_jump_shards)
+QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op10_jump_shards)
 
 ORACLE = {
     "op2_content_sort_dedup": r"""
