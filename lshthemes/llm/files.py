@@ -31,7 +31,7 @@ def new_part(folder: str, suffix: str) -> tuple[int, str]:
 def create(uri: str):
     where, path = locate(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(path)
+    return where.open_output_stream(path, compression=None)  # names ending in .gz hold members made here
 
 
 def open_random(uri: str):

@@ -12,6 +12,7 @@ from lshthemes.llm import bpe
 from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.sharding import assign_shards
 from lshthemes.llm.token_records import token_layout, write_token_records
+from lshthemes.llm.warc import read_warc, write_warc
 from lshthemes.sources.scratch import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,11 +49,16 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_layout(spark, index)
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_warc(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op10_jump_shards)
+QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op6_warc_round_trip, op10_jump_shards)
 
 ORACLE = {
     "op2_content_sort_dedup": r"""
@@ -66,6 +72,17 @@ g AS (
          count(*) OVER (PARTITION BY norm) AS group_size
   FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op6_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS head FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM g""",
 }
 
 
