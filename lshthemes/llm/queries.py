@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lshthemes.llm import bpe
 from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.sharding import assign_shards
+from lshthemes.llm.simhash import near_groups
 from lshthemes.llm.token_records import token_layout, write_token_records
 from lshthemes.llm.warc import read_warc, write_warc
 from lshthemes.sources.scratch import scratch_path
@@ -54,11 +55,16 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op6_warc_round_trip, op10_jump_shards)
+QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op6_warc_round_trip, op7_simhash_groups, op10_jump_shards)
 
 ORACLE = {
     "op2_content_sort_dedup": r"""
