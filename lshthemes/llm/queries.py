@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lshthemes.llm import bpe
 from lshthemes.llm.exact_dedup import exact_groups
+from lshthemes.llm.resampling import resample
 from lshthemes.llm.sharding import assign_shards
 from lshthemes.llm.simhash import near_groups
 from lshthemes.llm.token_records import token_layout, write_token_records
+from lshthemes.llm.toxicity import THRESHOLD, toxicity, train_on
 from lshthemes.llm.warc import read_warc, write_warc
 from lshthemes.sources.scratch import scratch_path
 
@@ -60,11 +62,29 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def held_out(id: str = "doc_id") -> Column:
+    """Documents whose labels are never learnt from."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = train_on(docs, labels.where(~held_out()))
+    scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), toxicity(machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_target"))
+    return resample(_table(spark, sf_dir, "documents"), target)
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op6_warc_round_trip, op7_simhash_groups, op10_jump_shards)
+QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op6_warc_round_trip, op7_simhash_groups, op8_toxicity,
+    op9_importance_resampling, op10_jump_shards)
 
 ORACLE = {
     "op2_content_sort_dedup": r"""
