@@ -13,6 +13,7 @@ from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.resampling import resample
 from lshthemes.llm.sharding import assign_shards
 from lshthemes.llm.simhash import near_groups
+from lshthemes.llm.templates import benchmark_hits
 from lshthemes.llm.token_records import token_layout, write_token_records
 from lshthemes.llm.toxicity import THRESHOLD, toxicity, train_on
 from lshthemes.llm.warc import read_warc, write_warc
@@ -52,6 +53,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_layout(spark, index)
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_warc(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -83,8 +88,17 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = (op1_bpe_round_trip, op2_content_sort_dedup, op3_token_records, op6_warc_round_trip, op7_simhash_groups, op8_toxicity,
-    op9_importance_resampling, op10_jump_shards)
+QUERIES = (
+    op1_bpe_round_trip,
+    op2_content_sort_dedup,
+    op3_token_records,
+    op4_template_decontamination,
+    op6_warc_round_trip,
+    op7_simhash_groups,
+    op8_toxicity,
+    op9_importance_resampling,
+    op10_jump_shards,
+)
 
 ORACLE = {
     "op2_content_sort_dedup": r"""
