@@ -13,6 +13,7 @@ from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.resampling import resample
 from lshthemes.llm.sharding import assign_shards
 from lshthemes.llm.simhash import near_groups
+from lshthemes.llm.suffix_index import cut_repeats
 from lshthemes.llm.templates import benchmark_hits
 from lshthemes.llm.token_records import token_layout, write_token_records
 from lshthemes.llm.toxicity import THRESHOLD, toxicity, train_on
@@ -57,6 +58,16 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_warc(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -93,6 +104,7 @@ QUERIES = (
     op2_content_sort_dedup,
     op3_token_records,
     op4_template_decontamination,
+    op5_suffix_index_dedup,
     op6_warc_round_trip,
     op7_simhash_groups,
     op8_toxicity,
