@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lshthemes.sources.scratch import scratch_path
 
 #: Rows that ask for the same label are spread over so many tasks.
-SALTS = 32
+SALTS = 8
 
 
 def _stored(df: DataFrame, purpose: str) -> DataFrame:

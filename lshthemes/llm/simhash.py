@@ -1,11 +1,11 @@
 """Near duplicates by SimHash, linked exactly through vantage-point trees.
 
 A fingerprint is the bitwise majority of the hashes of a text's word shingles. Distinct fingerprints are dealt to shards
-by a vantage-point tree: each inner node halves its fingerprints by their Hamming distance to a vantage point, and by the
+by a vantage-point tree: each inner node parts its fingerprints by their Hamming distance to a vantage point, and by the
 triangle inequality a fingerprint at distance ``d`` can only link into the near half if ``d - radius`` is within the
 bound, and into the far half if ``d + radius`` is beyond it. The tree over shards is built from a bounded sample of
 fingerprints (``SAMPLE``); every fingerprint goes to its own shard and is asked in each shard that the bounds leave
-open, so no link is lost. Within a shard the same halving goes on in memory. Shards with many fingerprints are cut into
+open, so no link is lost. Within a shard the same goes on in memory. Shards with many fingerprints are cut into
 blocks of askers and blocks of points. Instead of all pairs a shard reports, for each asker, a spanning set of links.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero, and such texts link like any others.
@@ -16,6 +16,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,13 +34,17 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints from which the tree over shards is built, at most.
 SAMPLE = 20_000
-#: Fingerprints that a shard should own, and the most shards.
-SHARD_ROWS = 2_000
+#: Shards grow with the root of the fingerprints, so that neither their number (and with it how often a fingerprint is
+#: asked) nor their size grows in full proportion: this many fingerprints' root makes one shard.
+SHARD_ROOT = 16
 MOST_SHARDS = 4_096
 #: Askers and points of one task's block.
-BLOCK_ROWS = 4_096
+ASK_BLOCK = 8_192
+OWN_BLOCK = 65_536
 #: Links held before they are reduced to a spanning set.
 HELD_LINKS = 500_000
+#: Share of comparisons that a split may leave.
+WORTH = 0.95
 #: Below this many points a node is compared as a whole.
 LEAF = 48
 #: Shingles of a text that are counted at a time.
@@ -79,35 +84,44 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def choose_split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
+    """A vantage point and a bound, of some that are tried on some of the points: those that leave the smallest share of
+    comparisons, with askers near the bound going both ways. None where no split saves anything to speak of."""
+    tried = points[:: max(1, len(points) // 16)][:16]
+    some = points[:: max(1, len(points) // 512)]
+    distances = _distance(tried[:, None], some[None, :])
+    counts = np.zeros((len(tried), 65 + 2 * radius))
+    np.add.at(counts, (np.arange(len(tried))[:, None], distances.astype(np.int64) + radius), 1)
+    within = np.cumsum(counts, axis=1) / len(some)  # share at a distance of at most (column - radius)
+    near, reached, missed = within[:, radius : radius + 64], within[:, 2 * radius : 2 * radius + 64], within[:, :64]
+    cost = reached * near + (1 - missed) * (1 - near)
+    best = np.unravel_index(int(np.argmin(cost)), cost.shape)
+    return (tried[best[0]], int(best[1])) if cost[best] < WORTH else None
+
+
 class Tree:
     """Vantage points over shards: node ``k`` has a point, a bound and two children, shards are negative."""
 
-    def __init__(self, sample: np.ndarray, shards: int) -> None:
+    def __init__(self, sample: np.ndarray, shards: int, radius: int) -> None:
         self.nodes: list[tuple[np.uint64, int, int, int]] = []
-        self.shards = 0
+        self.shards, self.radius = 0, radius
         self.leaf = max(1, len(sample) // max(1, shards))
         self.root = self._grow(sample)
 
     def _grow(self, points: np.ndarray) -> int:
-        if len(points) > self.leaf:
-            far = _distance(points, points[0])
-            vantage = points[int(np.argmax(far))]  # at the rim, where distances spread most
-            d = _distance(points, vantage)
-            bound = int(np.median(d))
-            near = d <= bound
-            if near.all():
-                bound = int(d.max()) - 1
-                near = d <= bound
-            if near.any() and not near.all():
-                at = len(self.nodes)
-                self.nodes.append((vantage, bound, 0, 0))
-                left, right = self._grow(points[near]), self._grow(points[~near])
-                self.nodes[at] = (vantage, bound, left, right)
-                return at
-        self.shards += 1
-        return -self.shards
-
-    def places(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        split = choose_split(points, self.radius) if len(points) > self.leaf else None
+        if split is None:
+            self.shards += 1
+            return -self.shards
+        vantage, bound = split
+        near = _distance(points, vantage) <= bound
+        at = len(self.nodes)
+        self.nodes.append((vantage, bound, 0, 0))
+        left, right = self._grow(points[near]), self._grow(points[~near])
+        self.nodes[at] = (vantage, bound, left, right)
+        return at
+
+    def places(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, shard, owner)``: every shard that a point must be asked in, and whether the shard is its own."""
         out: list[tuple[np.ndarray, int, np.ndarray]] = []
         todo = [(self.root, np.arange(len(points)), np.ones(len(points), dtype=bool))]
@@ -120,7 +134,10 @@ class Tree:
                 continue
             vantage, bound, left, right = self.nodes[node]
             d = _distance(points[rows], vantage).astype(np.int16)
-            for child, take, mine in ((left, d - radius <= bound, d <= bound), (right, d + radius > bound, d > bound)):
+            for child, take, mine in (
+                (left, d - self.radius <= bound, d <= bound),
+                (right, d + self.radius > bound, d > bound),
+            ):
                 todo.append((child, rows[take], own[take] & mine[take]))
         if not out:
             return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
@@ -141,19 +158,14 @@ def near_links(askers: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.
         own, ask = todo.pop()
         if not len(own) or not len(ask):
             continue
-        if len(own) > LEAF:
-            far = _distance(own, own[0])
-            vantage = own[int(np.argmax(far))]
-            d = _distance(own, vantage)
-            bound = int(np.median(d))
-            if (d <= bound).all():
-                bound = int(d.max()) - 1
-            near = d <= bound
-            if near.any() and not near.all():
-                e = _distance(ask, vantage).astype(np.int16)
-                todo.append((own[near], ask[e - radius <= bound]))
-                todo.append((own[~near], ask[e + radius > bound]))
-                continue
+        split = choose_split(own, radius) if len(own) > LEAF else None
+        if split:
+            vantage, bound = split
+            near = _distance(own, vantage) <= bound
+            e = _distance(ask, vantage).astype(np.int16)
+            todo.append((own[near], ask[e - radius <= bound]))
+            todo.append((own[~near], ask[e + radius > bound]))
+            continue
         for at in range(0, len(ask), 4096):
             part = ask[at : at + 4096]
             for first in range(0, len(own), LEAF):
@@ -195,8 +207,9 @@ def link_fingerprints(
     prints: DataFrame,
     radius: int = RADIUS,
     sample: int = SAMPLE,
-    shard_rows: int = SHARD_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    shard_root: int = SHARD_ROOT,
+    ask_block: int = ASK_BLOCK,
+    own_block: int = OWN_BLOCK,
 ) -> DataFrame:
     """Links ``(a, b)`` that connect what all links within ``radius`` connect, of distinct ``prints(fp)``."""
     spark = prints.sparkSession
@@ -204,12 +217,12 @@ def link_fingerprints(
     share = min(1.0, sample / max(1, total))
     picked = prints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample)
     some = np.sort(np.array([r[0] for r in picked.collect()], dtype=np.int64)).view(np.uint64)
-    tree = Tree(some, min(MOST_SHARDS, -(-total // shard_rows)))
+    tree = Tree(some, min(MOST_SHARDS, math.ceil(math.sqrt(total) / shard_root)), radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, shard, own = tree.places(fps.view(np.uint64), radius)
+            rows, shard, own = tree.places(fps.view(np.uint64))
             yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "fp": pa.array(fps[rows]), "own": pa.array(own)})
 
     path = scratch_path(spark, "shards")
@@ -217,8 +230,8 @@ def link_fingerprints(
     dealt = spark.read.parquet(path)
     # at most MOST_SHARDS rows: how many blocks of askers and of points each shard has
     sizes = dealt.groupBy("shard").agg(
-        F.ceil(F.count("*") / block_rows).cast("int").alias("asks"),
-        F.ceil(F.sum(F.col("own").cast("int")) / block_rows).cast("int").alias("owns"),
+        F.ceil(F.count("*") / ask_block).cast("int").alias("asks"),
+        F.ceil(F.sum(F.col("own").cast("int")) / own_block).cast("int").alias("owns"),
     )
     placed = dealt.join(F.broadcast(sizes), "shard")
     slot = F.xxhash64("fp", F.lit(7))
@@ -236,28 +249,45 @@ def link_fingerprints(
 
 
 
-def near_groups(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """One row per document: ``(id, fp, component_id, *carry)``, with the smallest identifier of its group."""
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row per document: ``(id, fp, component_id, mark, stays)``. ``component_id`` is the smallest identifier of the
+    group, and the row with it stays; ``mark`` is a hash of the text, which tells rows of one identifier apart."""
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    docs.select(F.col(id).alias("id"), fingerprints(words)(text).alias("fp"), *carry).write.parquet(path)
-    marked = spark.read.parquet(path)
-    first = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    docs.select(
+        F.col(id).alias("id"), F.xxhash64(text).alias("mark"), fingerprints(words)(text).alias("fp")
+    ).write.parquet(path)
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    marked = spark.read.parquet(path).withColumn("who", who)
+    first = marked.groupBy("fp").agg(F.min("who").alias("least"))
     linked = components(link_fingerprints(first.select("fp"), radius))
     named = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = named.groupBy("label").agg(F.min("least").alias("head"))
     # a group that most rows share is looked up under salted keys, twice: by label, then by fingerprint
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SALTS)).cast("int")
     of_print = (
         named.select("fp", "label", salt("fp").alias("salt"))
         .join(least.select("*", salts), ["label", "salt"])
-        .select("fp", "component_id")
+        .select("fp", "head")
     )
     return (
-        marked.withColumn("salt", salt("id"))
+        marked.withColumn("salt", salt("id", "mark"))
         .join(of_print.select("*", salts), ["fp", "salt"])
-        .select(F.col("id").alias(id), "fp", "component_id", *carry)
+        .select(
+            F.col("id").alias(id), "fp", F.col("head")["id"].alias("component_id"), "mark", (F.col("who") == F.col("head")).alias("stays")
+        )
     )
+
+
+def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The row that stays of each group, as it came in; rows repeated in full stay or go together.
+
+    Only those that go are looked up, by identifier and a hash of the text."""
+    path = scratch_path(docs.sparkSession, "near-groups")
+    near_groups(docs, id, text, words, radius).where("NOT stays").select(
+        F.col(id).alias("gone_id"), F.col("mark").alias("gone_mark")
+    ).distinct().write.parquet(path)
+    gone = docs.sparkSession.read.parquet(path)
+    here = docs[id].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text]) == gone["gone_mark"])
+    return docs.join(gone, here, "left_anti")
