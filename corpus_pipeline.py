@@ -3,17 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lshthemes.llm.exact_dedup import drop_exact_copies
+from lshthemes.llm.queries import bpe_digests, held_out
+from lshthemes.llm.simhash import keep_one_of_each
+from lshthemes.llm.templates import drop_contaminated
+from lshthemes.llm.toxicity import THRESHOLD, toxicity, train_on
 from lshthemes.sources.scratch import scratch_path
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine doesn't reject. It is trained on the labels of the tables, as the query is."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    machine = train_on(docs, labels)
+    return docs.withColumn("_toxicity", toxicity(machine)).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that fingerprints link: the one with the smallest identifier."""
+    return keep_one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left, as digests, and those of the texts they decode to."""
+    return bpe_digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("simhash near dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("bpe", bpe_stage),
+]
 
 #: Toxicity and the near copies have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
