@@ -155,7 +155,7 @@ def _model(path: str, pattern: str) -> PairIndexBpe:
 
 
 #: Texts of one index at a time; bounds its memory where batches hold long texts.
-INDEX_CHARS = 4_000_000
+INDEX_CHARS = 1_000_000
 
 
 def blocks(texts: Iterator[str | None], most: int) -> Iterator[list[str]]:

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Remembered chunks of one Python worker; forgetting them changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 _RUN = re.compile(r"[ \n](?:\s|\Z)")
 _CUT = re.compile(r"([ \n](?=\S))")
 _MARKS = ".,!?;:"
