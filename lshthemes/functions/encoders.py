@@ -17,15 +17,6 @@ from pyspark.sql import functions as F
 
 from lshthemes.functions.vectors import evaluated_once
 
-# Public model names by short name.
-SENTENCE_MODELS = {
-    "MiniLM-L3": "sentence-transformers/paraphrase-MiniLM-L3-v2",
-    "MiniLM-L6": "sentence-transformers/all-MiniLM-L6-v2",
-    "MiniLM-L12": "sentence-transformers/all-MiniLM-L12-v2",
-    "MPNet-base": "sentence-transformers/all-mpnet-base-v2",
-}
-
-
 class _Slots(dict):
     """Slot of every word met: below ``dim`` it counts up, from there on down."""
 
@@ -62,23 +53,6 @@ class TokenHashEncoder:
         return out
 
 
-class SentenceEncoder:
-    """A sentence-transformers model, loaded in the worker at first use."""
-
-    def __init__(self, model: str, dim: int):
-        self.model, self.dim = SENTENCE_MODELS.get(model, model), dim
-        self._loaded = None
-
-    def encode(self, texts: list[str]) -> np.ndarray:
-        if self._loaded is None:
-            try:
-                from sentence_transformers import SentenceTransformer
-            except ImportError as e:
-                raise ImportError("SentenceEncoder needs sentence-transformers on workers") from e
-            self._loaded = SentenceTransformer(self.model)
-        return self._loaded.encode(texts, convert_to_numpy=True)
-
-
 def _vectors(texts: pa.Array, encoder) -> pa.Array:
     matrix = encoder.encode([t or "" for t in texts.to_pylist()])
     offsets = np.arange(0, matrix.size + 1, encoder.dim, dtype=np.int32)

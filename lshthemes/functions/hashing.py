@@ -23,6 +23,15 @@ REFINE_BITS = 4
 # A table keyed by ids of this many bits has at most 65,536 rows and may be broadcast.
 BROADCAST_BITS = 16
 
+# A hash is a signed 64-bit integer.
+MOST_BITS = 62
+
+
+def checked_bits(bits: int) -> int:
+    if not 1 <= bits <= MOST_BITS:
+        raise ValueError(f"{bits} bits do not fit a hash of 1 to {MOST_BITS}")
+    return bits
+
 
 def hyperplanes(dim: int, n_bits: int = HASH_BITS, seed: int = SEED) -> np.ndarray:
     """``n_bits`` Gaussian planes of ``dim`` components."""
@@ -31,6 +40,7 @@ def hyperplanes(dim: int, n_bits: int = HASH_BITS, seed: int = SEED) -> np.ndarr
 
 def sign_hash(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """Bit ``i`` is set where the row lies strictly on the positive side of plane ``i``."""
+    checked_bits(len(planes))
     weights = np.left_shift(np.int64(1), np.arange(len(planes), dtype=np.int64))
     with np.errstate(all="ignore"):
         return (matrix @ planes.T > 0) @ weights
@@ -41,6 +51,7 @@ def hash_vectors(
 ) -> DataFrame:
     """Add ``hash``. Vectors of another width get NULL, or raise when ``strict``."""
     dim = planes.shape[1]
+    checked_bits(len(planes))
 
     @F.arrow_udf("bigint")
     def hashed(vectors: pa.Array) -> pa.Array:

@@ -34,19 +34,15 @@ def evaluated_once(function):
 
 
 def infer_dim(df: DataFrame, vec: str = "embedding") -> int:
-    """Most common vector width among the first rows; pass ``dim`` yourself to save this look."""
-    widths = (
-        df.select(F.size(vec).alias("width"))
-        .where(F.col("width") > 0)
-        .limit(1000)
-        .groupBy("width")
-        .count()
-        .orderBy(F.desc("count"), "width")
-    )
-    first = widths.first()
-    if first is None:
+    """The width of all vectors of a table, from one count over all of it. Raises where there are several widths; pass
+    ``dim`` yourself to choose one, or to save the count."""
+    width = F.when(F.size(vec) > 0, F.size(vec))
+    low, high = df.agg(F.min(width), F.max(width)).first()
+    if low is None:
         raise ValueError(f"column {vec!r} holds no vectors, so dim must be given")
-    return first["width"]
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} components, so dim must be given")
+    return low
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -9,28 +9,16 @@ from pyspark.sql import functions as F
 
 from lshthemes.functions.text import preview
 from lshthemes.operators.index import identity
-from lshthemes.sources.scratch import use_checkpoints
-
-# Results up to this many rows travel to the corpus; beyond it both sides are shuffled.
-BROADCAST_RESULTS = 200_000
-
 
 def fetch_documents(
     results: DataFrame, corpus: DataFrame, preview_limit: int | None = None
 ) -> DataFrame:
-    """Results with ``body`` and ``preview``.
-
-    The results are settled first, so their real size decides whether they are broadcast; the text of the
-    corpus is then read once and not shuffled.
-    """
-    use_checkpoints(results.sparkSession)
-    settled = results.checkpoint()
+    """Results with ``body`` and ``preview``. How the two tables meet is left to adaptive execution, which sees their
+    sizes; repeat no search for it, but settle costly results first."""
     keys = identity(results, corpus)
-    few = settled.limit(BROADCAST_RESULTS + 1).count() <= BROADCAST_RESULTS
     shown = F.col("preview") if "preview" in corpus.columns else preview("body", "title", preview_limit)
     texts = corpus.select(*keys, "body", shown.alias("preview"))
-    joined = texts.join(F.broadcast(settled) if few else settled, keys)
-    return joined.select(*results.columns, "body", "preview")
+    return texts.join(results, keys).select(*results.columns, "body", "preview")
 
 
 def documents_by_id(corpus: DataFrame, item_ids: Iterable[str]) -> DataFrame:

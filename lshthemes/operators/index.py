@@ -11,6 +11,7 @@ from lshthemes.functions.hashing import (
     BASE_BITS,
     HASH_BITS,
     SEED,
+    checked_bits,
     hash_vectors,
     hyperplanes,
     low_bits,
@@ -31,8 +32,9 @@ def build_index(
 
     ``carry`` stores further corpus columns in the index. With the vector and the columns to show carried,
     a search reads the rows of its buckets and joins nothing. Rows whose vector does not fit are left out
-    (``index_health`` counts them) unless ``strict``.
+    (``index_health`` counts them) unless ``strict``. Without ``dim`` all vectors must have one width.
     """
+    checked_bits(bits)
     dim = dim or infer_dim(corpus)
     hashed = hash_vectors(corpus, hyperplanes(dim, max(bits, HASH_BITS), seed), strict=strict)
     path = F.col("file_path") if "file_path" in corpus.columns else F.lit(file_path)
@@ -49,9 +51,19 @@ def build_index(
 
 
 def identity(index: DataFrame, corpus: DataFrame) -> list[str]:
-    """Columns that name a row in both tables."""
-    both = "file_path" in index.columns and "file_path" in corpus.columns
-    return ["file_path", "row_id"] if both else ["row_id"]
+    """Columns that name a row in both tables.
+
+    Positions repeat from file to file. An index over several files can only be matched with a corpus that names the
+    files too; without that this raises.
+    """
+    if "file_path" not in index.columns:
+        return ["row_id"]
+    if "file_path" in corpus.columns:
+        return ["file_path", "row_id"]
+    low, high = index.agg(F.min("file_path"), F.max("file_path")).first()
+    if low != high:
+        raise ValueError("the index holds rows of several files, and the corpus does not say which row is from which")
+    return ["row_id"]
 
 
 def bucket_sizes(index: DataFrame) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from lshthemes.functions.hashing import keyed_by_bucket
 from lshthemes.operators.index import identity
 
-# More rows than this are not broadcast on the strength of a caller's limits.
-BROADCAST_ROWS = 100_000
-
 
 def in_buckets(
     index: DataFrame, buckets: DataFrame | Iterable[int] | None, bits: int | None = None
@@ -75,18 +72,15 @@ def sample_bucket_items(
     corpus: DataFrame,
     buckets: DataFrame | Iterable[int] | None,
     n: int,
-    max_buckets: int | None = None,
     bits: int | None = None,
 ) -> DataFrame:
     """``sample_items(bucket_items(...), n)`` without moving the text of whole buckets.
 
     Only row ids are shuffled to find which entries exist. The sample is taken from those, and the text is
-    fetched for the sampled rows alone. ``max_buckets`` is how many buckets there can be, if known.
+    fetched for the sampled rows alone.
     """
     keys = identity(index, corpus)
     sample = sample_items(present_entries(index, corpus, buckets, bits), n)
-    if max_buckets is not None and max_buckets * n <= BROADCAST_ROWS:
-        sample = F.broadcast(sample)
     return corpus.join(sample, keys).select(
         "bucket_id", "row_id", "pos", *[c for c in corpus.columns if c != "row_id"]
     )

@@ -20,7 +20,7 @@ from lshthemes.functions.hashing import (
     probe_masks,
 )
 from lshthemes.functions.vectors import infer_dim, project
-from lshthemes.operators.search import bucket_join, hash_queries, index_at
+from lshthemes.operators.search import bucket_join, check_settings, hash_queries, index_at
 
 
 def principal_axes(corpus: DataFrame, dim: int) -> np.ndarray:
@@ -45,6 +45,7 @@ def map_points(
     seed: int = SEED,
     dim: int | None = None,
     axes: np.ndarray | None = None,
+    index_bits: int | None = None,
 ) -> DataFrame:
     """A point for every corpus row: a projection of its vector, its bucket and the bucket's size.
 
@@ -53,6 +54,7 @@ def map_points(
     ``principal_axes``.
     """
     dim = dim or infer_dim(corpus)
+    check_settings(index, bits, dim, seed, index_bits)
     n_planes = max(bits, HASH_BITS)
     planes = hyperplanes(dim, n_planes + 3, seed)
     sizes = (
@@ -106,22 +108,15 @@ def probe_classes(
     queries: DataFrame,
     bits: int = BASE_BITS,
     radius: int = 2,
-    include_other: bool = False,
     dim: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Colour of the points for each query: ``red`` in its bucket, ``orange`` in a probed one.
 
-    ``include_other`` adds the remaining points in ``lightgray``; the result then has a row for every query
-    and point. Either way it is an equi-join on the bucket.
+    All other points are ``lightgray`` and have no row. It is an equi-join on the bucket.
     """
-    masks = probe_masks(bits, bits if include_other else radius)
-    flips = F.array(*[F.lit(m).cast("bigint") for m in masks])
-    colour = (
-        F.when(F.col("mask") == 0, "red")
-        .when(F.bit_count("mask") <= radius, "orange")
-        .otherwise("lightgray")
-    )
+    flips = F.array(*[F.lit(m).cast("bigint") for m in probe_masks(bits, radius)])
+    colour = F.when(F.col("mask") == 0, "red").otherwise("orange")
     classes = (
         hash_queries(queries, dim, bits, seed=seed)
         .select("query_id", F.col("bucket_id").alias("own"), F.explode(flips).alias("mask"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +34,6 @@ UNDEFINED = -2.0
 # Scores held at once inside a task.
 TILE = 1 << 21
 
-# Bucket ids listed in a filter on the rows.
-FILTER_IDS = 1024
-
 
 def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length one, and the lengths; NaN marks a row without direction."""
@@ -205,8 +203,9 @@ def _one_pass(
     k: int,
     kept: list[str],
     stored_bits: int | None,
-) -> DataFrame:
-    """Score one block of queries against the rows."""
+) -> tuple[DataFrame, Broadcast | None]:
+    """Scores one block of queries against the rows. Also the broadcast block, to be destroyed when the result is
+    stored."""
     spark = rows.sparkSession
     needed = [c for c in ("embedding", "bucket_id", "level1") if c in rows.columns]
     schema = T.StructType(
@@ -217,7 +216,7 @@ def _one_pass(
         ]
     )
     if not block:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), None
     shared = spark.sparkContext.broadcast(packed_queries(block))
     id_arrow = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
 
@@ -226,14 +225,16 @@ def _one_pass(
         return _rank_partition(batches, dim, k, QueryBlock(*queries), pa.array(ids, id_arrow), kept)
 
     routed = rows
-    buckets = sorted({b for r in block if "buckets" in r for b in r["buckets"]})
-    if "bucket_id" in needed and len(buckets) <= FILTER_IDS:
-        routed = routed.where(F.col("bucket_id").isin(buckets))
+    if "bucket_id" in needed and "buckets" in block[0]:
+        buckets = sorted({b for r in block for b in r["buckets"]})
         if stored_bits is not None:
             # On stored columns only, so it reaches the scan and skips row groups of other buckets.
-            stored = F.col("stored_bucket").isin(buckets)
+            stored = F.col("stored_bucket").between(buckets[0], buckets[-1])
             routed = routed.where((F.col("bits") != stored_bits) | stored)
-    return routed.select(*dict.fromkeys([*needed, *kept])).mapInArrow(rank, schema)
+        # No more ids than the block's queries probe, and the block is bounded.
+        probed = spark.createDataFrame(pa.table({"bucket_id": pa.array(buckets, pa.int64())}))
+        routed = routed.join(F.broadcast(probed), "bucket_id", "left_semi")
+    return routed.select(*dict.fromkeys([*needed, *kept])).mapInArrow(rank, schema), shared
 
 
 def rank_rows(
@@ -247,7 +248,7 @@ def rank_rows(
 ) -> DataFrame:
     """The ``k`` most similar rows of every query.
 
-    ``queries`` has ``query_id`` (unique), ``embedding`` and optionally ``buckets``, the ids whose rows the
+    ``queries`` has ``query_id`` (unique, else this raises), ``embedding`` and optionally ``buckets``, the ids whose rows the
     query looks at, and ``only_level``, the ``level1`` those rows must have. ``rows`` has ``row_id``,
     ``embedding`` and the matching ``bucket_id`` and ``level1``. With ``stored_bits`` they also have ``bits``
     and ``stored_bucket`` as the index stores them, which equals ``bucket_id`` where the bits agree.
@@ -260,13 +261,8 @@ def rank_rows(
     carried = ["row_id", *[c for c in ("file_path",) if c in rows.columns]]
     carried += [c for c in payload if c in rows.columns and c not in carried]
     usable = queries.where(F.size("embedding") == dim)
-    limit = max(1, query_bytes // (8 * dim))
-
-    first = usable.limit(limit + 1).collect()
-    if len(first) <= limit:
-        found = _one_pass(rows, first, id_type, dim, k, carried, stored_bits)
-    else:
-        found = _in_blocks(rows, usable, id_type, dim, k, carried, stored_bits, limit)
+    probes = F.size("buckets") if "buckets" in queries.columns else F.lit(0)
+    found = _in_blocks(rows, usable.withColumn("_bytes", 8 * (dim + probes)), id_type, dim, k, carried, stored_bits, query_bytes)
     ranked = top_k(found, k)
     return ranked.select("query_id", "rank", *carried, "similarity")
 
@@ -281,24 +277,28 @@ def _in_blocks(
     stored_bits: int | None,
     limit: int,
 ) -> DataFrame:
-    """All queries, however many: one pass over the rows per bounded block, results kept in files."""
+    """All queries, however many: one pass over the rows per block of at most about ``limit`` bytes of vectors and
+    probed ids. With several blocks the rows are written once, and results are kept in files."""
     spark = rows.sparkSession
     stored = scratch_path(spark, "queries")
     # The encoder and the routing run once, not once per block.
     queries.write.parquet(stored)
     queries = spark.read.parquet(stored)
-    n_blocks = -(-queries.count() * 5 // (4 * limit))
-    for _ in range(10):
-        number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        sizes = queries.groupBy(number.alias("block")).count()
-        if sizes.agg(F.max("count")).first()[0] <= limit:
-            break
-        n_blocks *= 2
-    else:
+    if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
         raise ValueError("query_id must be unique")
-    results = scratch_path(spark, "results")
+    total = queries.agg(F.sum("_bytes")).first()[0] or 0
+    if total <= limit:
+        return _one_pass(rows, queries.drop("_bytes").collect(), id_type, dim, k, carried, stored_bits)[0]
+    n_blocks = -(-total * 5 // (4 * limit))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    needed = [c for c in ("embedding", "bucket_id", "level1", "bits", "stored_bucket") if c in rows.columns]
+    kept_rows, results = scratch_path(spark, "rows"), scratch_path(spark, "results")
+    rows.select(*dict.fromkeys([*needed, *carried])).write.parquet(kept_rows)
+    rows = spark.read.parquet(kept_rows)
     for i in range(n_blocks):
-        part = queries.where(number == i).collect()
-        found = _one_pass(rows, part, id_type, dim, k, carried, stored_bits)
+        part = queries.where(number == i).drop("_bytes").collect()
+        found, shared = _one_pass(rows, part, id_type, dim, k, carried, stored_bits)
         found.write.mode("append").parquet(results)
+        if shared is not None:
+            shared.destroy()
     return spark.read.parquet(results)

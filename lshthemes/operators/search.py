@@ -28,44 +28,94 @@ from lshthemes.functions.hashing import (
 from lshthemes.functions.vectors import infer_dim
 from lshthemes.operators.index import identity
 from lshthemes.operators.ranking import QUERY_BYTES, rank_rows
+from lshthemes.sources.indexes import SETTINGS, settings_of
 from lshthemes.sources.scratch import use_checkpoints
 
 PAYLOAD = ("item_id", "title")
 
-# Queries up to this many are broadcast to the index; more are joined by a salted shuffle.
-BROADCAST_QUERIES = 50_000
+# Parts of a bucket where queries and rows are paired by a shuffle.
 SALTS = 32
 
 
+def check_settings(
+    index: DataFrame, bits: int, dim: int | None = None, seed: int = SEED, index_bits: int | None = None
+) -> None:
+    """Raises where an index cannot answer: other seed or width than the queries', rows that differ in their settings,
+    or more bits asked for than it stores. One small aggregate over the settings of all rows.
+
+    An index without settings of its own (ids alone) needs ``index_bits``, the width of its ids."""
+    if "hash" not in index.columns:
+        if index_bits is None:
+            raise ValueError("the index does not say how wide its ids are, so index_bits must be given")
+        if bits > index_bits:
+            raise ValueError(f"{bits} bits are asked for and the index has {index_bits}")
+        return
+    stored = settings_of(index) if set(SETTINGS) <= set(index.columns) else None
+    if stored is None:
+        if bits > HASH_BITS:
+            raise ValueError(f"{bits} bits are asked for, and the index is not known to store more than {HASH_BITS}")
+        return
+    if stored["seed"] != seed:
+        raise ValueError(f"the index was built with seed {stored['seed']}, not {seed}")
+    if dim is not None and stored["dim"] != dim:
+        raise ValueError(f"the index holds vectors of {stored['dim']} components, not {dim}")
+    if bits > max(stored["bits"], HASH_BITS):
+        raise ValueError(f"{bits} bits are asked for and the index stores {max(stored['bits'], HASH_BITS)}")
+
+
 def hash_queries(
     queries: DataFrame,
     dim: int | None = None,
     base_bits: int = BASE_BITS,
     refine_bits: int = REFINE_BITS,
     seed: int = SEED,
+    keep_unfit: bool = False,
 ) -> DataFrame:
-    """Queries with ``hash``, ``bucket_id`` and ``level1``; vectors that do not fit are left out."""
+    """Queries with ``hash``, ``bucket_id`` and ``level1``. Vectors that do not fit are left out, or kept with nulls."""
     dim = dim or infer_dim(queries)
     bits = max(HASH_BITS, base_bits + refine_bits)
     hashed = hash_vectors(queries, hyperplanes(dim, bits, seed))
-    return with_buckets(hashed.where(F.col("hash").isNotNull()), base_bits, refine_bits)
+    return with_buckets(hashed if keep_unfit else hashed.where(F.col("hash").isNotNull()), base_bits, refine_bits)
 
 
 def index_at(index: DataFrame, base_bits: int, refine_bits: int = 0) -> DataFrame:
-    """The index with ``bucket_id`` at ``base_bits`` and, if asked for, ``level1``.
-
-    The stored hash serves any number of bits; the id as stored stays in ``stored_bucket``.
-    """
+    """The index with ``bucket_id`` at ``base_bits`` and, if asked for, ``level1``; ``check_settings`` says whether it
+    stores as many. The id as stored stays in ``stored_bucket``. Ids without a hash are cut."""
     if "hash" not in index.columns:
         if refine_bits:
-            raise ValueError("the index stores no hash, so its buckets cannot be refined")
-        return index
+            raise ValueError("the index stores no hash, so its buckets cannot be refined without the corpus")
+        return index.withColumn("bucket_id", low_bits("bucket_id", base_bits))
     cut = {"bucket_id": low_bits("hash", base_bits), "stored_bucket": F.col("bucket_id")}
     if refine_bits:
         cut["level1"] = level_one("hash", base_bits, refine_bits)
     return index.withColumns(cut)
 
 
+def hashed_index(
+    index: DataFrame,
+    corpus: DataFrame | None,
+    hashed_queries: DataFrame,
+    dim: int,
+    base_bits: int,
+    refine_bits: int,
+    seed: int,
+    payload: Sequence[str] = (),
+) -> DataFrame:
+    """An index of ids alone with the hashes of the entries that the queries can meet: those in their buckets are found
+    in the corpus and hashed."""
+    if "hash" in index.columns:
+        return index
+    if corpus is None:
+        raise ValueError("the index stores no hash, so its buckets cannot be refined without the corpus")
+    wanted = keyed_by_bucket(hashed_queries.select("bucket_id").distinct(), base_bits)
+    entries = index_at(index, base_bits).join(wanted, "bucket_id", "left_semi")
+    keys = identity(entries, corpus)
+    shown = [c for c in payload if c in corpus.columns and c not in keys]
+    vectors = entries.join(corpus.select(*keys, "embedding", *shown), keys)
+    bits = max(HASH_BITS, base_bits + refine_bits)
+    return hash_vectors(vectors, hyperplanes(dim, bits, seed)).where(F.col("hash").isNotNull())
+
+
 def _rows(
     index: DataFrame,
     corpus: DataFrame | None,
@@ -116,9 +166,11 @@ def lsh_search(
     payload: Sequence[str] = PAYLOAD,
     seed: int = SEED,
     query_bytes: int = QUERY_BYTES,
+    index_bits: int | None = None,
 ) -> DataFrame:
     """Rank the rows of the query's own bucket."""
     dim = dim or infer_dim(queries)
+    check_settings(index, base_bits, dim, seed, index_bits)
     routed = hash_queries(queries, dim, base_bits, seed=seed).select(
         "query_id", "embedding", F.array("bucket_id").alias("buckets")
     )
@@ -148,7 +200,8 @@ def _strategy(
     joined = hashed.join(keyed_by_bucket(sizes, base_bits + refine_bits), "bucket_id", "left")
     joined = joined.withColumn("part_size", F.try_element_at("parts", F.col("level1")))
     status = (
-        F.when(F.col("bucket_size").isNull(), "empty")
+        F.when(F.col("hash").isNull(), "unfit")
+        .when(F.col("bucket_size").isNull(), "empty")
         .when(F.col("bucket_size") >= threshold, "refined")
         .otherwise("sparse")
     )
@@ -170,8 +223,11 @@ def search_strategy(
     dim: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """How ``density_search`` treats each query: empty, sparse or refined, and over how many rows."""
-    hashed = hash_queries(queries, dim, base_bits, refine_bits, seed)
+    """How ``density_search`` treats each query: empty, sparse or refined, and over how many rows; ``unfit`` where the
+    vector does not fit."""
+    dim = dim or infer_dim(queries)
+    check_settings(index, base_bits + refine_bits, dim, seed)
+    hashed = hash_queries(queries, dim, base_bits, refine_bits, seed, keep_unfit=True)
     plan = _strategy(hashed, index, threshold, base_bits, refine_bits)
     refined = F.col("status") == "refined"
     kept = F.col("refined_candidates")
@@ -207,10 +263,14 @@ def density_search(
     payload: Sequence[str] = PAYLOAD,
     seed: int = SEED,
     query_bytes: int = QUERY_BYTES,
+    index_bits: int | None = None,
 ) -> DataFrame:
     """Rank the query's bucket; in a dense one only the rows that share ``level1``, if there are any."""
     dim = dim or infer_dim(queries)
+    refined_bits = 0 if "hash" not in index.columns else refine_bits
+    check_settings(index, base_bits + refined_bits, dim, seed, index_bits)
     hashed = hash_queries(queries, dim, base_bits, refine_bits, seed)
+    index = hashed_index(index, corpus, hashed, dim, base_bits, refine_bits, seed, payload)
     routed = _strategy(hashed, index, threshold, base_bits, refine_bits).select(
         "query_id",
         "embedding",
@@ -232,9 +292,11 @@ def multi_probe_search(
     payload: Sequence[str] = PAYLOAD,
     seed: int = SEED,
     query_bytes: int = QUERY_BYTES,
+    index_bits: int | None = None,
 ) -> DataFrame:
     """Rank the rows of all buckets within ``radius`` flipped bits of the query's."""
     dim = dim or infer_dim(queries)
+    check_settings(index, bits, dim, seed, index_bits)
     routed = hash_queries(queries, dim, bits, seed=seed).select(
         "query_id", "embedding", probe_list("bucket_id", bits, radius).alias("buckets")
     )
@@ -242,16 +304,14 @@ def multi_probe_search(
     return _ranked(routed, rows, dim, k, payload, bits, query_bytes=query_bytes)
 
 
-def bucket_join(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+def bucket_join(keyed: DataFrame, rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """Queries ``(query_id, bucket_id, ..)`` to rows ``(bucket_id, row_id, ..)`` of the same bucket.
 
-    Few queries travel to the rows, which stay where they are. Many are joined by a shuffle in which a salt
-    from the row id splits every bucket, so a hot one is spread over many tasks.
+    A salt from the row id splits every bucket, so a hot one is spread over ``salts`` tasks; size it by the largest
+    bucket. Adaptive execution sends the queries to the rows where they are few.
     """
-    if keyed.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return rows.join(F.broadcast(keyed), "bucket_id")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, ["bucket_id", "salt"]).drop("salt")
 
 
@@ -267,6 +327,7 @@ def candidates(
     seed: int = SEED,
 ) -> DataFrame:
     """Entries of the query's own bucket."""
+    check_settings(index, base_bits, dim, seed)
     keyed = hash_queries(queries, dim, base_bits, seed=seed).select("query_id", "bucket_id")
     entries = index_at(index, base_bits)
     ids = _identity(entries)
@@ -283,6 +344,7 @@ def refine_candidates(
     seed: int = SEED,
 ) -> DataFrame:
     """Candidates left by the density rule."""
+    check_settings(index, base_bits + refine_bits, dim, seed)
     hashed = hash_queries(queries, dim, base_bits, refine_bits, seed)
     keyed = _strategy(hashed, index, threshold, base_bits, refine_bits).select(
         "query_id", "bucket_id", _only_level().alias("only_level")
@@ -305,6 +367,7 @@ def multi_probe_candidates(
     seed: int = SEED,
 ) -> DataFrame:
     """Entries of all probed buckets; an entry is in one bucket, so no pair comes twice."""
+    check_settings(index, bits, dim, seed)
     hashed = hash_queries(queries, dim, bits, seed=seed)
     keyed = probe_buckets(hashed, bits, radius).select(
         "query_id", F.col("probe_bucket").alias("bucket_id")
@@ -322,8 +385,10 @@ def multi_probe_stats(
     dim: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """How much of the corpus the probes of each query cover, from bucket sizes alone."""
-    hashed = hash_queries(queries, dim, bits, seed=seed)
+    """How much of the corpus the probes of each query cover, from bucket sizes alone. A query whose vector does not fit
+    probes nothing."""
+    check_settings(index, bits, dim, seed)
+    hashed = hash_queries(queries, dim, bits, seed=seed, keep_unfit=True)
     probes = probe_buckets(hashed.select("query_id", "bucket_id"), bits, radius)
     sizes = (
         index_at(index, bits)
@@ -341,7 +406,7 @@ def multi_probe_stats(
         .groupBy("query_id")
         .agg(
             F.coalesce(F.max(own), zero).alias("query_bucket_size"),
-            F.count(F.lit(1)).alias("num_probes"),
+            F.count("probe_bucket").alias("num_probes"),
             F.coalesce(F.sum("size"), zero).alias("total_candidates"),
         )
         .withColumn("n_rows", n_rows)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lshthemes.functions.hashing import bucket_hex
 from lshthemes.functions.text import best_label
 from lshthemes.operators.index import identity
-from lshthemes.operators.items import BROADCAST_ROWS
 from lshthemes.operators.labels import GROUP_BLOCK, group_labels, label_buckets
 from lshthemes.sources.scratch import use_checkpoints
 
@@ -23,10 +22,6 @@ def bucket_summary(buckets: Column | str) -> Column:
     return F.when(n > 1, F.concat(several, more)).otherwise(F.concat(F.lit("bucket "), F.get(ids, F.lit(0))))
 
 
-def _small(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 def theme_buckets(
     buckets: DataFrame, labels: DataFrame, threshold: float = 0.5, top_n: int | None = 10
 ) -> DataFrame:
@@ -44,8 +39,8 @@ def theme_buckets(
     small = True if top_n is not None and top_n <= GROUP_BLOCK else None
     groups = group_labels(ranked, threshold, small)
     names = groups.groupBy("leader").agg(best_label("label").alias("theme"))
-    merged = groups.join(_small(names, top_n), "leader").select("label", "theme")
-    return labelled.join(_small(merged, top_n), "label")
+    merged = groups.join(names, "leader").select("label", "theme")
+    return labelled.join(merged, "label")
 
 
 def merge_themes(
@@ -63,13 +58,13 @@ def merge_themes(
     # One row per bucket, used for the counts and for the themes: the labels behind it are made once.
     use_checkpoints(buckets.sparkSession)
     assigned = theme_buckets(buckets, labels, threshold, top_n).checkpoint()
-    wanted = _small(assigned.select("bucket_id"), top_n)
+    wanted = assigned.select("bucket_id")
     present = (
         items.join(wanted, "bucket_id", "left_semi")
         .groupBy("bucket_id")
         .agg(F.count(F.lit(1)).alias("n_items"))
     )
-    counted = assigned.join(_small(present, top_n), "bucket_id", "left")
+    counted = assigned.join(present, "bucket_id", "left")
     entry = F.struct((-F.col("count")).alias("order"), "bucket_id", "count")
     ordered = F.transform(
         F.sort_array(F.collect_list(entry)),
@@ -95,13 +90,11 @@ def theme_samples(
     items: DataFrame,
     n: int = 8,
     corpus: DataFrame | None = None,
-    max_buckets: int | None = 10,
 ) -> DataFrame:
     """The first ``n`` items of every theme, bucket after bucket, and how many more there are.
 
     The rank filter also runs before the shuffle, so each task sends at most ``n`` items per theme. With a
     ``corpus``, ``items`` may be bare index entries; the text is then fetched for the sampled ones alone.
-    ``max_buckets`` is how many buckets the themes can hold together, or None where that is not known.
     """
     members = themes.select(
         "label", "n_items", F.posexplode("buckets").alias("bucket_pos", "b")
@@ -110,15 +103,14 @@ def theme_samples(
     first = Window.partitionBy("label").orderBy("bucket_pos", *place)
     more = F.greatest(F.col("n_items") - n, F.lit(0).cast("bigint"))
     sampled = (
-        items.join(_small(members, max_buckets), "bucket_id")
+        items.join(members, "bucket_id")
         .withColumn("pos", F.row_number().over(first))
         .where(F.col("pos") <= n)
         .withColumns({"pos": F.col("pos").cast("bigint"), "more_items": more})
     )
     if corpus is not None:
         keys = identity(items, corpus)
-        few = max_buckets is not None and max_buckets * n <= BROADCAST_ROWS
         ranked = sampled.select("label", "pos", "bucket_id", *place, "more_items")
         texts = corpus.select(*keys, "item_id", "display_text")
-        sampled = texts.join(F.broadcast(ranked) if few else ranked, keys)
+        sampled = texts.join(ranked, keys)
     return sampled.select("label", "pos", "bucket_id", *place, "item_id", "display_text", "more_items")

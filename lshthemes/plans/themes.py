@@ -40,7 +40,7 @@ def discover_themes(
     use_checkpoints(index.sparkSession)
     buckets = dense_buckets(index, min_count, top_n).checkpoint()
     ids = [row["bucket_id"] for row in buckets.collect()]
-    items = sample_bucket_items(index, corpus, ids, sample, max_buckets=top_n)
+    items = sample_bucket_items(index, corpus, ids, sample)
     labels = theme_labels(items, lexicon, sample)
     if external is not None:
         labels = coalesce_labels(clean_labels(external), labels)

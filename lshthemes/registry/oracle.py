@@ -105,11 +105,11 @@ def _quoted(text: str) -> str:
 
 
 def _labels(lexicon: tuple[str, ...], sample: int = 10) -> str:
-    """CTEs up to ``labels(bucket_id, label)`` for all buckets of the vectors."""
+    """CTEs up to ``labels(bucket_id, label)`` for all buckets of the documents."""
     rows = ", ".join(
         f"({i}, {_quoted(w)}, {_quoted(w.title())})" for i, w in enumerate(lexicon)
     )
-    return f"""{_VECTOR_INDEX}, {_SIZES},
+    return f"""{_DOC_INDEX}, {_SIZES},
     items AS (
         SELECT ix.bucket_id, ix.row_id, d.text,
                row_number() OVER (PARTITION BY ix.bucket_id ORDER BY ix.row_id) AS pos
@@ -310,25 +310,18 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT hash & 255, 2 FROM doc_hash) GROUP BY bucket_id"""
 
     joined = "FROM ix JOIN documents d ON d.doc_id = ix.row_id"
-    plain["bucket_items"] = f"""WITH {_VECTOR_INDEX}
+    plain["bucket_items"] = f"""WITH {_DOC_INDEX}
         SELECT bucket_id, row_id, row_id::VARCHAR AS item_id, text AS display_text {joined}"""
-    plain["top_bucket_items"] = f"""WITH {_VECTOR_INDEX}, {_SIZES},
+    plain["top_bucket_items"] = f"""WITH {_DOC_INDEX}, {_SIZES},
         top AS ({dense} ORDER BY size DESC, bucket_id LIMIT 10)
         SELECT bucket_id, row_id, row_id::VARCHAR AS item_id, left(text, 100) AS title {joined}
         WHERE bucket_id IN (SELECT bucket_id FROM top)"""
-    plain["sample_items"] = f"""WITH {_VECTOR_INDEX}
+    plain["sample_items"] = f"""WITH {_DOC_INDEX}
         SELECT * FROM (
             SELECT bucket_id, row_number() OVER (PARTITION BY bucket_id ORDER BY row_id) AS pos, row_id,
                    row_id::VARCHAR AS item_id {joined}) WHERE pos <= 3"""
 
     plain["search_exact"] = _search(_ALL_PAIRS, 10)
-    plain["search_vectors"] = f"""WITH pairs AS (
-            SELECT a.vec_id AS query_id, b.vec_id AS row_id,
-                   list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-            FROM embeddings a CROSS JOIN embeddings b),
-        best AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id) AS rank FROM pairs)
-        SELECT query_id, rank, row_id, round(s, 6) AS similarity FROM best WHERE rank <= 5"""
     plain["fetch_documents"] = f"""WITH {_SEARCH}, {_ranked(_ALL_PAIRS, 5)}
         SELECT f.query_id, f.rank, f.item_id, d.text AS body,
                CASE WHEN length(d.text) > 100 THEN d.text END AS preview
@@ -381,6 +374,14 @@ def oracle_sql() -> dict[str, str]:
         for mode, name in (("bucket", "bucket"), ("density", "density"), ("probes", "probes_top"))
     )
 
+    plain["narrow_search"] = _search(_BUCKET_PAIRS, 10)
+    plain["density_search_ids"] = plain["found_texts"] = _search(_DENSITY_PAIRS, 5)
+    plain["documents_by_id"] = """SELECT doc_id::VARCHAR AS item_id, left(text, 100) AS title FROM documents
+        WHERE doc_id IN (SELECT item_id FROM benchmark)"""
+    plain["corpus_files"] = "SELECT count(*) AS n_rows, count(*) AS n_identities FROM documents"
+    plain["loaded_model"] = f"""WITH {_DOC_INDEX}, {_SIZES} {dense}"""
+    plain["principal_axes"] = "SELECT count(*) > 0 AS x_first, count(*) > 0 AS y_next FROM embeddings"
+
     plain["keyword_counts"] = (
         f"WITH {_labels(KEYWORDS_FOUND)} SELECT bucket_id, word AS keyword, n FROM counts"
     )
@@ -397,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
     plain["label_buckets"] = f"""WITH {_VECTOR_INDEX}, {_SIZES}, {_GIVEN}
         SELECT bucket_id, size AS count, coalesce(g.label, 'Theme ' || bucket_id) AS label
         FROM sizes LEFT JOIN given g USING (bucket_id)"""
-    for name, threshold in (("03", 0.3), ("05", 0.5), ("10", 1.0)):
+    for name, threshold in (("05", 0.5), ("10", 1.0)):
         plain[f"similar_labels_{name}"] = f"""WITH {_labels(WORD_PARTS)},
             d AS (SELECT DISTINCT label, {_tokens('label')} AS tokens FROM labels),
             pairs AS (
@@ -447,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
     plain["map_points"] = f"""WITH {_VECTOR_INDEX}, {_SIZES}
         SELECT row_id, {axes}, d.text, {_hex('bucket_id')} AS bucket, bucket_id AS bucket_int, size AS bucket_size
         FROM vec v JOIN ix USING (row_id) JOIN sizes USING (bucket_id) LEFT JOIN documents d ON d.doc_id = row_id"""
+    plain["stored_map_points"] = plain["map_points"]
     plain["map_density"] = f"""WITH {_DOC_INDEX}, {_SIZES}
         SELECT max(size) AS max_size, min(size) AS min_size, round(avg(size), 6) AS avg_size,
                count(*) FILTER (WHERE size >= 10) AS num_dense,
@@ -457,7 +459,6 @@ def oracle_sql() -> dict[str, str]:
     colour = f"CASE WHEN {flips} = 0 THEN 'red' WHEN {flips} <= 2 THEN 'orange' ELSE 'lightgray' END"
     every = f"SELECT q.query_id, ix.row_id, {colour} AS probe_class FROM q CROSS JOIN ix"
     plain["probe_classes"] = f"WITH {_SEARCH} {every} WHERE {flips} <= 2"
-    plain["probe_classes_all"] = f"WITH {_SEARCH} {every}"
 
     plain["streamed_index"] = f"WITH {_VECTOR_INDEX} SELECT bucket_id, hash, row_id FROM ix"
     plain["stream_counts"] = (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lshthemes.functions.encoders import TokenHashEncoder, encode
 from lshthemes.functions.hashing import hash_vectors, hyperplanes, probe_buckets, with_buckets
 from lshthemes.functions.text import label_tokens
-from lshthemes.functions.vectors import cosine
+from lshthemes.functions.vectors import cosine, project
 from lshthemes.operators import documents as documents_op
 from lshthemes.operators import index as index_op
 from lshthemes.operators import items as items_op
@@ -25,12 +25,22 @@ from lshthemes.operators import models as models_op
 from lshthemes.operators import reports as reports_op
 from lshthemes.operators import search as search_op
 from lshthemes.operators import themes as themes_op
+from lshthemes.plans.models import index_model, load_model
+from lshthemes.plans.search import search_text
 from lshthemes.plans.themes import discover_themes
 from lshthemes.registry import tables as t
 from lshthemes.registry.tables import DIM, KEYWORDS_FOUND, WORD_PARTS
+from lshthemes.sources.corpora import CorpusShape, DatasetCatalog, load_corpus
 from lshthemes.sources.indexes import merge_indexes, read_index, write_index
 from lshthemes.sources.scratch import scratch_path
-from lshthemes.streaming.index_stream import append_index, stream_bucket_counts, stream_index
+from lshthemes.sources.tables import read_map_points, read_metadata, write_metadata
+from lshthemes.streaming.index_stream import (
+    append_index,
+    read_bucket_counts,
+    stream_bucket_counts,
+    stream_index,
+    write_bucket_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +131,17 @@ def corpus_profile(spark, sf_dir):
     return models_op.corpus_profile({n: t.table(spark, sf_dir, n) for n in names})
 
 
+@_query
+def corpus_files(spark, sf_dir):
+    """A corpus in several folders whose files have like names: every row keeps an identity of its own."""
+    path = scratch_path(spark, "corpus")
+    t.table(spark, sf_dir, "documents").write.partitionBy("lang").parquet(path)
+    corpus = load_corpus(spark, path, CorpusShape(item_id="doc_id", body="text"))
+    return corpus.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file_path", "row_id").alias("n_identities")
+    )
+
+
 # Index and density
 
 
@@ -199,13 +220,13 @@ def merged_indexes(spark, sf_dir):
 
 @_query
 def bucket_items(spark, sf_dir):
-    items = items_op.bucket_items(t.vector_index(spark, sf_dir), t.documents(spark, sf_dir))
+    items = items_op.bucket_items(t.document_index(spark, sf_dir), t.documents(spark, sf_dir))
     return items.select("bucket_id", "row_id", "item_id", "display_text")
 
 
 @_query
 def top_bucket_items(spark, sf_dir):
-    index = t.vector_index(spark, sf_dir)
+    index = t.document_index(spark, sf_dir)
     top = index_op.dense_buckets(index, top_n=10)
     items = items_op.bucket_items(index, t.documents(spark, sf_dir), top, bits=8)
     return items.select("bucket_id", "row_id", "item_id", "title")
@@ -213,7 +234,7 @@ def top_bucket_items(spark, sf_dir):
 
 @_query
 def sample_items(spark, sf_dir):
-    items = items_op.bucket_items(t.vector_index(spark, sf_dir), t.documents(spark, sf_dir))
+    items = items_op.bucket_items(t.document_index(spark, sf_dir), t.documents(spark, sf_dir))
     return items_op.sample_items(items, 3).select("bucket_id", "pos", "row_id", "item_id")
 
 
@@ -228,14 +249,6 @@ def search_exact(spark, sf_dir):
     return _shown(found)
 
 
-@_query
-def search_vectors(spark, sf_dir):
-    """Every given vector as a query on all of them."""
-    rows = t.vectors(spark, sf_dir)
-    found = search_op.search_exact(rows.withColumnRenamed("row_id", "query_id"), rows, k=5, dim=DIM)
-    return _rounded(found.select("query_id", "rank", "row_id", "similarity"), "similarity")
-
-
 def _shown(found: DataFrame) -> DataFrame:
     columns = ("query_id", "rank", "row_id", "item_id", "title", "similarity")
     return _rounded(found.select(*columns), "similarity")
@@ -279,7 +292,7 @@ def search_strategy(spark, sf_dir):
 
 @_query
 def multi_probe_search(spark, sf_dir):
-    index = t.searchable_documents(spark, sf_dir)
+    index = t.stored_documents(spark, sf_dir)
     return _shown(search_op.multi_probe_search(t.text_queries(spark, sf_dir), index, dim=DIM))
 
 
@@ -333,13 +346,45 @@ def recall_at_k(spark, sf_dir):
     return _rounded(reduce(DataFrame.unionByName, rows), "recall")
 
 
+@_query
+def narrow_search(spark, sf_dir):
+    """An index of 10 bits searched at 8."""
+    index = t.document_index(spark, sf_dir, bits=10, carry=("embedding", "item_id", "title"))
+    return _shown(search_op.lsh_search(t.text_queries(spark, sf_dir), index, k=10, dim=DIM))
+
+
+@_query
+def density_search_ids(spark, sf_dir):
+    """Through an index of 10-bit ids alone: the entries of the queries' buckets are hashed again from the corpus."""
+    ids = t.document_index(spark, sf_dir, bits=10).select("bucket_id", "file_path", "row_id")
+    found = search_op.density_search(
+        t.text_queries(spark, sf_dir), ids, t.encoded_documents(spark, sf_dir), dim=DIM, index_bits=10
+    )
+    return _shown(found)
+
+
+@_query
+def found_texts(spark, sf_dir):
+    """Texts in, results out."""
+    asked = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _shown(search_text(asked, TokenHashEncoder(DIM), t.stored_documents(spark, sf_dir)).results)
+
+
+@_query
+def documents_by_id(spark, sf_dir):
+    """The documents that the benchmark's numbers name."""
+    named = [str(r["item_id"]) for r in t.table(spark, sf_dir, "benchmark").select("item_id").limit(1_000).collect()]
+    found = documents_op.documents_by_id(t.documents(spark, sf_dir), named)
+    return found.select("item_id", "title")
+
+
 # Labels and themes
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    """The items that labels are made from, for all buckets: documents filed under the vector of their id."""
-    index, corpus = t.vector_index(spark, sf_dir), t.documents(spark, sf_dir)
-    return items_op.sample_bucket_items(index, corpus, None, 10, max_buckets=256)
+    """The items that labels are made from, for all buckets: every document under its own vector."""
+    index, corpus = t.document_index(spark, sf_dir), t.documents(spark, sf_dir)
+    return items_op.sample_bucket_items(index, corpus, None, 10)
 
 
 @_query
@@ -402,7 +447,7 @@ def _similar(threshold: float) -> Query:
     return query
 
 
-for _name, _threshold in (("03", 0.3), ("05", 0.5), ("10", 1.0)):
+for _name, _threshold in (("05", 0.5), ("10", 1.0)):
     _ALL[f"similar_labels_{_name}"] = _similar(_threshold)
 
 
@@ -439,7 +484,7 @@ def similar_many_labels(spark, sf_dir):
 def _themes(lexicon: tuple[str, ...], threshold: float) -> Query:
     def query(spark, sf_dir):
         found = discover_themes(
-            t.vector_index(spark, sf_dir),
+            t.document_index(spark, sf_dir),
             t.documents(spark, sf_dir),
             lexicon=lexicon,
             threshold=threshold,
@@ -473,7 +518,7 @@ for _name, _lexicon, _threshold in (
 
 @_query
 def theme_samples(spark, sf_dir):
-    index, corpus = t.vector_index(spark, sf_dir), t.documents(spark, sf_dir)
+    index, corpus = t.document_index(spark, sf_dir), t.documents(spark, sf_dir)
     found = discover_themes(index, corpus, lexicon=KEYWORDS_FOUND)
     entries = items_op.present_entries(index, corpus, found.buckets, bits=8)
     samples = themes_op.theme_samples(found.themes, entries, corpus=corpus)
@@ -490,7 +535,9 @@ def _metadata(spark, sf_dir) -> DataFrame:
         models_op.ModelIndex("words-64", "Finest", t.document_index(spark, sf_dir, 64, bits=10)),
         models_op.ModelIndex("given", "As given - 64 slots", t.vector_index(spark, sf_dir, bits=10)),
     ]
-    return models_op.build_metadata(models, capacity=256)
+    path = scratch_path(spark, "metadata")
+    write_metadata(models_op.build_metadata(models, capacity=256), path)
+    return read_metadata(spark, path)
 
 
 @_query
@@ -498,6 +545,25 @@ def model_metadata(spark, sf_dir):
     return _rounded(_metadata(spark, sf_dir), "load_factor")
 
 
+@_query
+def loaded_model(spark, sf_dir):
+    """A model's files written to a catalog, loaded from it, and its dense buckets."""
+    catalog = DatasetCatalog({"docs": scratch_path(spark, "catalog")})
+    t.encoded_documents(spark, sf_dir).write.parquet(catalog.corpus_path("docs", "words-64"))
+    shape = CorpusShape(item_id="item_id", title="title", body="body", row_id="row_id")
+    index_model(spark, catalog, "docs", "words-64", DIM, shape=shape)
+    return load_model(spark, catalog, "docs", "words-64", shape).dense
+
+
+@_query
+def principal_axes(spark, sf_dir):
+    """The vectors along their principal axes: each axis holds at least the variance of the next."""
+    rows = t.vectors(spark, sf_dir)
+    placed = rows.select(project("embedding", maps_op.principal_axes(rows, DIM)).alias("at"))
+    spread = placed.agg(*[F.var_pop(f"at.{c}").alias(c) for c in "xyz"])
+    return spread.select((F.col("x") >= F.col("y")).alias("x_first"), (F.col("y") >= F.col("z")).alias("y_next"))
+
+
 @_query
 def compare_models(spark, sf_dir):
     return _rounded(models_op.compare_models(_metadata(spark, sf_dir)), "load_factor")
@@ -524,6 +590,15 @@ def map_points(spark, sf_dir):
     return _rounded(_points(spark, sf_dir), "x", "y", "z")
 
 
+@_query
+def stored_map_points(spark, sf_dir):
+    """Points read from a file, and from one that is not there."""
+    path = scratch_path(spark, "points")
+    _points(spark, sf_dir).write.parquet(path)
+    points = read_map_points(spark, path).unionByName(read_map_points(spark, path + "-missing"))
+    return _rounded(points, "x", "y", "z")
+
+
 @_query
 def map_density(spark, sf_dir):
     points = maps_op.map_points(
@@ -532,21 +607,13 @@ def map_density(spark, sf_dir):
     return _rounded(maps_op.map_density(points), "avg_size", "pct_dense")
 
 
-def _classes(include_other: bool) -> Query:
-    def query(spark, sf_dir):
-        points = maps_op.map_points(
-            t.encoded_documents(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
-        )
-        classes = maps_op.probe_classes(
-            points, t.text_queries(spark, sf_dir), include_other=include_other, dim=DIM
-        )
-        return classes.select("query_id", "row_id", "probe_class")
-
-    return query
-
-
-_ALL["probe_classes"] = _classes(False)
-_ALL["probe_classes_all"] = _classes(True)
+@_query
+def probe_classes(spark, sf_dir):
+    points = maps_op.map_points(
+        t.encoded_documents(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
+    )
+    classes = maps_op.probe_classes(points, t.text_queries(spark, sf_dir), dim=DIM)
+    return classes.select("query_id", "row_id", "probe_class")
 
 
 # Streams
@@ -568,20 +635,11 @@ def streamed_index(spark, sf_dir):
 
 @_query
 def stream_counts(spark, sf_dir):
-    """Bucket sizes kept by a stream; the table in memory has a row per bucket."""
+    """Bucket sizes kept by a stream and written to files with every batch; the last batch has them all."""
     counts = stream_bucket_counts(stream_index(_vector_stream(spark, sf_dir), DIM))
-    state = scratch_path(spark, "state")
-    name = "counts_" + state.rsplit("-", 1)[1]
-    (
-        counts.writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.table(name)
+    path, state = scratch_path(spark, "counts"), scratch_path(spark, "state")
+    write_bucket_counts(counts, path, state).awaitTermination()
+    return read_bucket_counts(spark, path)
 
 
 # Reports

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lshthemes.functions.encoders import TokenHashEncoder, encode
 from lshthemes.operators.index import build_index
-from lshthemes.sources.corpora import CorpusShape, canonical, spread_small
+from lshthemes.sources.corpora import CorpusShape, canonical
 from lshthemes.sources.indexes import read_index, write_index
 from lshthemes.sources.scratch import scratch_path
 
@@ -61,27 +61,23 @@ def documents(
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
-    texts = canonical(spread_small(table(spark, sf_dir, "documents"), "doc_id"), AS_TWEETS)
+    texts = canonical(table(spark, sf_dir, "documents"), AS_TWEETS)
     return encode(texts, "body", TokenHashEncoder(dim))
 
 
 def document_index(
     spark: SparkSession, sf_dir: str, dim: int = DIM, bits: int = 8, carry: tuple = ()
 ) -> DataFrame:
+    """Every document filed under its own vector, in files: encoded once however often it is read."""
     corpus = encoded_documents(spark, sf_dir, dim)
-    return build_index(corpus, bits=bits, dim=dim, carry=carry, file_path="documents")
-
-
-def searchable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index that needs no corpus beside it."""
-    return document_index(spark, sf_dir, carry=("embedding", "item_id", "title"))
+    path = scratch_path(spark, "index")
+    write_index(build_index(corpus, bits=bits, dim=dim, carry=carry, file_path="documents"), path)
+    return read_index(spark, path)
 
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same index in files, encoded once however often it is read."""
-    path = scratch_path(spark, "index")
-    write_index(searchable_documents(spark, sf_dir), path)
-    return read_index(spark, path)
+    """The same with what a search shows, so that it needs no corpus beside it."""
+    return document_index(spark, sf_dir, carry=("embedding", "item_id", "title"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from lshthemes.sources.corpora import (
     canonical,
     load_corpus,
     shape_of,
-    spread_small,
 )
 from lshthemes.sources.indexes import merge_indexes, read_index, write_index
 from lshthemes.sources.scratch import scratch_path
@@ -29,7 +28,6 @@ __all__ = [
     "read_metadata",
     "scratch_path",
     "shape_of",
-    "spread_small",
     "write_index",
     "write_metadata",
 ]

@@ -120,27 +120,15 @@ class DatasetCatalog:
 
 
 def load_corpus(spark: SparkSession, path: str, shape: CorpusShape | None = None) -> DataFrame:
-    """Read a corpus. Without a stored ``row_id`` a row is named by its file and position there."""
+    """Read a corpus. Without a stored ``row_id`` a row is named by the path of its file and its position there."""
     df = spark.read.parquet(path)
     shape = shape or shape_of(df)
     if shape.row_id not in df.columns:
         df = df.withColumns(
             {
                 shape.row_id: F.col("_metadata.row_index"),
-                "file_path": F.col("_metadata.file_name"),
+                "file_path": F.col("_metadata.file_path"),
             }
         )
     return canonical(df, shape)
 
-
-# A table of up to this many rows may lie in a single split.
-FEW_ROWS = 1_000_000
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small table out to all cores before costly work on its rows.
-
-    Rows are counted from the file footers. A large table has splits enough and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.count() <= FEW_ROWS else df

@@ -38,16 +38,31 @@ def read_index(spark: SparkSession, path: str, layout: str = "spark") -> DataFra
     return index.withColumns({c: v for c, v in ids.items() if dict(index.dtypes)[c] != "bigint"})
 
 
+def settings_of(index: DataFrame) -> dict[str, int] | None:
+    """Seed, width and bits of an index, None for one without rows. Raises where rows differ in them."""
+    row = index.agg(*[f(c).alias(f"{n}_{c}") for c in SETTINGS for n, f in (("low", F.min), ("high", F.max))]).first()
+    if row[f"low_{SETTINGS[0]}"] is None:
+        return None
+    mixed = [c for c in SETTINGS if row[f"low_{c}"] != row[f"high_{c}"]]
+    if mixed:
+        raise ValueError(f"rows of one index differ in {', '.join(mixed)}")
+    return {c: row[f"low_{c}"] for c in SETTINGS}
+
+
 def merge_indexes(*indexes: DataFrame) -> DataFrame:
     """Union of indexes built apart with the same seed, width and bits; anything else raises.
 
-    ``file_path`` is kept: rows of different parts may share a ``row_id``.
+    All rows are looked at, through the lowest and highest value of each setting. ``file_path`` is kept: rows of
+    different parts may share a ``row_id``.
     """
-    stamped = [i for i in indexes if set(SETTINGS) <= set(i.columns)]
-    if len(stamped) != len(indexes):
+    if not all(set(SETTINGS) <= set(i.columns) for i in indexes):
         raise ValueError("every index needs its seed, dim and bits to be merged")
-    # One row each: a build stamps all its rows alike, and merged indexes were compared before.
-    seen = {tuple(row) for i in indexes for row in i.select(*SETTINGS).take(1)}
+    seen = {tuple(s.values()) for s in map(settings_of, indexes) if s}
     if len(seen) > 1:
         raise ValueError(f"indexes differ in seed, dim or bits: {sorted(seen)}")
     return reduce(DataFrame.unionByName, indexes)
+
+
+def compact_index(spark: SparkSession, path: str, compacted: str) -> None:
+    """Rewrites an index that a stream appended to, clustered by bucket, at another path."""
+    write_index(read_index(spark, path), compacted)

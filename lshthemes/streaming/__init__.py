@@ -2,8 +2,10 @@
 
 from lshthemes.streaming.index_stream import (
     append_index,
+    read_bucket_counts,
     stream_bucket_counts,
     stream_index,
+    write_bucket_counts,
 )
 
-__all__ = ["append_index", "stream_bucket_counts", "stream_index"]
+__all__ = ["append_index", "read_bucket_counts", "stream_bucket_counts", "stream_index", "write_bucket_counts"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lshthemes.functions.hashing import BASE_BITS, SEED
@@ -40,3 +41,25 @@ def stream_bucket_counts(index_stream: DataFrame) -> DataFrame:
     with output mode ``update`` or ``complete``.
     """
     return bucket_sizes(index_stream).withColumnRenamed("size", "count")
+
+
+def write_bucket_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the sizes after every batch to a folder of its own, then stop. A batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        counts.writeStream.foreachBatch(write)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_bucket_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The sizes after the last batch."""
+    counts = spark.read.parquet(path)
+    last = counts.agg(F.max("batch").alias("last"))
+    return counts.join(F.broadcast(last), counts["batch"] == last["last"]).drop("batch", "last")

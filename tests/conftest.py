@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lshthemes.operators import build_index
 from lshthemes.registry import tables
+from lshthemes.sources.scratch import name_local_scratch
 
 SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -19,6 +20,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    name_local_scratch(session)
     yield session
     session.stop()
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lshthemes.operators import (
+    bucket_items,
     bucket_size_histogram,
     build_index,
     dangling_entries,
@@ -13,7 +14,8 @@ from lshthemes.operators import (
     index_stats,
     inverted_lists,
 )
-from lshthemes.sources import merge_indexes, read_index, write_index
+from lshthemes.sources import CorpusShape, load_corpus, merge_indexes, read_index, write_index
+from lshthemes.sources.scratch import scratch_path
 from tests.conftest import SF001
 
 GOLDEN = {
@@ -73,11 +75,73 @@ def test_ragged_vectors_are_left_out_and_counted(make_vectors):
     assert index_health(index, corpus, 2).first()["bad_vectors"] == 2
 
 
-def test_dim_is_the_most_common_width(make_vectors):
-    corpus = make_vectors([(0, [1]), (1, [1, 2]), (2, [1, 2])])
-    assert build_index(corpus).first()["dim"] == 2
+def test_dim_is_the_width_of_all_vectors(spark, make_vectors):
+    assert build_index(make_vectors([(0, None), (1, [1, 2]), (2, [1, 2])])).first()["dim"] == 2
     with pytest.raises(ValueError, match="dim must be given"):
         build_index(make_vectors([(0, None)]))
+    # no prefix of the rows decides: 1,000 narrow vectors before 5,000 wide ones
+    width = F.when(F.col("id") < 1000, 2).otherwise(3)
+    ragged = spark.range(6000).select(
+        F.col("id").alias("row_id"), F.transform(F.sequence(F.lit(1), width), lambda x: x.cast("float")).alias("embedding")
+    )
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        build_index(ragged)
+    assert build_index(ragged, dim=3).count() == 5000
+
+
+def test_bits_fit_a_hash(make_vectors):
+    corpus = make_vectors([(0, [1, 2])])
+    assert build_index(corpus, bits=62, dim=2).count() == 1
+    for bits in (0, 63):
+        with pytest.raises(ValueError, match="do not fit"):
+            build_index(corpus, bits=bits, dim=2)
+
+
+def test_merge_looks_at_every_row(make_vectors):
+    corpus = make_vectors([(i, [1, i]) for i in range(50)])
+    one, other = build_index(corpus, dim=2), build_index(corpus, dim=2, seed=7)
+    mixed = one.unionByName(other)
+    with pytest.raises(ValueError, match="differ in seed"):
+        merge_indexes(mixed, one)
+    with pytest.raises(ValueError, match="indexes differ"):
+        merge_indexes(one, other)
+    assert merge_indexes(one, one.limit(0), one).count() == 100
+
+
+def test_rows_of_several_files_need_a_corpus_that_names_them(make_vectors):
+    corpus = make_vectors([(0, [1, 2])])
+    merged = merge_indexes(build_index(corpus, dim=2, file_path="a"), build_index(corpus, dim=2, file_path="b"))
+    with pytest.raises(ValueError, match="several files"):
+        bucket_items(merged, corpus)
+    named = corpus.withColumn("file_path", F.lit("a"))
+    assert bucket_items(merged, named).count() == 1
+
+
+def test_files_of_like_names_have_rows_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame([(i, f"t{i}", i % 2) for i in range(8)], "doc_id int, text string, part int").coalesce(1).write.partitionBy("part").parquet(path)
+    corpus = load_corpus(spark, path, CorpusShape(item_id="doc_id", body="text"))
+    assert corpus.select("file_path", "row_id").distinct().count() == 8
+
+
+def test_scratch_asks_for_a_shared_folder(spark):
+    assert scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
+
+    class Context:
+        applicationId = "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session(), "x")
 
 
 def test_inverted_list_chunks_rebuild_the_bucket(index):

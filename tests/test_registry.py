@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows_of
+from lshthemes import registry
 from tests.conftest import SF001
 
 
@@ -16,10 +17,10 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_sql(spark, duck, name):
     got = rows_of(entry.queries()[name](spark, SF001).toPandas())
-    want = rows_of(duck.execute(entry.oracle_sql()[name]).df())
+    want = rows_of(duck.execute(registry.oracle_sql()[name]).df())
     assert got == want
 
 

@@ -18,7 +18,6 @@ from lshthemes.operators import (
     search_exact,
     search_strategy,
 )
-from lshthemes.operators import search as search_module
 from lshthemes.plans import search_text
 from lshthemes.registry import tables
 from lshthemes.sources import read_index, write_index
@@ -101,7 +100,7 @@ def test_no_queries(make_vectors, searchable):
 @pytest.fixture(scope="module")
 def searches(spark):
     queries = tables.text_queries(spark, SF01).cache()
-    index = tables.searchable_documents(spark, SF01).cache()
+    index = tables.stored_documents(spark, SF01)
     yield queries, index
     queries.unpersist(), index.unpersist()
 
@@ -151,19 +150,12 @@ def test_probing_every_bucket_is_exact(searches):
     assert found(multi_probe_search(queries, index, k=5, radius=8, dim=DIM)) == found(exact)
 
 
-def test_candidates_nest(searches, monkeypatch):
+def test_candidates_nest(searches):
     queries, index = searches
     own = candidates(queries, index, dim=DIM)
     refined = refine_candidates(queries, index, dim=DIM)
     probed = multi_probe_candidates(queries, index, dim=DIM)
     assert refined.exceptAll(own).count() == own.exceptAll(probed).count() == 0
-    monkeypatch.setattr(search_module, "BROADCAST_QUERIES", 0)
-    for salted, plain in (
-        (candidates(queries, index, dim=DIM), own),
-        (refine_candidates(queries, index, dim=DIM), refined),
-        (multi_probe_candidates(queries, index, dim=DIM), probed),
-    ):
-        assert salted.exceptAll(plain).count() == 0 and salted.count() == plain.count()
 
 
 def test_index_with_and_without_vectors_agree(spark, searches):
@@ -194,13 +186,65 @@ def test_index_of_other_bits_serves_any_bucket_width(spark, searches):
     assert found(lsh_search(queries, wide, dim=DIM)) == found(lsh_search(queries, index, dim=DIM))
 
 
-def test_foreign_index_has_buckets_but_no_levels(searches, spark):
+def test_foreign_index_of_other_width_is_cut_and_hashed(searches, spark):
     queries, index = searches
-    foreign = index.select("bucket_id", "file_path", "row_id")
+    wide = tables.document_index(spark, SF01, bits=10)
     corpus = tables.encoded_documents(spark, SF01)
-    assert found(lsh_search(queries, foreign, corpus, dim=DIM)) == found(lsh_search(queries, index, dim=DIM))
-    with pytest.raises(ValueError, match="stores no hash"):
-        density_search(queries, foreign, corpus, dim=DIM)
+    for bits, source in ((8, index), (10, wide)):
+        foreign = source.select("bucket_id", "file_path", "row_id")
+        got = lsh_search(queries, foreign, corpus, dim=DIM, index_bits=bits)
+        assert found(got) == found(lsh_search(queries, index, dim=DIM))
+        dense = density_search(queries, foreign, corpus, dim=DIM, index_bits=bits)
+        assert found(dense) == found(density_search(queries, index, dim=DIM))
+    with pytest.raises(ValueError, match="index_bits"):
+        lsh_search(queries, foreign, corpus, dim=DIM)
+    with pytest.raises(ValueError, match="12 bits are asked for"):
+        lsh_search(queries, foreign, corpus, base_bits=12, dim=DIM, index_bits=10)
+
+
+def test_index_that_cannot_answer_is_refused(vectors):
+    """Requests beyond the stored hash, another seed and another width; within them every row finds itself."""
+    asked = vectors.where("row_id < 100").withColumnRenamed("row_id", "query_id")
+    index = build_index(vectors, dim=DIM, carry=("embedding",))
+    for search, wrong in (
+        (density_search, {"base_bits": 14, "refine_bits": 4}),
+        (lsh_search, {"base_bits": 20}),
+        (lsh_search, {"seed": 7}),
+        (lsh_search, {"dim": 32}),
+        (multi_probe_search, {"seed": 7}),
+        (search_strategy, {"base_bits": 14}),
+        (multi_probe_stats, {"seed": 7}),
+        (candidates, {"seed": 7}),
+    ):
+        with pytest.raises(ValueError):
+            search(asked, index, **{"dim": DIM, **wrong})
+    mixed = index.unionByName(build_index(vectors, dim=DIM, seed=7, carry=("embedding",)))
+    with pytest.raises(ValueError, match="differ in seed"):
+        lsh_search(asked, mixed, dim=DIM)
+    wide = build_index(vectors, bits=20, dim=DIM, carry=("embedding",))
+    for found_ in (
+        lsh_search(asked, wide, k=1, base_bits=20, dim=DIM),
+        lsh_search(asked, build_index(vectors, bits=10, dim=DIM, carry=("embedding",)), k=1, dim=DIM),
+        density_search(asked, wide, k=1, base_bits=14, refine_bits=4, dim=DIM),
+    ):
+        assert found_.where("query_id = row_id").count() == 100
+
+
+def test_queries_that_do_not_fit_are_named(make_vectors, searchable):
+    asked = make_vectors([(0, [1, 2]), (1, [1, 2, 3]), (2, None)], "query_id")
+    index = searchable([(5, [1, 2])], 2)
+    status = {r["query_id"]: r["status"] for r in search_strategy(asked, index, dim=2).collect()}
+    assert status == {0: "sparse", 1: "unfit", 2: "unfit"}
+    probes = {r["query_id"]: (r["num_probes"], r["total_candidates"]) for r in multi_probe_stats(asked, index, dim=2).collect()}
+    assert probes == {0: (37, 1), 1: (0, 0), 2: (0, 0)}
+
+
+def test_repeated_query_ids_raise_with_one_block_and_with_many(make_vectors, searchable):
+    asked = make_vectors([(0, [1, 2]), (0, [2, 1])], "query_id")
+    index = searchable([(5, [1, 2])], 2)
+    for limit in (1 << 20, 16):
+        with pytest.raises(ValueError, match="unique"):
+            lsh_search(asked, index, dim=2, query_bytes=limit)
 
 
 def test_hot_bucket_is_searched_whole(make_vectors, searchable):

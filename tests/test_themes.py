@@ -154,7 +154,7 @@ def test_sampling_before_and_after_the_join_agree(index, documents):
     few = documents.where("row_id >= 100")
     ids = [39, 26, 96]
     late = sample_items(bucket_items(index, few, ids), 3).select("bucket_id", "row_id", "pos", "display_text")
-    early = sample_bucket_items(index, few, ids, 3, max_buckets=3).select(late.columns)
+    early = sample_bucket_items(index, few, ids, 3).select(late.columns)
     assert early.exceptAll(late).count() == 0 and early.count() == late.count() == 9
 
 
