@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lshthemes.llm.bpe import blocks
+from lshthemes.llm.packing import ROWS, packed
 from lshthemes.sources.scratch import scratch_path
 
 LENGTH = 100
@@ -256,18 +257,6 @@ def _spans(d: np.ndarray, pos: np.ndarray, shift: np.ndarray, count: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(start), pa.array(count)], ["d", "t", "start", "count"])
 
 
-def _packed(text: str) -> Column:
-    """Texts as compressed bytes: they are shuffled twice."""
-
-    @F.arrow_udf("binary")
-    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tool = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.array([tool.compress((x.as_py() or "").encode()) for x in batch], pa.binary())
-
-    return pack.asNondeterministic()(text)
-
-
 def _run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(g, d, pos, bytes)`` of the wanted runs."""
 
@@ -276,8 +265,8 @@ def _run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             size = 0
-            for d, runs_, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = tool.decompress(packed.as_py())
+            for d, runs_, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = tool.decompress(data.as_py())
                 for run in runs_.as_py():
                     pos = run["pos"]
                     start, count = (pos >> _COUNT_BITS) & ((1 << _START_BITS) - 1), pos & ((1 << _COUNT_BITS) - 1)
@@ -299,28 +288,40 @@ def _run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(fetch, "g bigint, d bigint, pos bigint, bytes binary")
 
 
+CUT = pa.struct(
+    [
+        ("n_bytes", pa.int64()),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ("kept", pa.binary()),
+    ]
+)
+
+
+def _without(data: bytes, spans: pa.StructArray | None) -> dict:
+    """What is left of a text without the strings that ``spans(start, count)`` tell of, and the ranges that went."""
+    merged, kept, at = [], [], 0
+    if spans is not None and len(spans):
+        start, count = spans.field(0).to_numpy(), spans.field(1).to_numpy()
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate((start + count + LENGTH - 1)[order])
+        begin = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+        merged = list(zip(start[begin].tolist(), end[np.append(begin[1:], len(end)) - 1].tolist(), strict=True))
+    for a, b in merged:
+        kept.append(data[at:a])
+        at = b
+    kept.append(data[at:])
+    return {"n_bytes": len(data), "spans": [{"start": a, "end": b} for a, b in merged], "kept": b"".join(kept)}
+
+
 def _cut_out() -> Callable:
     @F.arrow_udf("struct<n_bytes:bigint,spans:array<struct<start:bigint,end:bigint>>,kept:binary>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tool = zstandard.ZstdDecompressor()
-        for packed, spans in batches:
-            out = []
-            for p, s in zip(packed, spans, strict=True):
-                data, merged, kept, at = tool.decompress(p.as_py()), [], [], 0
-                flat = s.values
-                if flat is not None and len(flat):
-                    start, count = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                    order = np.argsort(start, kind="stable")
-                    start, end = start[order], np.maximum.accumulate((start + count + LENGTH - 1)[order])
-                    fresh = np.concatenate(([True], start[1:] > end[:-1]))
-                    begin = np.flatnonzero(fresh)
-                    merged = list(zip(start[begin].tolist(), end[np.append(begin[1:], len(end)) - 1].tolist(), strict=True))
-                for a, b in merged:
-                    kept.append(data[at:a])
-                    at = b
-                kept.append(data[at:])
-                out.append({"n_bytes": len(data), "spans": [{"start": a, "end": b} for a, b in merged], "kept": b"".join(kept)})
-            yield pa.array(out, pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
+        for whole_texts, whole_spans in batches:
+            for first in range(0, len(whole_texts), ROWS):
+                texts, spans = whole_texts.slice(first, ROWS), whole_spans.slice(first, ROWS)
+                out = [_without(tool.decompress(p.as_py()), s.values) for p, s in zip(texts, spans, strict=True)]
+                yield pa.array(out, CUT)
 
     return cut.asNondeterministic()
 
@@ -339,15 +340,14 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         place.bitwiseAND(F.lit((1 << _START_BITS) - 1)).alias("start"),
         F.col("pos").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)).alias("count"),
     )
-    packed = docs.select(F.col(id).alias("id"), *_document(id, text), _packed(text).alias("packed")).withColumn("t", F.col("t").cast("int"))
+    texts = docs.select(F.col(id).alias("id"), *_document(id, text), packed(text).alias("packed")).withColumn("t", F.col("t").cast("int"))
     wanted = (
         settled.where("open")
         .groupBy("d", F.shiftrightunsigned("pos", _START_BITS + _COUNT_BITS).cast("int").alias("t"))
         .agg(F.collect_list(F.struct("pos", "g")).alias("runs"))
     )
-    once = packed.drop("id")
-    spans = whole.unionByName(open_spans(_run_bytes(once, wanted)))
+    spans = whole.unionByName(open_spans(_run_bytes(texts.drop("id"), wanted)))
     of = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,count:bigint>>")
-    cut = packed.join(of, ["d", "t"], "left").select("id", _cut_out()("packed", F.coalesce("spans", none)).alias("cut"))
+    cut = texts.join(of, ["d", "t"], "left").select("id", _cut_out()("packed", F.coalesce("spans", none)).alias("cut"))
     return cut.select(F.col("id").alias(id), "cut.*")
