@@ -45,13 +45,7 @@ class PairIndexBpe:
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         vocab, letters = data["model"]["vocab"], _byte_letters()
-        byte_of = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        known = vocab | self.special
-        self.token_bytes = [b""] * (max(known.values()) + 1)
-        for token, i in known.items():
-            plain = all(c in byte_of for c in token)
-            self.token_bytes[i] = bytes(byte_of[c] for c in token) if plain else token.encode()
         self.byte_id = np.array([vocab[c] for c in letters], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
@@ -145,8 +139,18 @@ class PairIndexBpe:
             at += 4 * n
         return split
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    byte_of = {c: b for b, c in enumerate(_byte_letters())}
+    known = data["model"]["vocab"] | {t["content"]: t["id"] for t in data["added_tokens"]}
+    out = [b""] * (max(known.values()) + 1)
+    for token, i in known.items():
+        plain = all(c in byte_of for c in token)
+        out[i] = bytes(byte_of[c] for c in token) if plain else token.encode()
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -154,8 +158,15 @@ def _model(path: str, pattern: str) -> PairIndexBpe:
     return PairIndexBpe(path, pattern)
 
 
+@functools.lru_cache(maxsize=2)
+def _tokens(path: str) -> list[bytes]:
+    return token_bytes(path)
+
+
 #: Texts of one index at a time; bounds its memory where batches hold long texts.
 INDEX_CHARS = 1_000_000
+#: Texts decoded together.
+DECODED_ROWS = 512
 
 
 def blocks(texts: Iterator[str | None], most: int) -> Iterator[list[str]]:
@@ -178,21 +189,25 @@ def encoder(path: str, pattern: str) -> Callable:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(path, pattern)
         for batch in batches:
-            out: list[bytes] = []
             for block in blocks((t.as_py() for t in batch), INDEX_CHARS):
-                out.extend(model.encode(block))
-            yield pa.array(out, pa.binary())
+                yield pa.array(model.encode(block), pa.binary())  # ids take more room than text: not whole batches
 
     return encode.asNondeterministic()  # else the optimizer may run it once for each use
 
 
-def decoder(path: str, pattern: str) -> Callable:
+def decode_ids(tokens: list[bytes], ids: bytes) -> str:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+def decoder(path: str) -> Callable:
     """A function from ids as bytes to the text; null as no ids."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(path, pattern)
+        tokens = _tokens(path)
         for batch in batches:
-            yield pa.array([model.decode(i.as_py() or b"") for i in batch], pa.string())
+            for first in range(0, len(batch), DECODED_ROWS):
+                part = batch.slice(first, DECODED_ROWS)
+                yield pa.array([decode_ids(tokens, i.as_py() or b"") for i in part], pa.string())
 
     return decode.asNondeterministic()
