@@ -263,7 +263,7 @@ def _telling_stems(bags: list[list[str]], toxic: np.ndarray, good: Counter, most
 
 def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Machine:
     toxic = np.array([1 if x else 0 for x in labels])
-    if toxic.min(initial=1) == toxic.max(initial=0):
+    if len(set(toxic.tolist())) < 2:
         return Machine()
     bags = [sorted(document_units(t)) for t in texts]
     bad, good = Counter(), Counter()
@@ -373,9 +373,8 @@ def toxicity(machine: Machine, text: str = "text") -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(Machine(*parts))
         for batch in batches:
-            margins: list[float] = []
             for block in blocks((t.as_py() for t in batch), BLOCK_CHARS):
-                margins.extend(scorer.margins(block))
-            yield pa.array(scorer.machine.probability(np.array(margins, dtype=np.float64)), pa.float64())
+                margins = np.array(scorer.margins(block), dtype=np.float64)
+                yield pa.array(scorer.machine.probability(margins), pa.float64())
 
     return score.asNondeterministic()(text)
