@@ -39,7 +39,7 @@ SAMPLE = 20_000
 SHARD_ROOT = 16
 MOST_SHARDS = 4_096
 #: Askers and points of one task's block.
-ASK_BLOCK = 8_192
+ASK_BLOCK = 65_536
 OWN_BLOCK = 65_536
 #: Links held before they are reduced to a spanning set.
 HELD_LINKS = 500_000
