@@ -40,7 +40,7 @@ LENGTH = 100
 GRAM = 24
 OWNED = LENGTH - GRAM + 1  # grams of a string
 #: Characters of texts whose runs are looked at together, and strings of a batch of the index family.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 BATCH_STRINGS = 4_096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -215,7 +215,8 @@ class IndexFamily:
         if not len(level):
             return
         while self.levels and self.levels[-1].size.bit_length() <= level.size.bit_length():
-            level = np.sort(np.concatenate([self.levels.pop(), level]), kind="stable")
+            level = np.concatenate([self.levels.pop(), level])
+            level.sort(kind="stable")
         self.levels.append(level)
 
 
