@@ -32,7 +32,7 @@ WORDS = 5
 SHARE = 0.8
 #: Bits of the filter that holds back windows: a fixed 2 MB, whatever the benchmark's size. No match depends on it.
 FILTER_BITS = 24
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 BLOCK_CHARS = 1_000_000
 #: Words that are units when they follow a number. Fixed values.
 UNITS = frozenset(
@@ -49,15 +49,45 @@ _HOLES = np.array([0, *(xxhash.xxh64_intdigest(f"\x01{k}") for k in (NUMBER, NAM
 WINDOW = "hash bigint, place int, slots array<struct<kind:int, at:int, filler:string>>"
 
 
-class Canon:
-    """Words of texts as hashes with types. What a word is is remembered; forgetting it changes nothing."""
+class _Grown:
+    """A numpy array that grows at its end: values gather in a list and are moved over when the array is asked for."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+    def __init__(self, kind: type) -> None:
+        self.data, self.size, self.new = np.zeros(1024, dtype=kind), 0, []
+        self.add = self.new.append
+
+    def array(self) -> np.ndarray:
+        if self.new:
+            need = self.size + len(self.new)
+            while len(self.data) < need:
+                self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+            self.data[self.size : need] = self.new
+            self.size = need
+            self.new.clear()
+        return self.data
 
-    def _learn(self, word: str) -> None:
+
+class _Tokens(dict):
+    """Numbers of what stands between blanks. A token that isn't known yet is cut into its words when it is asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.first, self.count, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
+        self.words: dict[str, int] = {}
+        self.hashes, self.kinds, self.texts, self.length = _Grown(np.uint64), _Grown(np.int8), [], 0
+
+    def __missing__(self, token: str) -> int:
+        words = _TOKENS.findall(token)
+        self.first.add(self.length)
+        self.count.add(len(words))
+        self.length += len(words)
+        for word in words:
+            known = self.words.get(word)
+            self.flat.add(self._learn(word) if known is None else known)
+        self[token] = own = len(self)
+        return own
+
+    def _learn(self, word: str) -> int:
         low, kind = word.lower(), PLAIN
         if word[0].isdigit():
             kind = NUMBER
@@ -65,54 +95,90 @@ class Canon:
             kind = NAME
         elif low in UNITS:
             kind = UNIT
-        self.known[word] = len(self.kinds)
-        self.hashes.append(xxhash.xxh64_intdigest(low))
-        self.kinds.append(kind)
-
-    def block(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
-        """Of each text: hashes of its lower-case words, their types, and the words."""
-        if len(self.known) > REMEMBERED:
-            self.__init__()
-        found = [_TOKENS.findall(t) for t in texts]
-        for word in set().union(*found).difference(self.known):
-            self._learn(word)
-        hashes, kinds = np.array(self.hashes, dtype=np.uint64), np.array(self.kinds, dtype=np.int8)
-        out = []
-        for words in found:
-            at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-            kind = kinds[at]
-            kind[1:][(kind[1:] == UNIT) & (kind[:-1] != NUMBER)] = PLAIN
-            if len(kind) and kind[0] == UNIT:
-                kind[0] = PLAIN
-            out.append((hashes[at], kind, words))
-        return out
-
-
-def _rolled(hashes: np.ndarray, size: int, salt: int) -> np.ndarray:
+        self.words[word] = own = len(self.texts)
+        self.hashes.add(xxhash.xxh64_intdigest(low))
+        self.kinds.add(kind)
+        self.texts.append(word)
+        return own
+
+
+class Canon:
+    """Words of texts as hashes with types. What a token holds is remembered; forgetting it changes nothing."""
+
+    def __init__(self, limit: int = REMEMBERED) -> None:
+        self.limit, self.known = limit, _Tokens()
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts laid end to end: hashes of the lower-case words, their types, their numbers in ``spelling``, and
+        where each text begins, with the end of the last."""
+        if len(self.known) > self.limit:
+            self.known = _Tokens()
+        known, tokens, sizes = self.known, [], [0]
+        for text in texts:
+            tokens += text.split()
+            sizes.append(len(tokens))
+        at = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        count = known.count.array()[at]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        begin = known.first.array()[at] - ends[:-1]
+        word = known.flat.array()[np.repeat(begin, count) + np.arange(ends[-1])]
+        bounds = ends[np.array(sizes)]
+        kind = known.kinds.array()[word]
+        units = np.flatnonzero(kind == UNIT)
+        if len(units):
+            alone = (kind[units - 1] != NUMBER) | np.isin(units, bounds)
+            kind[units[alone]] = PLAIN
+        return known.hashes.array()[word], kind, word, bounds
+
+    def spelling(self, words: np.ndarray) -> list[str]:
+        return [self.known.texts[w] for w in words.tolist()]
+
+
+def _combined(hashes: np.ndarray, at: np.ndarray | None, size: int, salt: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place ``at`` on, or from every place."""
     n = len(hashes) - size + 1
-    out = np.full(n, np.uint64(salt), dtype=np.uint64)
+    out = np.full(n if at is None else len(at), salt, dtype=np.uint64)
     for k in range(size):
-        out = (out ^ hashes[k : k + n]) * _STEP
-        out ^= out >> np.uint64(31)
+        factor = np.uint64(pow(int(_STEP), k + 1, 1 << 64))
+        out += (hashes[k : k + n] if at is None else hashes[at + k]) * factor
+    out ^= out >> np.uint64(32)
+    out *= _STEP
     return out
 
 
-def windows_of(hashes: np.ndarray, kinds: np.ndarray, size: int = WORDS) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-    """``(as template, places, hashes)``: all windows as plain words, and those with placeholders among a majority of
-    plain words as templates."""
-    if len(hashes) < size:
-        return []
+def _rows(canon: Canon, texts: list[str], size: int, allow: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
+    """Number of windows of each text, and ``(text, hash, place, slots)`` of those that the filter lets pass: all windows
+    as plain words, and those with placeholders among a majority of plain words as templates."""
+    hashes, kinds, numbers, bounds = canon.words(texts)
+    totals = np.maximum(np.diff(bounds) - size + 1, 0)
+    if not totals.any():
+        return totals, []
     n = len(hashes) - size + 1
-    holes = np.concatenate(([0], np.cumsum(kinds != PLAIN)))
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))[:n]
+    inside = np.arange(size, size + n) <= bounds[text + 1]  # windows never reach into the next text
+    special = kinds != PLAIN
+    holes = np.concatenate(([0], np.cumsum(special)))
     held = holes[size:] - holes[:n]
-    telling = np.flatnonzero((held > 0) & (2 * held < size))
-    template = _rolled(np.where(kinds == PLAIN, hashes, _HOLES[kinds]), size, 1)
-    return [(False, np.arange(n), _rolled(hashes, size, 2)), (True, telling, template[telling])]
-
-
-def _slots(place: int, kinds: np.ndarray, words: list[str], size: int) -> list[dict]:
-    held = [k for k in range(place, place + size) if kinds[k] != PLAIN]
-    return [{"kind": int(kinds[k]), "at": k - place, "filler": words[k].lower()} for k in held]
+    telling = np.flatnonzero((held > 0) & (2 * held < size) & inside)
+    filled = np.where(special, _HOLES[kinds], hashes)
+    out = []
+    for template, places, found in (
+        (False, np.flatnonzero(inside), _combined(hashes, None, size, 2)[inside]),
+        (True, telling, _combined(filled, telling, size, 1)),
+    ):
+        if allow is not None:
+            passed = np.flatnonzero(allow[(found >> np.uint64(64 - FILTER_BITS)).view(np.int64)])
+            places, found = places[passed], found[passed]
+        for start, h in zip(places.tolist(), found.view(np.int64).tolist(), strict=True):
+            slots = _slots(canon, start, kinds, numbers, size) if template else []
+            out.append((int(text[start]), h, start - int(bounds[text[start]]), slots))
+    return totals, out
+
+
+def _slots(canon: Canon, start: int, kinds: np.ndarray, numbers: np.ndarray, size: int) -> list[dict]:
+    held = np.flatnonzero(kinds[start : start + size])
+    fillers = canon.spelling(numbers[start + held])
+    return [{"kind": int(kinds[start + k]), "at": k, "filler": w.lower()} for k, w in zip(held.tolist(), fillers, strict=True)]
 
 
 _SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("at", pa.int32()), ("filler", pa.string())]))
@@ -130,12 +196,9 @@ def item_windows(items: DataFrame, id: str = "item_id", text: str = "text", word
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for item, (hashes, kinds, tokens) in zip(batch.column(0).to_pylist(), canon.block(texts), strict=True):
-                for template, places, found in windows_of(hashes, kinds, words):
-                    for place, h in zip(places.tolist(), found.view(np.int64).tolist(), strict=True):
-                        rows.append((item, len(hashes) - words + 1, h, place, _slots(place, kinds, tokens, words) if template else []))
+            ids = batch.column(0).to_pylist()
+            totals, found = _rows(canon, [t or "" for t in batch.column(1).to_pylist()], words)
+            rows = [(ids[k], int(totals[k]), *window) for k, *window in found]
             yield _batch(rows, ["item", "total"], [pa.int64(), pa.int32()])
 
     source = items.select(F.col(id).cast("bigint").alias("item"), F.col(text).alias("text"))
@@ -164,13 +227,8 @@ def document_windows(docs: DataFrame, wanted: np.ndarray, id: str = "doc_id", te
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for block in blocks((t.as_py() for t in batch.column(1)), BLOCK_CHARS):
-                rows = []
-                for hashes, kinds, tokens in canon.block(block):
-                    for template, places, found in windows_of(hashes, kinds, words):
-                        pass_on = np.flatnonzero(allow[(found >> np.uint64(64 - FILTER_BITS)).view(np.int64)])
-                        for place, h in zip(places[pass_on].tolist(), found[pass_on].view(np.int64).tolist(), strict=True):
-                            rows.append((ids[at], h, place, _slots(place, kinds, tokens, words) if template else []))
-                    at += 1
+                rows = [(ids[at + k], *window) for k, *window in _rows(canon, block, words, allow)[1]]
+                at += len(block)
                 if rows:
                     yield _batch(rows, ["doc"], [pa.int64()])
 
