@@ -23,10 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lshthemes.llm.bpe import blocks
+from lshthemes.llm.packing import packed
 from lshthemes.sources.scratch import scratch_path
 
 BUCKETS = 10_000
@@ -63,20 +65,20 @@ class Grams:
 
 
 def gram_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``(bucket, raw, target)`` over ``texts(text, target boolean)``: counts of one pass, summed in each task first."""
+    """``(bucket, raw, target)`` over ``texts(packed, target boolean)``: counts of one pass, summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, total = Grams(buckets), np.zeros((2, buckets), dtype=np.int64)
+        grams, total, tool = Grams(buckets), np.zeros((2, buckets), dtype=np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(grams.of(text.as_py() or ""), minlength=buckets)
+                found = np.bincount(grams.of(tool.decompress(text.as_py()).decode()), minlength=buckets)
                 total[0] += found
                 if target:
                     total[1] += found
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used.astype(np.int32)), "raw": total[0][used], "target": total[1][used]})
 
-    parts = texts.select("text", "target").mapInArrow(count, "bucket int, raw bigint, target bigint")
+    parts = texts.select("packed", "target").mapInArrow(count, "bucket int, raw bigint, target bigint")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -155,7 +157,9 @@ def resample(docs: DataFrame, target: DataFrame, share: float | None = None, id:
     marks = target.select(F.col(id).alias("id"), F.col("is_target").alias("target")).where("id IS NOT NULL AND target IS NOT NULL")
     marks = marks.groupBy("id").agg(F.max("target").alias("target"))
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    marked = texts.join(marks, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # a merge join whatever the tables' sizes: marks may be as many as documents, and what is shuffled are packed texts
+    marked = texts.select("id", packed("text").alias("packed")).join(marks.hint("merge"), "id", "left")
+    marked = marked.select("packed", F.coalesce("target", F.lit(False)).alias("target"))
     ratios = log_ratios(gram_counts(marked))
     if share is None:
         share = marks.agg(F.avg(F.col("target").cast("double"))).first()[0] or 0.0
