@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lshthemes.llm.exact_dedup import drop_exact_copies
+from lshthemes.llm.near_texts import keep_one_of_near_copies
 from lshthemes.llm.queries import bpe_digests, held_out
-from lshthemes.llm.simhash import keep_one_of_each
 from lshthemes.llm.templates import drop_contaminated
 from lshthemes.llm.toxicity import THRESHOLD, toxicity, train_on
 from lshthemes.sources.scratch import scratch_path
@@ -26,8 +26,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that fingerprints link: the one with the smallest identifier."""
-    return keep_one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest
+    identifier."""
+    return keep_one_of_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,297 @@
+"""Near copies by shingles: SimHash finds the candidates, the shingles themselves decide.
+
+Two texts are near copies when their sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more;
+groups are what such pairs connect. A pair just at 0.8 differs in about 15 of 100 fingerprint bits, too many for 64 bits to
+tell it from chance. So a text has two fingerprints of independent seeds, 128 bits, and texts within ``RADIUS`` of them are
+candidates: a pair at the bound is missed once in a hundred times or so, more similar ones less often.
+
+1. Fingerprints meet by the size of the shingle set: at 0.8 the smaller set has at least 0.8 of the larger one, so a text is
+   asked in its own class of sizes and the one below. A class is cut into blocks of askers and of points. One of the two
+   fingerprints must be within half the radius; a vantage-point tree over each leaves out what the triangle inequality
+   can, and the rest is compared. Links that connect the candidates come out, never the pairs of a dense group.
+2. Texts that are linked to any other bring their shingles. Each is held against the head of its group under salted keys.
+3. What isn't a near copy of the head is held against all texts of its group, block by block, until it is joined.
+
+Edge cases: null counts as empty; texts without words are near copies of each other and of nothing else. Fewer words than
+a shingle has form one shingle. Rows with a null identifier stay only if no other row of their group can.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lshthemes.llm.components import SALTS, components
+from lshthemes.llm.simhash import LEAF, _distance, _stars, choose_split
+from lshthemes.sources.scratch import scratch_path
+
+WORDS = 5
+SIMILARITY = 0.8
+#: Bits of 128 in which candidates may differ; odd, so that one half is within ``RADIUS // 2``.
+RADIUS = 29
+SEEDS = (42, 4711)
+#: Fingerprints of one task's block of a class of sizes, and texts with shingles of one block of a group.
+BLOCK = 16_384
+TEXT_BLOCK = 2_048
+HELD_LINKS = 500_000
+
+
+def shingles(text: str, words: int = WORDS) -> list[bytes]:
+    """The set of a text's shingles, in the words of ``simhash.fingerprint``."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) <= words:
+        return [b" ".join(tokens)] if tokens else []
+    return list(set(map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))))
+
+
+def _print(hashes: np.ndarray) -> np.ndarray:
+    """Bitwise majority; of an even number of shingles, ties are left unset."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def sketch(text: str, words: int = WORDS) -> tuple[int, int, int]:
+    """Size of the shingle set and its two fingerprints."""
+    found = shingles(text, words)
+    if not found:
+        return 0, 0, 0
+    a = np.fromiter((xxhash.xxh64_intdigest(s, SEEDS[0]) for s in found), dtype="<u8", count=len(found))
+    b = a ^ (a >> np.uint64(31))  # a second hash of the first: independent enough and much cheaper
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        b *= np.uint64(factor)
+        b ^= b >> np.uint64(29)
+    b += np.uint64(SEEDS[1])
+    b *= np.uint64(0x9E3779B97F4A7C15)
+    b ^= b >> np.uint64(32)
+    return len(found), int(_print(a).view(np.int64)), int(_print(b).view(np.int64))
+
+
+def _sketches(words: int) -> Callable:
+    kind = pa.struct([("size", pa.int64()), ("f", pa.int64()), ("g", pa.int64())])
+
+    @F.arrow_udf("struct<size:bigint,f:bigint,g:bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([dict(zip(("size", "f", "g"), sketch(t.as_py() or "", words), strict=True)) for t in batch], kind)
+
+    return of.asNondeterministic()
+
+
+def _hashes(words: int) -> Callable:
+    """Hashes of the shingle set in ascending order, as bytes."""
+
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = (np.array([xxhash.xxh64_intdigest(s) for s in shingles(t.as_py() or "", words)], dtype="<u8") for t in batch)
+            yield pa.array([np.unique(h).tobytes() for h in out], pa.binary())
+
+    return of.asNondeterministic()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as ascending arrays; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def candidate_links(ask: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the candidates among askers and points, each as arrays ``(node, size, f, g)``."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held, half = 0, radius // 2
+    for main in (2, 3):
+        todo = [(np.arange(len(ask[0])), np.arange(len(own[0])))]
+        while todo:
+            a, o = todo.pop()
+            if not len(a) or not len(o):
+                continue
+            points = own[main][o]
+            split = choose_split(points, half) if len(o) > LEAF else None
+            if split:
+                vantage, bound = split
+                near = _distance(points, vantage) <= bound
+                e = _distance(ask[main][a], vantage).astype(np.int16)
+                todo.append((a[e - half <= bound], o[near]))
+                todo.append((a[e + half > bound], o[~near]))
+                continue
+            for at in range(0, len(a), 1024):
+                part = a[at : at + 1024]
+                asked = ask[main][part][:, None]
+                for first in range(0, len(o), LEAF):
+                    some = o[first : first + LEAF]
+                    x, y = np.nonzero(np.bitwise_count(asked ^ own[main][some][None, :]) <= half)
+                    if not len(x):
+                        continue
+                    x, y = part[x], some[y]
+                    apart = np.bitwise_count(ask[2][x] ^ own[2][y]).astype(np.int16) + np.bitwise_count(ask[3][x] ^ own[3][y])
+                    low, high = np.minimum(ask[1][x], own[1][y]), np.maximum(ask[1][x], own[1][y])
+                    good = (apart <= radius) & (low >= similarity * high - 1e-9) & (ask[0][x] != own[0][y])
+                    if good.any():
+                        found.append((ask[0][x[good]], own[0][y[good]]))
+                        held += int(good.sum())
+                    if held > HELD_LINKS:
+                        found = [_stars(found)]
+                        held = len(found[0][0])
+    return _stars(found)
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    as_bits = lambda c: rows[c].to_numpy(dtype=np.int64).view(np.uint64)
+    return rows["node"].to_numpy(dtype=np.int64), rows["size"].to_numpy(dtype=np.int64), as_bits("f"), as_bits("g")
+
+
+def link_sketches(points: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` between nodes that connect all candidates of ``points(node, size, f, g)``, a stored table."""
+    level = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+    points = points.withColumn("level", level)
+    # few rows: classes of sizes grow geometrically
+    sizes = points.groupBy("level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    slot = F.xxhash64("node", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    below = sizes.select("level", F.col("blocks").alias("points"))
+    asks = (
+        points.join(F.broadcast(sizes), "level")
+        .withColumn("x", F.pmod(slot, F.col("blocks")).cast("int"))
+        .select("node", "size", "f", "g", "x", F.col("level").alias("from"), F.explode(F.array("level", F.col("level") - 1)).alias("level"))
+        .join(F.broadcast(below), "level")
+        .select("node", "size", "f", "g", "from", "level", F.lit(False).alias("own"), "x", every("points").alias("y"))
+        .where("from <> level OR x >= y")  # within a class each pair of blocks is met once
+    )
+    upper = sizes.select((F.col("level") - 1).alias("level"), F.col("level").alias("from"), F.col("blocks").alias("askers"))
+    same = sizes.select("level", F.col("level").alias("from"), F.col("blocks").alias("askers"))
+    owns = (
+        points.join(F.broadcast(sizes), "level")
+        .withColumn("y", F.pmod(slot, F.col("blocks")).cast("int"))
+        .join(F.broadcast(same.unionByName(upper)), "level")
+        .select("node", "size", "f", "g", "from", "level", F.lit(True).alias("own"), every("askers").alias("x"), "y")
+        .where("from <> level OR x >= y")
+    )
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["own"].to_numpy(dtype=bool)
+        a, b = candidate_links(_arrays(rows[~own]), _arrays(rows[own]), radius, similarity)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return asks.unionByName(owns).groupBy("from", "level", "x", "y").applyInPandas(link, "a bigint, b bigint")
+
+
+def join_up(nodes: list[int], sets: list[np.ndarray], asks: list[bool], similarity: float) -> list[tuple[int, int]]:
+    """Links of near copies that connect the askers to all texts given; only pairs that aren't joined yet are compared."""
+    label = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    out = []
+    for i in np.flatnonzero(asks).tolist():
+        fits = (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9).nonzero()[0]
+        for j in fits.tolist():
+            if nodes[j] != nodes[i] and root(i) != root(j) and jaccard(sets[i], sets[j]) >= similarity:
+                label[root(i)] = root(j)
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def near_copy_links(grouped: DataFrame, similarity: float = SIMILARITY, block: int = TEXT_BLOCK) -> DataFrame:
+    """Links ``(a, b)`` that connect all near copies within each group of ``grouped(node, label, hashes)``, a stored table
+    in which the node ``label`` is a member of its group."""
+    spark = grouped.sparkSession
+
+    @F.arrow_udf("double")
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            pairs = zip(left.to_pylist(), right.to_pylist(), strict=True)
+            yield pa.array([jaccard(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in pairs], pa.float64())
+
+    heads = grouped.where("node = label").select(
+        "label", F.col("hashes").alias("head"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    salted = grouped.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int"))
+    held = salted.join(heads, ["label", "salt"])
+    path = scratch_path(spark, "held-to-heads")
+    held.select("node", "label", alike.asNondeterministic()("hashes", "head").alias("alike")).write.parquet(path)
+    judged = spark.read.parquet(path)
+    first = judged.where((F.col("alike") >= similarity) & (F.col("node") != F.col("label"))).select(
+        F.col("node").alias("a"), F.col("label").alias("b")
+    )
+    rest = judged.where(F.col("alike") < similarity).select("node", "label")
+    sizes = rest.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("askers"))
+    counts = grouped.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("points"))
+    sizes = sizes.join(counts, "label")
+    slot = F.xxhash64("node", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x, y = F.pmod(slot, F.col("askers")).cast("int").alias("x"), F.pmod(slot, F.col("points")).cast("int").alias("y")
+    dealt = grouped.join(sizes, "label")
+    asks = dealt.join(rest.select("node"), "node", "left_semi").select("label", "node", "hashes", F.lit(True).alias("asks"), x, every("points").alias("y"))
+    owns = dealt.select("label", "node", "hashes", F.lit(False).alias("asks"), every("askers").alias("x"), y)
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(h, "<u8") for h in rows["hashes"]]
+        links = join_up(rows["node"].tolist(), sets, rows["asks"].tolist(), similarity)
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return first.unionByName(asks.unionByName(owns).groupBy("label", "x", "y").applyInPandas(link, "a bigint, b bigint"))
+
+
+def keep_one_of_near_copies(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
+    """The row with the smallest identifier of each group of near copies, as it came in; rows repeated in full stay or go
+    together. Only rows that go are looked up, by identifier and a hash of the text."""
+    spark = docs.sparkSession
+
+    def stored(df: DataFrame, purpose: str) -> DataFrame:
+        path = scratch_path(spark, purpose)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    # a node is a text: equal ones are one node
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = stored(docs.select(F.col(id).alias("id"), mark.alias("node"), _sketches(words)(text).alias("s")).select("id", "node", "s.*"), "sketches")
+    points = stored(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "f", "g"))), "points")
+    groups = stored(components(link_sketches(points, radius, similarity)), "candidates")
+    # one row of each text brings its shingles
+    named = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("who"))
+    wanted = stored(groups.join(named, "node").select("node", "label", F.col("who")["id"].alias("who")), "wanted")
+    texts = docs.select(F.col(id).alias("who"), mark.alias("node"), F.col(text).alias("text"))
+    same = (texts["node"] == wanted["node"]) & texts["who"].eqNullSafe(wanted["who"])
+    brought = texts.join(wanted, same).select(wanted["node"], "label", _hashes(words)("text").alias("hashes"))
+    grouped = stored(brought.dropDuplicates(["node"]), "shingles")
+    labels = components(near_copy_links(grouped, similarity))
+    known = stored(labels.join(named, "node"), "labelled")
+    least = known.groupBy("label").agg(F.min(F.struct(F.col("who")["none"].alias("none"), F.col("who")["id"].alias("id"), "node")).alias("head"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int"))
+    headed = salted.join(least.select("*", salts), ["label", "salt"]).select("node", "head")
+    # equal texts: of a node without near copies the first row stays, too
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    alone = F.struct(F.col("who")["none"].alias("none"), F.col("who")["id"].alias("id"), "node")
+    heads = named.join(headed, "node", "left").select("node", F.coalesce("head", alone).alias("head"))
+    heads = heads.select("*", salts)
+    gone = (
+        rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(heads, ["node", "salt"])
+        .where(who != F.col("head"))
+        .select(F.col("id").alias("gone_id"), F.col("node").alias("gone_mark"))
+        .distinct()
+    )
+    gone = stored(gone, "near-copies")
+    here = docs[id].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["gone_mark"])
+    return docs.join(gone, here, "left_anti")

@@ -1,0 +1,64 @@
+"""Near copies by five-word shingles against all pairs."""
+
+import random
+
+from lshthemes.llm import near_texts
+
+
+def plain_similarity(a, b):
+    x, y = (set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def changed(pick, text, n):
+    words = text.split()
+    for at in pick.sample(range(len(words)), n):
+        words[at] = f"new{pick.random()}"
+    return " ".join(words)
+
+
+def long_text(pick, n=300):
+    return " ".join(f"w{pick.randint(0, 5000)}" for _ in range(n))
+
+
+def test_near_copies_go_and_others_stay(docs):
+    pick = random.Random(3)
+    rows, near, far = [], [], []
+    for k in range(60):
+        text = long_text(pick)
+        rows.append((k, text))
+        for n in (1, 2, 4, 6, 12, 20):
+            i, other = 10_000 + 100 * k + n, changed(pick, text, n)
+            rows.append((i, other))
+            (near if plain_similarity(text, other) >= 0.8 else far).append(i)
+    pick.shuffle(rows)
+    left = near_texts.keep_one_of_near_copies(docs([*rows, (None, rows[0][1]), (5000, None), (5001, " "), (5002, "a b"), (5003, "a b")]))
+    assert left.columns == docs([]).columns
+    ids = {r["doc_id"] for r in left.collect()}
+    assert len(near) > 200 and len(ids & set(near)) <= 0.01 * len(near)
+    assert set(range(60)) | set(far) <= ids
+    assert {5000, 5002} <= ids and not ids & {None, 5001, 5003}
+    assert near_texts.keep_one_of_near_copies(docs([]).limit(0)).count() == 0
+
+
+def test_what_only_chains_join_is_one_group(docs, monkeypatch):
+    monkeypatch.setattr(near_texts, "TEXT_BLOCK", 3)
+    pick = random.Random(8)
+    chain = [long_text(pick)]
+    for _ in range(6):
+        chain.append(changed(pick, chain[-1], 3))
+    assert plain_similarity(chain[0], chain[-1]) < 0.8
+    sets = {k: near_texts.shingles(t) for k, t in enumerate(chain)}
+    assert len(sets[0]) == 296
+    left = near_texts.keep_one_of_near_copies(docs(chain))
+    assert [r["doc_id"] for r in left.collect()] == [0]
+
+
+def test_the_stage_drops_a_near_copy(docs, spark):
+    import corpus_pipeline
+
+    pick = random.Random(1)
+    texts = [long_text(pick, 100) for _ in range(20)]
+    texts += [changed(pick, t, 1) for t in texts]
+    left = corpus_pipeline.simhash_stage(spark, docs(texts), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(20))
