@@ -2,8 +2,8 @@
 
 Words are canonicalised: numbers, names (words with one capital in front) and units after a number become typed
 placeholders, other words their lower case. Windows of ``WORDS`` words of the documents are joined with those of the
-benchmark's items by hash, once as templates and once as plain lower-case words (a copy in other capitals, or of a window
-that is nearly all placeholders). A filter of fixed size with the items' hashes lets tasks hold back windows that cannot
+benchmark's items by hash, once as templates and once as plain lower-case words (a copy in other capitals). A template in
+which plain words are no majority takes in the words beside it until they are. A filter of fixed size with the items' hashes lets tasks hold back windows that cannot
 match. What fills the placeholders is then compared along each alignment of a document and an item: the same filler of the
 item must always meet the same filler in the document. Templates along an alignment that contradicts itself do not count,
 so a question whose names and numbers were exchanged is found, and a text that merely has the same form is not.
@@ -11,14 +11,14 @@ so a question whose names and numbers were exchanged is found, and a text that m
 A document holds an item when matching windows cover ``SHARE`` of the item's windows.
 
 Edge cases: null and empty texts have no windows. Items with fewer words than a window tell too little and are never
-found. Repeated rows with one identifier are one document or item; null identifiers are one more identifier. Empty tables
+found; of an item with fewer than three plain words, windows of placeholders alone match only as plain words. Repeated rows with one identifier are one document or item; null identifiers are one more identifier. Empty tables
 give no hits. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,9 +146,50 @@ def _combined(hashes: np.ndarray, at: np.ndarray | None, size: int, salt: int) -
     return out
 
 
+def _stretches(filled: np.ndarray) -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
+    """Hashes of the words from ``begin`` to ``end``, of any length, through sums over all words before."""
+    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(filled), _STEP))), dtype=np.uint64)
+    down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(filled), inverse))), dtype=np.uint64)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((filled ^ (filled >> np.uint64(29))) * up[:-1], dtype=np.uint64)))
+
+    def of(begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+        out = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _HOLES[1] + np.uint64(salt)
+        out ^= out >> np.uint64(32)
+        out *= _STEP
+        return out
+
+    return of
+
+
+def _heavy(
+    filled: np.ndarray, special: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, size: int, own: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(places, hashes)`` of windows ``at`` in which plain words are no majority, of texts from ``first`` to ``last``: each
+    window reaches out to the right, and to the left, until it holds as many plain words as would be one. In a text around
+    an item one of the two stays within the item, unless the item has too few plain words on both sides. Such a window of
+    an item (``own``) stands for itself if it has any plain word, and texts show all of theirs."""
+    if not len(at):
+        return
+    most, spots = size // 2 + 1, np.flatnonzero(~special)
+    before = np.concatenate(([0], np.cumsum(~special)))
+    of = _stretches(filled)
+    far = np.concatenate((spots, np.full(most, len(special))))  # past the end where there are too few
+    end = far[before[at] + most - 1] + 1
+    right = end <= last
+    yield at[right], of(at[right], end[right], 3)
+    begin = np.concatenate((np.full(most, -1), spots))[before[at + size]]
+    left = begin >= first
+    yield at[left], of(begin[left], at[left] + size, 4)
+    bare = before[at + size] > before[at]
+    if own:
+        bare &= ~right & ~left
+    yield at[bare], of(at[bare], at[bare] + size, 5)
+
+
 def _rows(canon: Canon, texts: list[str], size: int, allow: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
     """Number of windows of each text, and ``(text, hash, place, slots)`` of those that the filter lets pass: all windows
-    as plain words, and those with placeholders among a majority of plain words as templates."""
+    as plain words, and those with placeholders as templates."""
     hashes, kinds, numbers, bounds = canon.words(texts)
     totals = np.maximum(np.diff(bounds) - size + 1, 0)
     if not totals.any():
@@ -159,12 +200,14 @@ def _rows(canon: Canon, texts: list[str], size: int, allow: np.ndarray | None =
     special = kinds != PLAIN
     holes = np.concatenate(([0], np.cumsum(special)))
     held = holes[size:] - holes[:n]
-    telling = np.flatnonzero((held > 0) & (2 * held < size) & inside)
+    light, heavy = (np.flatnonzero((held > 0) & most & inside) for most in (2 * held < size, 2 * held >= size))
     filled = np.where(special, _HOLES[kinds], hashes)
+    begins, ends = bounds[text[heavy]], bounds[text[heavy] + 1]
     out = []
     for template, places, found in (
         (False, np.flatnonzero(inside), _combined(hashes, None, size, 2)[inside]),
-        (True, telling, _combined(filled, telling, size, 1)),
+        (True, light, _combined(filled, light, size, 1)),
+        *((True, *x) for x in _heavy(filled, special, begins, ends, heavy, size, allow is None)),
     ):
         if allow is not None:
             passed = np.flatnonzero(allow[(found >> np.uint64(64 - FILTER_BITS)).view(np.int64)])

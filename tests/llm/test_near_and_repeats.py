@@ -155,6 +155,31 @@ def test_templates_find_exchanged_slots_and_refuse_contradictions(docs, spark):
     assert templates.benchmark_hits(docs([]).limit(0), items).count() == 0
 
 
+DENSE = (
+    "Mary bought 3 kg of rice for 12 dollars and 5 kg of flour for 20 dollars. How much did Mary pay?",
+    "Alice has 12 apples, Bob has 7 apples and Carol has 5 apples. How many apples do Alice, Bob and Carol have?",
+)
+
+
+def exchanged(text, slots):
+    for old, new in slots.items():
+        text = text.replace(old, new)
+    return text
+
+
+def test_templates_find_items_dense_with_placeholders(docs, spark):
+    items = spark.createDataFrame(enumerate(DENSE), "item_id bigint, text string")
+    told = [
+        exchanged(DENSE[0], {"Mary": "Peter", "12 ": "40 ", "20 ": "64 ", "3 kg": "8 lb", "5 kg": "9 lb"}),
+        exchanged(DENSE[1], {"Alice": "Dora", "Bob": "Emil", "Carol": "Fanny", "12 ": "31 ", "7 ": "44 ", "5 ": "90 "}),
+    ]
+    around = [f"Yes, 4 Tom Kim {t} 7 Max 3 Tim 9 And so on." for t in told]
+    torn = exchanged(told[1], {"Dora,": "Ida,", "Emil and": "Jon and", "Fanny have?": "Kai have?"}).replace("44 apples and", "44 pears and")
+    tables = ["Mary 3 kg 12 dollars Bob 5 kg 20 dollars " * 20, "1 2 3 4 5 6 7 8 9 " * 50, "Alice Bob Carol Dora Emil " * 50]
+    hits = {(r["doc_id"], r["item_id"]) for r in templates.benchmark_hits(docs([*told, *around, torn, *tables]), items).collect()}
+    assert hits == {(0, 0), (1, 1), (2, 0), (3, 1)}
+
+
 def test_archives_give_back_every_page(spark):
     page = "<p>é " + "x" * 3000
     rows = [(k, f"http://h/{k}", page if k % 3 else f"own {k}") for k in range(60)]
