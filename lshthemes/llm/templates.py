@@ -11,8 +11,8 @@ so a question whose names and numbers were exchanged is found, and a text that m
 A document holds an item when matching windows cover ``SHARE`` of the item's windows.
 
 Edge cases: null and empty texts have no windows. Items with fewer words than a window tell too little and are never
-found; of an item with fewer than three plain words, windows of placeholders alone match only as plain words. Repeated rows with one identifier are one document or item; null identifiers are one more identifier. Empty tables
-give no hits. Other columns are not read.
+found; of an item with fewer than three plain words, windows of placeholders alone match only as plain words. Rows are told apart by identifier and a hash of the text, items too: rows with both alike are one, and rows without an
+identifier, or with one identifier and different texts, are looked at one by one. Empty tables give no hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lshthemes.llm.bpe import blocks
@@ -233,19 +233,25 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _mark(text: str) -> Column:
+    """Tells apart the texts of rows with one identifier, or none."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark")
+
+
 def item_windows(items: DataFrame, id: str = "item_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``(item, total, hash, place, slots)``: the windows of each item, as plain words and as templates."""
+    """``(item, item_mark, total, hash, place, slots)``: the windows of each item, as plain words and as templates."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             totals, found = _rows(canon, [t or "" for t in batch.column(1).to_pylist()], words)
-            rows = [(ids[k], int(totals[k]), *window) for k, *window in found]
-            yield _batch(rows, ["item", "total"], [pa.int64(), pa.int32()])
+            marks = batch.column(2).to_pylist()
+            rows = [(ids[k], marks[k], int(totals[k]), *window) for k, *window in found]
+            yield _batch(rows, ["item", "item_mark", "total"], [pa.int64(), pa.int64(), pa.int32()])
 
-    source = items.select(F.col(id).cast("bigint").alias("item"), F.col(text).alias("text"))
-    return source.mapInArrow(cut, f"item bigint, total int, {WINDOW}")
+    source = items.select(F.col(id).cast("bigint").alias("item"), F.col(text).alias("text"), _mark(text))
+    return source.mapInArrow(cut, f"item bigint, item_mark bigint, total int, {WINDOW}")
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
@@ -261,25 +267,25 @@ def _filter(windows: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, wanted: np.ndarray, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``(doc, hash, place, slots)``: windows of the documents that the filter ``wanted`` lets pass."""
+    """``(doc, mark, hash, place, slots)``: windows of the documents that the filter ``wanted`` lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         allow = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
+            ids, marks, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for block in blocks((t.as_py() for t in batch.column(1)), BLOCK_CHARS):
-                rows = [(ids[at + k], *window) for k, *window in _rows(canon, block, words, allow)[1]]
+                rows = [(ids[at + k], marks[at + k], *window) for k, *window in _rows(canon, block, words, allow)[1]]
                 at += len(block)
                 if rows:
-                    yield _batch(rows, ["doc"], [pa.int64()])
+                    yield _batch(rows, ["doc", "mark"], [pa.int64(), pa.int64()])
 
-    source = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return source.mapInArrow(cut, f"doc bigint, {WINDOW}")
+    source = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"), _mark(text))
+    return source.mapInArrow(cut, f"doc bigint, mark bigint, {WINDOW}")
 
 
-def benchmark_hits(
+def text_hits(
     docs: DataFrame,
     items: DataFrame,
     share: float = SHARE,
@@ -288,10 +294,9 @@ def benchmark_hits(
     item_id: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per document and item it holds: ``(id, item_id, matched, total, coverage, replaced)``. ``replaced`` is
-    the number of different fillers that took another one's place."""
+    """One row per text and item text it holds: ``(doc, mark, item, matched, total, coverage, replaced)``."""
     windows = item_windows(items, item_id, text, words).distinct()
-    mine = windows.select("item", "total", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    mine = windows.select("item", "item_mark", "total", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     met = document_windows(docs, _filter(windows), id, text, words).join(mine, "hash")
     fillers = F.zip_with(
         "item_slots",
@@ -299,9 +304,9 @@ def benchmark_hits(
         lambda a, b: F.struct(a["kind"].alias("kind"), a["filler"].alias("old"), b["filler"].alias("new")),
     )
     aligned = met.select(
-        "doc", "item", "total", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), fillers.alias("fillers")
+        "doc", "mark", "item", "item_mark", "total", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), fillers.alias("fillers")
     )
-    along = ["doc", "item", "shift"]
+    along = ["doc", "mark", "item", "item_mark", "shift"]
     swaps = aligned.select(*along, F.explode("fillers").alias("f")).select(*along, "f.*").distinct()
     by_old = swaps.groupBy(*along, "kind", "old").agg(
         F.count("*").alias("n"), F.max((F.col("old") != F.col("new")).cast("int")).alias("other")
@@ -313,19 +318,30 @@ def benchmark_hits(
     )
     replaced = F.when(F.size("fillers") > 0, F.col("replaced")).otherwise(F.lit(0))
     places = (
-        told.select("a.doc", "a.item", "total", "item_place", replaced.alias("replaced"))
-        .groupBy("doc", "item", "total", "item_place")
+        told.select("a.doc", "a.mark", "a.item", "a.item_mark", "total", "item_place", replaced.alias("replaced"))
+        .groupBy("doc", "mark", "item", "item_mark", "total", "item_place")
         .agg(F.min("replaced").alias("replaced"))
     )
-    found = places.groupBy("doc", "item", "total").agg(F.count("*").alias("matched"), F.max("replaced").alias("replaced"))
+    found = places.groupBy("doc", "mark", "item", "item_mark", "total").agg(F.count("*").alias("matched"), F.max("replaced").alias("replaced"))
     return (
         found.withColumn("coverage", F.col("matched") / F.col("total"))
         .where(F.col("coverage") >= share)
-        .select(F.col("doc").alias(id), F.col("item").alias(item_id), "matched", F.col("total").cast("bigint").alias("total"), "coverage", "replaced")
+        .select("doc", "mark", "item", "matched", F.col("total").cast("bigint").alias("total"), "coverage", "replaced")
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item, as they came in."""
-    hits = benchmark_hits(docs, items, id=id, **options).select(F.col(id).alias("hit")).distinct()
-    return docs.join(hits, docs[id].cast("bigint").eqNullSafe(hits["hit"]), "left_anti")
+def benchmark_hits(docs: DataFrame, items: DataFrame, id: str = "doc_id", item_id: str = "item_id", **options) -> DataFrame:
+    """One row per document and item it holds: ``(id, item_id, matched, total, coverage, replaced)``. ``replaced`` is
+    the number of different fillers that took another one's place. Of texts that share an identifier, and of items that
+    do, the best covered one tells."""
+    best = F.max(F.struct("coverage", "matched", "total", "replaced")).alias("best")
+    hits = text_hits(docs, items, id=id, item_id=item_id, **options).groupBy("doc", "item").agg(best)
+    columns = ("matched", "total", "coverage", "replaced")
+    return hits.select(F.col("doc").alias(id), F.col("item").alias(item_id), *(F.col("best")[c].alias(c) for c in columns))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows whose text holds no item, as they came in."""
+    hits = text_hits(docs, items, id=id, text=text, **options).select(F.col("doc").alias("hit"), F.col("mark").alias("hit_mark")).distinct()
+    here = docs[id].cast("bigint").eqNullSafe(hits["hit"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == hits["hit_mark"])
+    return docs.join(hits, here, "left_anti")

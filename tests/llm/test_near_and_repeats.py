@@ -180,6 +180,18 @@ def test_templates_find_items_dense_with_placeholders(docs, spark):
     assert hits == {(0, 0), (1, 1), (2, 0), (3, 1)}
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_identifier(docs, spark):
+    items = spark.createDataFrame([(1, QUESTION)], "item_id bigint, text string")
+    half = len(QUESTION) // 2
+    rows = [(None, QUESTION), (None, "clean text without an identifier"), (7, "clean seven " * 9), (7, f"so {QUESTION} so")]
+    rows += [(8, QUESTION[: half + 9]), (8, QUESTION[half - 9 :]), (None, None)]
+    table = docs(rows)
+    left = templates.drop_contaminated(table, items).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted((i or 0, t or "") for i, t in rows if QUESTION not in (t or ""))
+    hits = templates.benchmark_hits(table, items).collect()
+    assert sorted((r["doc_id"] or 0, r["coverage"]) for r in hits) == [(0, 1.0), (7, 1.0)]
+
+
 def test_archives_give_back_every_page(spark):
     page = "<p>é " + "x" * 3000
     rows = [(k, f"http://h/{k}", page if k % 3 else f"own {k}") for k in range(60)]
