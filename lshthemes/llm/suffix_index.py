@@ -7,7 +7,7 @@ Every 100-byte string is owned by one of its 24-byte grams, the one with the sma
 owner form a run (at most 77, about 40 on average). Equal strings have equal owners at equal places, so only runs whose
 owners agree can share a string:
 
-1. Runs travel as numbers: hash of the owner, hash of the run's bytes, document, place. A block of texts keeps the first
+1. Runs travel as numbers: hash of the owner, hash of the run's bytes, document (identifier and hash of the text), place. A block of texts keeps the first
    of its equal runs, so a passage that very many documents share leaves each block once. Sorted by owner, a run that
    equals an earlier one repeats as a whole; a run alone with its owner repeats nothing.
 2. What is left are owners with different runs, mostly at the ends of passages. Their first runs fetch their bytes and
@@ -45,8 +45,8 @@ BATCH_STRINGS = 4_096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 _LETTERS = np.random.RandomState(5).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A place: 15 bits of the text's hash, the start, and in 7 bits the number of strings.
-_START_BITS, _COUNT_BITS = 41, 7
+#: A place: the start, and in 7 bits the number of strings.
+_COUNT_BITS = 7
 NO_ID = -(1 << 63)
 
 
@@ -94,22 +94,22 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return text, first - starts[text], count, gram[owner[first]].view(np.int64), run.view(np.int64)
 
 
-def _first_of_equal(g: np.ndarray, r: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _first_of_equal(g: np.ndarray, r: np.ndarray, d: np.ndarray, t: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of equal runs, and of those that repeat one. Of one run told twice, only one is in them."""
-    order = np.lexsort((pos, d, r, g))
-    g, r, d, pos = g[order], r[order], d[order], pos[order]
+    order = np.lexsort((pos, t, d, r, g))
+    g, r, d, t, pos = g[order], r[order], d[order], t[order], pos[order]
     fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])))
-    twice = np.concatenate(([False], (d[1:] == d[:-1]) & (pos[1:] == pos[:-1]))) & ~fresh
+    twice = np.concatenate(([False], (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (pos[1:] == pos[:-1]))) & ~fresh
     return order[fresh], order[~fresh & ~twice]
 
 
 def _document(id: str, text: str) -> list[Column]:
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFF))
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     return [F.coalesce(F.col(id).cast("bigint"), F.expr("-9223372036854775807L - 1L")).alias("d"), own.alias("t")]
 
 
 def text_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(g, r, d, pos, again)``: runs by owner and bytes; ``again`` where the block has an equal one before."""
+    """``(g, r, d, t, pos, again)``: runs by owner and bytes; ``again`` where the block has an equal one before."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,66 +125,69 @@ def text_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
                 data = np.frombuffer(b"".join(raw[k] for k in long), dtype=np.uint8)
                 which, start, count, g, r = runs(data, np.cumsum(sizes) - sizes, sizes)
                 of = long[which]
-                pos = (own[of] << (_START_BITS + _COUNT_BITS)) | (start << _COUNT_BITS) | count
-                doc = ids[of]
-                first, again = _first_of_equal(g, r, doc, pos)
+                pos = (start << _COUNT_BITS) | count
+                doc, mark = ids[of], own[of]
+                first, again = _first_of_equal(g, r, doc, mark, pos)
                 for picked, repeats in ((first, False), (again, True)):
                     key = doc[picked] * 31 if repeats else g[picked]  # repeats only pass through; spread them
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(r[picked]), pa.array(doc[picked]), pa.array(pos[picked]), pa.array(np.full(len(picked), repeats))],
-                        ["g", "r", "d", "pos", "again"],
+                        [pa.array(key), pa.array(r[picked]), pa.array(doc[picked]), pa.array(mark[picked]), pa.array(pos[picked]), pa.array(np.full(len(picked), repeats))],
+                        ["g", "r", "d", "t", "pos", "again"],
                     )
 
     source = docs.select(*_document(id, text), F.col(text).alias("text"))
-    return source.mapInArrow(cut, "g bigint, r bigint, d bigint, pos bigint, again boolean")
+    return source.mapInArrow(cut, "g bigint, r bigint, d bigint, t bigint, pos bigint, again boolean")
 
 
 def settle_runs(found: DataFrame) -> DataFrame:
-    """``(g, d, pos, open)``: runs that repeat an earlier one, and (open) the first of equal runs where an owner has
+    """``(g, d, t, pos, open)``: runs that repeat an earlier one, and (open) the first of equal runs where an owner has
     different ones. Holds one run at a time beside the batch."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, ...] | None = None  # the last first run, and whether another of its owner came before
 
-        def rows(g, d, pos, open_) -> pa.RecordBatch:  # noqa: ANN001
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(pos), pa.array(open_)], ["g", "d", "pos", "open"])
+        def rows(g, d, t, pos, open_) -> pa.RecordBatch:  # noqa: ANN001
+            return pa.RecordBatch.from_arrays(
+                [pa.array(g), pa.array(d), pa.array(t), pa.array(pos), pa.array(open_)], ["g", "d", "t", "pos", "open"]
+            )
 
-        last = (0, 0, 0, 0)
+        last = (0, 0, 0, 0, 0)
         for batch in batches:
-            g, r, d, pos = (batch.column(k).to_numpy() for k in range(4))
-            again = batch.column(4).to_numpy(zero_copy_only=False)
+            g, r, d, t, pos = (batch.column(k).to_numpy() for k in range(5))
+            again = batch.column(5).to_numpy(zero_copy_only=False)
             if again.any():
-                yield rows(g[again], d[again], pos[again], np.zeros(int(again.sum()), dtype=bool))
-                g, r, d, pos = g[~again], r[~again], d[~again], pos[~again]
+                yield rows(g[again], d[again], t[again], pos[again], np.zeros(int(again.sum()), dtype=bool))
+                g, r, d, t, pos = g[~again], r[~again], d[~again], t[~again], pos[~again]
             if not len(g):
                 continue
-            before = [np.concatenate(([v], c[:-1])) for v, c in zip(last, (g, r, d, pos), strict=True)]
+            before = [np.concatenate(([v], c[:-1])) for v, c in zip(last, (g, r, d, t, pos), strict=True)]
             same_owner = g == before[0]
             same_run = same_owner & (r == before[1])
-            twice = same_run & (d == before[2]) & (pos == before[3])
+            twice = same_run & (d == before[2]) & (t == before[3]) & (pos == before[4])
             if held is None:
                 same_owner[0] = same_run[0] = twice[0] = False
-            last = (g[-1], r[-1], d[-1], pos[-1])
+            last = (g[-1], r[-1], d[-1], t[-1], pos[-1])
             repeats = same_run & ~twice
             if repeats.any():
-                yield rows(g[repeats], d[repeats], pos[repeats], np.zeros(int(repeats.sum()), dtype=bool))
+                yield rows(g[repeats], d[repeats], t[repeats], pos[repeats], np.zeros(int(repeats.sum()), dtype=bool))
             first = np.flatnonzero(~same_run)
             if not len(first):
                 continue
-            fg, fd, fp = g[first], d[first], pos[first]
+            fg, fd, ft, fp = g[first], d[first], t[first], pos[first]
             if held is not None:
-                fg, fd, fp = (np.concatenate(([h], x)) for h, x in zip(held[:3], (fg, fd, fp), strict=True))
+                fg, fd, ft, fp = (np.concatenate(([h], x)) for h, x in zip(held[:4], (fg, fd, ft, fp), strict=True))
             joined = fg[1:] == fg[:-1]
-            earlier = np.concatenate(([bool(held[3]) if held is not None else False], joined))
+            earlier = np.concatenate(([bool(held[4]) if held is not None else False], joined))
             later = np.concatenate((joined, [False]))
-            held = (fg[-1], fd[-1], fp[-1], bool(earlier[-1]))
+            held = (fg[-1], fd[-1], ft[-1], fp[-1], bool(earlier[-1]))
             mixed = (earlier | later)[:-1]
             if mixed.any():
-                yield rows(fg[:-1][mixed], fd[:-1][mixed], fp[:-1][mixed], np.ones(int(mixed.sum()), dtype=bool))
-        if held is not None and held[3]:
-            yield rows([held[0]], [held[1]], [held[2]], [True])
+                yield rows(fg[:-1][mixed], fd[:-1][mixed], ft[:-1][mixed], fp[:-1][mixed], np.ones(int(mixed.sum()), dtype=bool))
+        if held is not None and held[4]:
+            yield rows([held[0]], [held[1]], [held[2]], [held[3]], [True])
 
-    return found.repartition("g").sortWithinPartitions("g", "r", "d", "pos").mapInArrow(settle, "g bigint, d bigint, pos bigint, open boolean")
+    kind = "g bigint, d bigint, t bigint, pos bigint, open boolean"
+    return found.repartition("g").sortWithinPartitions("g", "r", "d", "t", "pos").mapInArrow(settle, kind)
 
 
 class IndexFamily:
@@ -221,12 +224,12 @@ class IndexFamily:
 
 
 def open_spans(strings: DataFrame) -> DataFrame:
-    """``(d, t, start, count)`` of strings that are there earlier, of runs ``(g, d, pos, bytes)``."""
+    """``(d, t, start, count)`` of strings that are there earlier, of runs ``(g, d, t, pos, bytes)``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, last = IndexFamily(), None
         for batch in batches:
-            keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(4)])
             fresh = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))  # repeated rows tell a run twice
             if len(keys):
                 fresh[0] = last is None or (keys[0] != last).any()
@@ -234,8 +237,8 @@ def open_spans(strings: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(fresh[: len(keys)]))
             for first in range(0, batch.num_rows, BATCH_STRINGS):
                 part = batch.slice(first, BATCH_STRINGS)
-                d, pos = part.column(1).to_numpy(), part.column(2).to_numpy()
-                known = family.add(part.column(3).to_pylist())
+                d, t, pos = (part.column(k).to_numpy() for k in (1, 2, 3))
+                known = family.add(part.column(4).to_pylist())
                 of = np.repeat(np.arange(len(known)), [len(k) for k in known])
                 flat = np.concatenate(known)
                 place = np.concatenate([np.arange(len(k)) for k in known])
@@ -244,49 +247,48 @@ def open_spans(strings: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 count = np.add.reduceat(flat.astype(np.int64), at)
-                yield _spans(d[of[at]], pos[of[at]], place[at], count)
+                yield _spans(d[of[at]], t[of[at]], pos[of[at]], place[at], count)
 
-    return strings.repartition("g").sortWithinPartitions("d", "pos", "g").mapInArrow(scan, SPANS)
+    return strings.repartition("g").sortWithinPartitions("d", "t", "pos", "g").mapInArrow(scan, SPANS)
 
 
-SPANS = "d bigint, t int, start bigint, count bigint"
+SPANS = "d bigint, t bigint, start bigint, count bigint"
 
 
-def _spans(d: np.ndarray, pos: np.ndarray, shift: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    t = (pos >> (_START_BITS + _COUNT_BITS)).astype(np.int32)
-    start = ((pos >> _COUNT_BITS) & ((1 << _START_BITS) - 1)) + shift
+def _spans(d: np.ndarray, t: np.ndarray, pos: np.ndarray, shift: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    start = (pos >> _COUNT_BITS) + shift
     return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(start), pa.array(count)], ["d", "t", "start", "count"])
 
 
 def _run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(g, d, pos, bytes)`` of the wanted runs."""
+    """``(g, d, t, pos, bytes)`` of the wanted runs."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             size = 0
-            for d, runs_, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for d, t, runs_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = tool.decompress(data.as_py())
                 for run in runs_.as_py():
                     pos = run["pos"]
-                    start, count = (pos >> _COUNT_BITS) & ((1 << _START_BITS) - 1), pos & ((1 << _COUNT_BITS) - 1)
+                    start, count = pos >> _COUNT_BITS, pos & ((1 << _COUNT_BITS) - 1)
                     piece = data[start : start + count + LENGTH - 1]
-                    for values, value in zip(out, (run["g"], d, pos, piece), strict=True):
+                    for values, value in zip(out, (run["g"], d, t, pos, piece), strict=True):
                         values.append(value)
                     size += len(piece)
                 if size > 8_000_000:
                     yield _strings(out)
-                    out, size = ([], [], [], []), 0
+                    out, size = ([], [], [], [], []), 0
             if out[0]:
                 yield _strings(out)
 
     def _strings(out: tuple[list, ...]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["g", "d", "pos", "bytes"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["g", "d", "t", "pos", "bytes"])
 
-    joined = docs.join(wanted, ["d", "t"]).select("d", "runs", "packed")
-    return joined.mapInArrow(fetch, "g bigint, d bigint, pos bigint, bytes binary")
+    joined = docs.join(wanted, ["d", "t"]).select("d", "t", "runs", "packed")
+    return joined.mapInArrow(fetch, "g bigint, d bigint, t bigint, pos bigint, bytes binary")
 
 
 CUT = pa.struct(
@@ -334,19 +336,14 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     path = scratch_path(spark, "runs")
     settle_runs(text_runs(docs, id, text)).write.parquet(path)
     settled = spark.read.parquet(path)
-    place = F.shiftrightunsigned("pos", _COUNT_BITS)
     whole = settled.where("NOT open").select(
         "d",
-        F.shiftrightunsigned("pos", _START_BITS + _COUNT_BITS).cast("int").alias("t"),
-        place.bitwiseAND(F.lit((1 << _START_BITS) - 1)).alias("start"),
+        "t",
+        F.shiftrightunsigned("pos", _COUNT_BITS).alias("start"),
         F.col("pos").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)).alias("count"),
     )
-    texts = docs.select(F.col(id).alias("id"), *_document(id, text), packed(text).alias("packed")).withColumn("t", F.col("t").cast("int"))
-    wanted = (
-        settled.where("open")
-        .groupBy("d", F.shiftrightunsigned("pos", _START_BITS + _COUNT_BITS).cast("int").alias("t"))
-        .agg(F.collect_list(F.struct("pos", "g")).alias("runs"))
-    )
+    texts = docs.select(F.col(id).alias("id"), *_document(id, text), packed(text).alias("packed"))
+    wanted = settled.where("open").groupBy("d", "t").agg(F.collect_list(F.struct("pos", "g")).alias("runs"))
     spans = whole.unionByName(open_spans(_run_bytes(texts.drop("id"), wanted)))
     of = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,count:bigint>>")

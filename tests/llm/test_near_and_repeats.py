@@ -128,6 +128,20 @@ def test_repeats_are_those_of_all_strings(docs, monkeypatch):
     assert suffix_index.cut_repeats(docs([]).limit(0)).count() == 0
 
 
+def test_repeats_of_very_many_texts_without_an_identifier(docs):
+    pick = random.Random(12)
+    shared = [text_of(pick, 30) for _ in range(8)]
+    texts = [f"{k} {text_of(pick, pick.randint(0, 9))}"[: pick.randint(1, 40)].ljust(40, ".") + pick.choice(shared) for k in range(1200)]
+    texts = sorted(set(texts))
+    order = docs(texts).selectExpr("doc_id", "xxhash64(text) AS h").collect()
+    rank = [r["doc_id"] for r in sorted(order, key=lambda r: r["h"])]
+    want = plain_cut([(k, texts[i]) for k, i in enumerate(rank)])
+    got = suffix_index.cut_repeats(docs([(None, t) for t in texts])).collect()
+    assert len({r & 0x7FFF for r in (x["h"] for x in order)}) < len(texts)  # 15 bits would not tell these apart
+    found = sorted((r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got)
+    assert found == sorted(want.values())
+
+
 def test_index_family_keeps_few_levels():
     family = suffix_index.IndexFamily()
     pick = random.Random(2)
