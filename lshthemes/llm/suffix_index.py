@@ -15,6 +15,9 @@ owners agree can share a string:
    it is scanned along the levels before it for equal strings; its new strings become a level, and levels of one size
    class merge into one of the next. So a string is merged as often as the logarithm of the strings, and every batch is
    compared with all before it.
+   A task takes its owners share by share, so what an index family holds doesn't grow with the texts. The strings of an
+   owner with very many runs (the gram at the edge of a passage that many documents share) don't meet by owner: each
+   travels singly, as a number of 128 bits, and settles like a run of step 1.
 3. Spans of each document come together and are cut out.
 
 Edge cases: a null text is an empty one, and texts of less than 100 bytes lose nothing. Null identifiers go before all
@@ -28,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,9 @@ OWNED = LENGTH - GRAM + 1  # grams of a string
 #: Characters of texts whose runs are looked at together, and strings of a batch of the index family.
 BLOCK_CHARS = 1_000_000
 BATCH_STRINGS = 4_096
+#: Open runs from which on an owner's strings are dealt singly, and open runs that one index family holds, about.
+HOT_RUNS = 1_000
+SHARE_RUNS = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 _LETTERS = np.random.RandomState(5).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -223,12 +230,14 @@ class IndexFamily:
         self.levels.append(level)
 
 
-def open_spans(strings: DataFrame) -> DataFrame:
+def open_spans(strings: DataFrame, shares: int = 1) -> DataFrame:
     """``(d, t, start, count)`` of strings that are there earlier, of runs ``(g, d, t, pos, bytes)``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, last = IndexFamily(), None
-        for batch in batches:
+        family, last, at_share = IndexFamily(), None, None
+        for batch in (part for whole in batches for part in _by_share(whole)):
+            if batch.num_rows and (share := batch.column(5)[0].as_py()) != at_share:
+                family, at_share = IndexFamily(), share
             keys = np.column_stack([batch.column(k).to_numpy() for k in range(4)])
             fresh = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))  # repeated rows tell a run twice
             if len(keys):
@@ -249,7 +258,14 @@ def open_spans(strings: DataFrame) -> DataFrame:
                 count = np.add.reduceat(flat.astype(np.int64), at)
                 yield _spans(d[of[at]], t[of[at]], pos[of[at]], place[at], count)
 
-    return strings.repartition("g").sortWithinPartitions("d", "t", "pos", "g").mapInArrow(scan, SPANS)
+    shared = strings.withColumn("share", F.pmod(F.xxhash64("g", F.lit(9)), F.lit(shares)).cast("int"))
+    return shared.repartition("g").sortWithinPartitions("share", "d", "t", "pos", "g").mapInArrow(scan, SPANS)
+
+
+def _by_share(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    share = batch.column(5).to_numpy()
+    ends = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(share)]
+    return (batch.slice(a, b - a) for a, b in zip(ends, ends[1:], strict=False))
 
 
 SPANS = "d bigint, t bigint, start bigint, count bigint"
@@ -260,35 +276,73 @@ def _spans(d: np.ndarray, t: np.ndarray, pos: np.ndarray, shift: np.ndarray, cou
     return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(start), pa.array(count)], ["d", "t", "start", "count"])
 
 
-def _run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(g, d, t, pos, bytes)`` of the wanted runs."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """``(g, d, t, pos, bytes)`` of the runs of ``(d, t, runs, packed)``."""
+    tool = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for d, t, runs_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            data = tool.decompress(data.as_py())
+            for run in runs_.as_py():
+                pos = run["pos"]
+                start, count = pos >> _COUNT_BITS, pos & ((1 << _COUNT_BITS) - 1)
+                yield run["g"], d, t, pos, data[start : start + count + LENGTH - 1]
+
+
+def _with_texts(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    wanted = open_.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "g")).alias("runs"))
+    return docs.join(wanted, ["d", "t"]).select("d", "t", "runs", "packed")
+
+
+def _run_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """``(g, d, t, pos, bytes)`` of the open runs."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            size = 0
-            for d, t, runs_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                data = tool.decompress(data.as_py())
-                for run in runs_.as_py():
-                    pos = run["pos"]
-                    start, count = pos >> _COUNT_BITS, pos & ((1 << _COUNT_BITS) - 1)
-                    piece = data[start : start + count + LENGTH - 1]
-                    for values, value in zip(out, (run["g"], d, t, pos, piece), strict=True):
-                        values.append(value)
-                    size += len(piece)
-                if size > 8_000_000:
-                    yield _strings(out)
-                    out, size = ([], [], [], [], []), 0
-            if out[0]:
+        out: list[tuple] = []
+        size = 0
+        for row in _pieces(batches):
+            out.append(row)
+            size += len(row[4])
+            if size > 8_000_000:
                 yield _strings(out)
+                out, size = [], 0
+        if out:
+            yield _strings(out)
 
-    def _strings(out: tuple[list, ...]) -> pa.RecordBatch:
+    def _strings(out: list[tuple]) -> pa.RecordBatch:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["g", "d", "t", "pos", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], ["g", "d", "t", "pos", "bytes"])
+
+    return _with_texts(docs, open_).mapInArrow(fetch, "g bigint, d bigint, t bigint, pos bigint, bytes binary")
 
-    joined = docs.join(wanted, ["d", "t"]).select("d", "t", "runs", "packed")
-    return joined.mapInArrow(fetch, "g bigint, d bigint, t bigint, pos bigint, bytes binary")
+
+def _single_strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Each string of the open runs by itself, in the shape of ``text_runs``: two hashes of it take the place of those of
+    the owner and the run. A block of strings keeps the first of equal ones."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int, int]] = []
+        for _, d, t, pos, piece in _pieces(batches):
+            start = pos >> _COUNT_BITS
+            for k in range(pos & ((1 << _COUNT_BITS) - 1)):
+                h = xxhash.xxh3_128_intdigest(piece[k : k + LENGTH])
+                held.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, d, t, (start + k) << _COUNT_BITS | 1))
+            if len(held) > 200_000:
+                yield from _settled(held)
+                held = []
+        if held:
+            yield from _settled(held)
+
+    def _settled(held: list[tuple[int, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        columns = list(zip(*held, strict=True))
+        g, r = (np.array(c, dtype=np.uint64).view(np.int64) for c in columns[:2])
+        d, t, pos = (np.array(c, dtype=np.int64) for c in columns[2:])
+        first, again = _first_of_equal(g, r, d, t, pos)
+        for picked, repeats in ((first, False), (again, True)):
+            key = d[picked] * 31 + pos[picked] if repeats else g[picked]
+            parts = [key, r[picked], d[picked], t[picked], pos[picked], np.full(len(picked), repeats)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts], ["g", "r", "d", "t", "pos", "again"])
+
+    return _with_texts(docs, open_).mapInArrow(fetch, "g bigint, r bigint, d bigint, t bigint, pos bigint, again boolean")
 
 
 CUT = pa.struct(
@@ -336,15 +390,26 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     path = scratch_path(spark, "runs")
     settle_runs(text_runs(docs, id, text)).write.parquet(path)
     settled = spark.read.parquet(path)
-    whole = settled.where("NOT open").select(
+    texts = docs.select(F.col(id).alias("id"), *_document(id, text), packed(text).alias("packed"))
+    # owners with many open runs are few: no more than the open runs by HOT_RUNS
+    open_ = settled.where("open").select("g", "d", "t", "pos")
+    counts = open_.groupBy("g").count().where(F.col("count") > HOT_RUNS).select("g")
+    path = scratch_path(spark, "hot-owners")
+    counts.write.parquet(path)
+    hot = spark.read.parquet(path)
+    single, meeting = open_.join(F.broadcast(hot), "g", "left_semi"), open_.join(F.broadcast(hot), "g", "left_anti")
+    shares = max(1, -(-meeting.count() // (SHARE_RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sources = texts.drop("id")
+    ends = settled.where("NOT open").drop("open")
+    if not hot.isEmpty():
+        ends = ends.unionByName(settle_runs(_single_strings(sources, single)).where("NOT open").drop("open"))
+    whole = ends.select(
         "d",
         "t",
         F.shiftrightunsigned("pos", _COUNT_BITS).alias("start"),
         F.col("pos").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)).alias("count"),
     )
-    texts = docs.select(F.col(id).alias("id"), *_document(id, text), packed(text).alias("packed"))
-    wanted = settled.where("open").groupBy("d", "t").agg(F.collect_list(F.struct("pos", "g")).alias("runs"))
-    spans = whole.unionByName(open_spans(_run_bytes(texts.drop("id"), wanted)))
+    spans = whole.unionByName(open_spans(_run_bytes(sources, meeting), shares))
     of = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,count:bigint>>")
     cut = texts.join(of, ["d", "t"], "left").select("id", _cut_out()("packed", F.coalesce("spans", none)).alias("cut"))

@@ -142,6 +142,23 @@ def test_repeats_of_very_many_texts_without_an_identifier(docs):
     assert found == sorted(want.values())
 
 
+def test_an_owner_with_many_runs_is_dealt_by_string(docs, monkeypatch):
+    monkeypatch.setattr(suffix_index, "HOT_RUNS", 5)
+    pick = random.Random(21)
+    shared, gathered, single = text_of(pick, 40), [], []
+    texts = [text_of(pick, pick.randint(3, 9)) + shared + text_of(pick, pick.randint(0, 3)) for _ in range(90)]
+    rows = [(k, t) for k, t in enumerate(texts + ["ab" * 300, "é" * 200])] + [(500, texts[0]), (500, texts[0])]
+    spans, strings = suffix_index.open_spans, suffix_index._single_strings
+    monkeypatch.setattr(suffix_index, "open_spans", lambda runs, shares: gathered.append(runs) or spans(runs, 3))
+    monkeypatch.setattr(suffix_index, "_single_strings", lambda d, o: single.append(o) or strings(d, o))
+    want = plain_cut(rows[:-1])
+    for r in suffix_index.cut_repeats(docs(rows)).collect():
+        removed = sum(s["end"] - s["start"] for s in r["spans"])
+        assert (r["n_bytes"], removed, len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) == want[r["doc_id"]]
+    assert max(r["count"] for r in gathered[0].groupBy("g").count().collect()) <= 10  # 5 runs, of texts that may be told twice
+    assert single[0].count() > 50
+
+
 def test_index_family_keeps_few_levels():
     family = suffix_index.IndexFamily()
     pick = random.Random(2)
