@@ -21,6 +21,10 @@ def fetch_documents(
     return texts.join(results, keys).select(*results.columns, "body", "preview")
 
 
-def documents_by_id(corpus: DataFrame, item_ids: Iterable[str]) -> DataFrame:
-    """Documents with the given ids; the filter reaches the scan where the id is stored as text."""
+def documents_by_id(corpus: DataFrame, item_ids: Iterable[str] | DataFrame) -> DataFrame:
+    """Documents with the given ids. A few ids become a filter that reaches the scan where the id is stored as text; any
+    number of them come as a table with ``item_id``, and stay one."""
+    if isinstance(item_ids, DataFrame):
+        named = item_ids.select(F.col("item_id").cast("string").alias("item_id"))
+        return corpus.join(named, "item_id", "left_semi").select(*corpus.columns)
     return corpus.where(F.col("item_id").isin([str(i) for i in item_ids]))

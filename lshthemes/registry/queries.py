@@ -373,8 +373,7 @@ def found_texts(spark, sf_dir):
 @_query
 def documents_by_id(spark, sf_dir):
     """The documents that the benchmark's numbers name."""
-    named = [str(r["item_id"]) for r in t.table(spark, sf_dir, "benchmark").select("item_id").limit(1_000).collect()]
-    found = documents_op.documents_by_id(t.documents(spark, sf_dir), named)
+    found = documents_op.documents_by_id(t.documents(spark, sf_dir), t.table(spark, sf_dir, "benchmark"))
     return found.select("item_id", "title")
 
 

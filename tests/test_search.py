@@ -263,6 +263,17 @@ def test_documents_of_results(spark, searches, documents):
     assert documents_by_id(documents, [3, "5"]).count() == 2
 
 
+def test_documents_by_id_take_every_item_of_the_benchmark(spark, tmp_path):
+    from lshthemes import registry
+
+    docs = [(k, f"text {k}", "en", "web", 6) for k in range(1500)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(k,) for k in [*range(1400), 7, 7, 9000, None]]
+    spark.createDataFrame(items, "item_id bigint").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["documents_by_id"](spark, str(tmp_path)).collect()
+    assert sorted(int(r["item_id"]) for r in got) == list(range(1400))
+
+
 def test_searching_texts(spark, searches):
     queries, index = searches
     texts = spark.read.parquet(f"{SF01}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
