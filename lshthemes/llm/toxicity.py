@@ -67,8 +67,8 @@ def token_units(token: str) -> set[str]:
     out = {part for run in runs for part in _split(run)}
     plain = token.strip(".,;:!?\"'()[]{}|#%&*")
     joined = "".join(_LETTERS.findall(plain.translate(_STAND_INS)))
-    if joined and len(joined) <= LONGEST:
-        out.add(joined)
+    if joined:
+        out.update(_split(joined))
     return out
 
 

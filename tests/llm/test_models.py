@@ -60,6 +60,14 @@ def test_toxicity_on_held_out_texts():
     assert (calm < 0.5).all()
 
 
+def test_long_obfuscated_tokens_are_scored_in_parts():
+    phrase = ".".join("thehouseidiotmountainwinter")
+    assert any("idiot" in unit for unit in toxicity.token_units(phrase))
+    machine = toxicity.train(*zip(*make_texts(300, 1), strict=True))
+    score = machine.probability(np.array(toxicity.Scorer(machine).margins([f"the {'.'.join('idiot' * 6)} green", phrase.replace("idiot", "table")])))
+    assert score[0] > 0.5 > score[1]
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (2, None), (None, 1), (77, 1)], "doc_id bigint, toxic int")
     table = docs([BAD[0] + " the house", "the green house", None, "", (None, "idiot"), "idiot " * 30_000])
