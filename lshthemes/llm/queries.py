@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lshthemes.llm import bpe
+from lshthemes.llm.collocations import collocations
 from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.resampling import resample
 from lshthemes.llm.sharding import assign_shards
@@ -99,6 +100,10 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_bpe_round_trip,
     op2_content_sort_dedup,
@@ -110,6 +115,7 @@ QUERIES = (
     op8_toxicity,
     op9_importance_resampling,
     op10_jump_shards,
+    op13_phrase_graph,
 )
 
 ORACLE = {
@@ -135,6 +141,38 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> head THEN head END AS refers_to
 FROM g""",
+    "op13_phrase_graph": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS gram
+  FROM w, (VALUES (1), (2), (3)) s(k)),
+f AS MATERIALIZED (SELECT lang, k, gram, concat_ws(' ', lang, gram) AS key, count(*) AS f FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, k, gram AS phrase, string_split(gram, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, k, phrase, a, j, concat_ws(' ', lang, array_to_string(ws[1:j], ' ')) AS one,
+         concat_ws(' ', lang, array_to_string(ws[j + 1:], ' ')) AS two
+  FROM c, (VALUES (1), (2)) s(j) WHERE j < k),
+cuts AS (
+  SELECT p.lang, p.k, phrase, a, j, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN f x ON x.key = p.one JOIN f y ON y.key = p.two),
+scored AS (
+  SELECT lang, k, phrase, a, first(l ORDER BY score, j) AS l, first(r ORDER BY score, j) AS r, min(score) AS score
+  FROM cuts GROUP BY ALL),
+held AS (
+  SELECT lang, pair, max(a) AS most
+  FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS pair FROM c WHERE k = 3)
+  GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.pair = s.phrase
+  WHERE s.k = 3 OR h.most IS NULL OR 100 * h.most < 50 * s.a),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
 
 
