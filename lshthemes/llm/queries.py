@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lshthemes.llm import bpe
+from lshthemes.llm import bpe, quality_rules
 from lshthemes.llm.collocations import collocations
 from lshthemes.llm.exact_dedup import exact_groups
 from lshthemes.llm.resampling import resample
 from lshthemes.llm.sharding import assign_shards
 from lshthemes.llm.simhash import near_groups
+from lshthemes.llm.spelling import spelling_variants
 from lshthemes.llm.suffix_index import cut_repeats
 from lshthemes.llm.templates import benchmark_hits
 from lshthemes.llm.token_records import token_layout, write_token_records
@@ -100,6 +101,16 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_reduced_alphabet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_rules.train_on(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(docs, model).drop("probability")
+
+
 def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -115,6 +126,8 @@ QUERIES = (
     op8_toxicity,
     op9_importance_resampling,
     op10_jump_shards,
+    op11_reduced_alphabet_variants,
+    op12_quality_rules,
     op13_phrase_graph,
 )
 
