@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lshthemes.llm.files import create, new_part, open_random
 
 MAGIC = b"\x1f\x8b\x08"
+#: Ranges are dealt to as many tasks as there are ranges, up to this many; then a task reads several.
+MOST_TASKS = 50_000
 #: Bytes of one read range, and of one fetch.
 SPLIT_BYTES = 8 << 20
 FETCH_BYTES = 1 << 20
@@ -218,7 +220,9 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT
     ranges = archives.where("bytes > 0").select("file", starts.alias("start")).select(
         "file", "start", (F.col("start") + split_bytes).alias("end")
     )
-    return ranges.repartition("file", "start").mapInArrow(read, schema)
+    # a count without a key is kept as it is, else these few small rows would end up in one task
+    tasks = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0)).cast("bigint")).first()[0]
+    return ranges.repartition(min(max(tasks, 1), MOST_TASKS)).mapInArrow(read, schema)
 
 
 def _page(value: str | None) -> int | None:
