@@ -47,7 +47,9 @@ _END = b"."
 # Where a piece ends.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + _END * len(_PIECE_ENDS))
-_SCHEMA = "lang string, node string, tail string, n bigint, hot boolean"
+#: Stands between a node and its language, in one column; no word has it.
+_KEY = "\t"
+_SCHEMA = "key string, tail string, n bigint, hot boolean"
 
 
 class _Numbers(dict):
@@ -86,20 +88,21 @@ class _Walk:
 
 
 def _graph_rows(lang: str, walk: _Walk, hot: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: its edges, and the counts of words and of all of them, each under the key of a node."""
     words, nodes, node, last, count = walk.edges()
     size = len(words)
     if not len(nodes):
         return
 
     def rows(node: pa.Array, tail: pa.Array, n: np.ndarray, hot: pa.Array) -> Iterator[pa.RecordBatch]:
-        columns = [pa.repeat(lang, len(node)), node, tail, pa.array(n, pa.int64()), hot]
-        yield from pa.table(columns, ["lang", "node", "tail", "n", "hot"]).to_batches(max_chunksize=1 << 16)
+        columns = [node, tail, pa.array(n, pa.int64()), hot]
+        yield from pa.table(columns, ["key", "tail", "n", "hot"]).to_batches(max_chunksize=1 << 16)
 
     outflow = np.bincount(node, weights=count).astype(np.int64)
     of_word = np.bincount(nodes // size, weights=outflow, minlength=size).astype(np.int64)
     of_word[0] = of_word.sum()  # in place of a piece's end: all words of the language
     names = pa.concat_arrays([pa.array([""]), words.slice(1)])
-    yield from rows(names, pa.repeat("", size), of_word, pa.repeat(False, size))
+    yield from rows(pc.binary_join_element_wise(names, lang, _KEY), pa.repeat("", size), of_word, pa.repeat(False, size))
     whole = nodes % size > 0  # nodes of one word and a piece's end are told by their word already
     if not whole.any():
         return
@@ -107,8 +110,8 @@ def _graph_rows(lang: str, walk: _Walk, hot: pa.Array) -> Iterator[pa.RecordBatc
     phrase = pc.binary_join_element_wise(words.take(pa.array(pair // size)), words.take(pa.array(pair % size)), " ")
     here = whole[node]
     place = pa.array((np.cumsum(whole) - 1)[node[here]])
-    flag = pc.is_in(phrase, value_set=hot)
-    yield from rows(phrase.take(place), names.take(pa.array(last[here])), count[here], flag.take(place))
+    key, flag = pc.binary_join_element_wise(phrase, lang, _KEY), pc.is_in(phrase, value_set=hot)
+    yield from rows(key.take(place), names.take(pa.array(last[here])), count[here], flag.take(place))
 
 
 def _count_blocks(docs: DataFrame, lang: str, text: str, hot: dict[str, list[str]], block: int) -> DataFrame:
@@ -137,8 +140,8 @@ def _count_blocks(docs: DataFrame, lang: str, text: str, hot: dict[str, list[str
 def hot_nodes(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, list[str]]:
     """Nodes that hold more than one edge in ``HOT_SHARE`` of a sample: fewer than ``HOT_SHARE`` come to the driver."""
     sample = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(SAMPLE)) == 0)
-    nodes = _count_blocks(sample, lang, text, {}, BLOCK_WORDS).where(F.contains("node", F.lit(" ")))
-    sums = nodes.groupBy("lang", "node").agg(F.sum("n").alias("n"))
+    nodes = _count_blocks(sample, lang, text, {}, BLOCK_WORDS).groupBy("key").agg(F.sum("n").alias("n"))
+    sums = nodes.select(*_node_and_lang(), "n").where(F.contains("node", F.lit(" ")))
     total = sums.agg(F.sum("n")).scalar()
     found: dict[str, list[str]] = {}
     for row in sums.where(F.col("n") * HOT_SHARE > total).collect():
@@ -146,6 +149,87 @@ def hot_nodes(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[s
     return found
 
 
+def _node_and_lang() -> tuple[Column, Column]:
+    node = F.substring_index("key", _KEY, 1)
+    return node.alias("node"), F.substring("key", F.length(node) + 2, F.length("key")).alias("lang")
+
+
+class _Sums:
+    """Adds up rows that come sorted by key and tail. What the last key has so far is carried into the next batch, as sums."""
+
+    def __init__(self, min_count: int) -> None:
+        self.min_count = min_count
+        self.key: str | None = None
+        self.tail, self.n, self.flow = "", 0, 0
+        self.often: list[tuple[str, int]] = []
+
+    def _close_edge(self) -> None:
+        if self.n >= self.min_count and self.tail:
+            self.often.append((self.tail, self.n))
+        self.n = 0
+
+    def close(self) -> list[tuple[str, int, list[tuple[str, int]]]]:
+        if self.key is None:
+            return []
+        self._close_edge()
+        out = [(self.key, self.flow, self.often)]
+        self.key, self.flow, self.often = None, 0, []
+        return out
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[tuple[str, int]]]]:
+        """Keys that are done with this batch: those that occur often enough, or that only this task has a part of."""
+        key, tail, n, hot = batch.columns
+        rows = batch.num_rows
+        fresh_key = np.ones(rows, dtype=bool)
+        fresh_key[1:] = pc.not_equal(key.slice(1), key.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        fresh_edge = fresh_key.copy()
+        fresh_edge[1:] |= pc.not_equal(tail.slice(1), tail.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(fresh_edge)
+        count = np.add.reduceat(n.to_numpy(), edge)
+        of_key = np.flatnonzero(fresh_key[edge])
+        flow = np.add.reduceat(count, of_key)
+        ends = np.append(of_key[1:], len(edge))
+        # the first key may go on from the batch before, and the last one into the next
+        wanted = (flow >= self.min_count) | hot.to_numpy(zero_copy_only=False)[edge[of_key]]
+        wanted[0] = wanted[-1] = True
+        for k in np.flatnonzero(wanted).tolist():
+            name = key[int(edge[of_key[k]])].as_py()
+            if name != self.key:
+                yield from self.close()
+                self.key = name
+            self.flow += int(flow[k])
+            some = range(int(of_key[k]), int(ends[k]))
+            for j in some:
+                first, last = j == some[0], j == some[-1]
+                if first or last or count[j] >= self.min_count:
+                    ending = tail[int(edge[j])].as_py()
+                    if ending != self.tail or not self.n:
+                        self._close_edge()
+                        self.tail = ending
+                    self.n += int(count[j])
+
+
+def _summed(rows: DataFrame, min_count: int) -> DataFrame:
+    """``(key, flow, tails)`` of rows that are sorted within their partitions."""
+    schema = "key string, flow bigint, tails array<struct<tail:string,n:bigint>>"
+    pair = pa.list_(pa.struct([("tail", pa.string()), ("n", pa.int64())]))
+
+    def table(done: list) -> pa.RecordBatch:
+        keys, flows, tails = zip(*done, strict=True)
+        told = [[{"tail": t, "n": n} for t, n in some] for some in tails]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(flows, pa.int64()), pa.array(told, pair)], ["key", "flow", "tails"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(min_count)
+        for batch in batches:
+            if batch.num_rows and (done := list(sums.add(batch))):
+                yield table(done)
+        if done := sums.close():
+            yield table(done)
+
+    return rows.mapInArrow(add, schema)
+
+
 def phrase_graph(
     docs: DataFrame, min_count: int = MIN_COUNT, lang: str = "lang", text: str = "text", block: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -154,21 +238,14 @@ def phrase_graph(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = _count_blocks(docs, lang, text, hot_nodes(docs, lang, text), block)
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("tail"), F.lit(parts))).otherwise(F.lit(-1)).cast("int")
-    edges = (
-        counted.select("lang", "node", "tail", "n", salt.alias("salt"))
-        .repartition("lang", "node", "salt")
-        .groupBy("lang", "node", "salt", "tail")
-        .agg(F.sum("n").alias("n"))
-    )
-    often = F.when((F.col("n") >= min_count) & (F.col("tail") != ""), F.struct("tail", "n"))
-    nodes = edges.groupBy("lang", "node", "salt").agg(F.sum("n").alias("flow"), F.collect_list(often).alias("tails"))
-    kept = _stored(nodes.where((F.col("salt") >= 0) | (F.col("flow") >= min_count) | (F.col("node") == "")), "phrase-nodes")
-    spread = kept.where("salt >= 0").groupBy("lang", "node").agg(
-        F.sum("flow").alias("flow"), F.flatten(F.collect_list("tails")).alias("tails")
-    )
-    both = kept.where("salt < 0").select("lang", "node", "flow", "tails").unionByName(spread)
-    return _stored(both.where((F.col("flow") >= min_count) | (F.col("node") == "")), "phrase-graph")
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("tail"), F.lit(parts))).otherwise(F.lit(-1)).cast("int")
+    dealt = counted.withColumn("spread", spread).repartition("key", "spread").drop("spread").sortWithinPartitions("key", "tail")
+    kept = _stored(_summed(dealt, min_count), "phrase-nodes")
+    node, language = _node_and_lang()
+    # a hot node comes in parts
+    whole = kept.groupBy("key").agg(F.sum("flow").alias("flow"), F.flatten(F.collect_list("tails")).alias("tails"))
+    named = whole.select(language, node, "flow", "tails")
+    return _stored(named.where((F.col("flow") >= min_count) | (F.col("node") == "")), "phrase-graph")
 
 
 def _stored(df: DataFrame, purpose: str) -> DataFrame:
