@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lshthemes.functions.hashing import (
@@ -66,9 +66,15 @@ def identity(index: DataFrame, corpus: DataFrame) -> list[str]:
     return ["row_id"]
 
 
+def count_entries(index: DataFrame) -> Column:
+    """Entries of a group of index rows. In place of an index, whatever only counts takes its manifest, whose rows say how
+    many entries they stand for."""
+    return F.sum("entries") if "entries" in index.columns else F.count("row_id")
+
+
 def bucket_sizes(index: DataFrame) -> DataFrame:
     """Entries per bucket. Rows meet in partial sums, so a hot bucket moves one row per task."""
-    return index.groupBy("bucket_id").agg(F.count("row_id").alias("size"))
+    return index.groupBy("bucket_id").agg(count_entries(index).alias("size"))
 
 
 def dense_buckets(index: DataFrame, min_count: int = 5, top_n: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lshthemes.functions.text import (
     clean_label,
@@ -15,6 +16,7 @@ from lshthemes.functions.text import (
     title_case,
 )
 from lshthemes.operators.items import sample_items
+from lshthemes.operators.skew import every_block, hot_keys, own_block, with_blocks
 from lshthemes.sources.scratch import scratch_path
 
 # The default keywords, in the order that breaks ties.
@@ -27,8 +29,12 @@ KEYWORDS = (
     "service", "wifi", "internet", "connection",
 )
 
-# Labels grouped inside one row; longer lists are grouped in blocks of this many.
+# Labels grouped inside one row; longer lists are grouped in rounds.
 GROUP_BLOCK = 256
+# Open labels of one key that a round compares; Spark cuts to so many before it shuffles.
+GROUP_WINDOW = 1_000
+# Labels of a key from which on it may be hot: they are compared pair by pair.
+HOT_ROWS = 1_000
 
 
 def default_label(bucket: Column | str) -> Column:
@@ -125,7 +131,8 @@ def _join_keys(tokens: DataFrame, threshold: float) -> DataFrame:
 
     Prefix filtering by size: labels of ``a`` and ``b`` tokens must share ``t / (1 + t) * (a + b)`` of them,
     so it is enough to compare all but that many, less one, of each, the rarest first. Common tokens are
-    keys only between sizes where sharing them alone makes two labels similar.
+    keys only between sizes where sharing them alone makes two labels similar. ``pos`` is the token's place
+    and ``needed`` how many the two must share.
     """
     words = tokens.select("label", F.explode("tokens").alias("token"))
     rarity = words.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
@@ -145,31 +152,60 @@ def _join_keys(tokens: DataFrame, threshold: float) -> DataFrame:
     return (
         ordered.withColumn("other", F.explode(sizes))
         .where(F.col("other").between(1, longest))
-        .select("label", "own", "other", F.explode(prefix).alias("rare"))
-        .select("label", "own", "other", F.col("rare.token").alias("token"))
+        .select("label", "own", "other", needed.cast("int").alias("needed"), F.posexplode(prefix).alias("pos", "rare"))
+        .select("label", "own", "other", "needed", "pos", F.col("rare.token").alias("token"))
     )
 
 
-def similar_labels(labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _settle(df: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _blocked(keys: DataFrame, hot_rows: int) -> DataFrame:
+    """Keys with the block of their row. Rows of one key meet one another, so of a hot key every block meets every other in
+    a place of its own."""
+    group = ("token", "lo", "hi")
+    met = keys.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    sizes = met.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    return with_blocks(met, hot_keys(sizes, group, hot_rows), group).withColumn("block", own_block("label"))
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether rows of one key are similar. Counting from the place of the first token they share, the shorter rest bounds
+    what they can share at all; that token brings every similar pair together."""
+    rest = lambda side: F.col(f"{side}.own") - F.col(f"{side}.pos")
+    same = jaccard(label_tokens(F.col(f"{a}.label")), label_tokens(F.col(f"{b}.label")))
+    return (F.least(rest(a), rest(b)) >= F.col(f"{a}.needed")) & (same >= threshold)
+
+
+def _on_key(a: str, b: str, *also: str) -> Column:
+    on = F.lit(True)
+    for c in ("token", "lo", "hi", *also):
+        on = on & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return on & (F.col(f"{a}.own") == F.col(f"{b}.other")) & (F.col(f"{a}.other") == F.col(f"{b}.own"))
+
+
+def similar_labels(labels: DataFrame, threshold: float = 0.5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of different labels whose token sets are at least ``threshold`` alike, each pair once.
 
     The threshold must be above 0; at 0 every label is like every other, which no list of pairs should
-    spell out.
+    spell out. A token that very many labels share is compared block by block, from ``hot_rows`` on.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
     tokens = labels.select("label").distinct().withColumn("tokens", label_tokens("label"))
-    keys = _join_keys(tokens, threshold)
-    a = keys.select(F.col("label").alias("label_a"), "token", F.col("own").alias("x"), F.col("other").alias("y"))
-    b = keys.select(F.col("label").alias("label_b"), "token", F.col("own").alias("y"), F.col("other").alias("x"))
+    keys = _blocked(_settle(_join_keys(tokens, threshold), "label-keys"), hot_rows)
+    a = keys.withColumn("there", every_block()).alias("a")
+    b = keys.withColumnRenamed("block", "there").withColumn("block", every_block()).alias("b")
+    in_order = F.col("a.label") < F.col("b.label")
     pairs = (
-        a.join(b, ["token", "x", "y"])
-        .where(F.col("label_a") < F.col("label_b"))
-        .select("label_a", "label_b")
+        a.join(b, _on_key("a", "b", "block", "there") & in_order & _alike("a", "b", threshold))
+        .select(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"))
         .distinct()
     )
-    alike = jaccard(label_tokens("label_a"), label_tokens("label_b"))
-    return pairs.withColumn("jaccard", alike).where(F.col("jaccard") >= threshold)
+    return pairs.withColumn("jaccard", jaccard(label_tokens("label_a"), label_tokens("label_b")))
 
 
 def _fold(ranked: DataFrame, threshold: float) -> DataFrame:
@@ -196,59 +232,73 @@ def _fold(ranked: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _block_grouping(ranked: DataFrame, threshold: float, block: int) -> DataFrame:
-    """The same grouping for any number of labels.
+def _grouping_by_rounds(ranked: DataFrame, threshold: float, window: int, hot_rows: int) -> DataFrame:
+    """The same grouping for any number of labels: the leaders are the first maximal set of unlike labels in the order of
+    rank, found in rounds that settle all labels at once.
 
-    The next block of open labels is folded; its leaders then take in every later label that is like them.
-    Leaders of earlier blocks rank lower, so a label joins the first leader it matches, as in one long
-    fold. A block's leaders are few and travel to the labels, so a token shared by many labels pairs them
-    with those leaders only. Each round is written out: a lost executor repeats one round.
+    In a round every open label leads that is like no open label before it; those like a leader are open no more. The
+    first open label always leads, and unlike labels all lead in the first round. Of a key that many labels share, the
+    first ``window`` are compared in a round, and a label beyond them waits; so no round spells out the pairs of a dense
+    group. Labels with the same tokens go through the rounds as one. In the end each label joins the first leader it
+    is like. Labels never come to the driver, and every round is written out, so a lost executor repeats one.
     """
     spark = ranked.sparkSession
-
-    def settle(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "labels")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    state = settle(
-        ranked.select("label", "rank", label_tokens("label").alias("tokens"), F.lit(None).cast("string").alias("leader"))
-    )
+    place = F.struct("rank", "label")
+    rows = _settle(ranked.select("label", "rank", F.sort_array(label_tokens("label")).alias("tokens")), "labels")
+    sets = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min(place).alias("first"))
+    sets = _settle(sets.select("tokens", "first.rank", "first.label"), "label-sets")
+    keys = _settle(_join_keys(sets.select("label", "tokens"), threshold), "label-keys")
+    of_label = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n_keys"))
+    about = sets.select("label", "rank").join(of_label, "label")
+    keys = _settle(_blocked(keys, hot_rows).join(about, "label"), "label-keys")
+    leaders_path, still_open = scratch_path(spark, "label-leaders"), keys
+    in_key = Window.partitionBy("token", "lo", "hi").orderBy("rank", "label")
+    before = F.struct("a.rank", "a.label") < F.struct("b.rank", "b.label")
     while True:
-        undecided = state.where(F.col("leader").isNull())
-        # At most one block of labels comes back.
-        folded = _fold(undecided.orderBy("rank").limit(block), threshold).collect()
-        if not folded:
-            return state.select("label", "leader")
-        own = spark.createDataFrame(folded, "label string, own string")
-        leads = [(i, row["leader"]) for i, row in enumerate(folded) if row["label"] == row["leader"]]
-        leaders = spark.createDataFrame(leads, "place int, lead string").withColumn(
-            "lead_tokens", label_tokens("lead")
-        )
-        joined = (
-            undecided.select("label", "tokens", F.explode("tokens").alias("token"))
-            .join(F.broadcast(leaders.withColumn("token", F.explode("lead_tokens"))), "token")
-            .where(jaccard(F.col("tokens"), F.col("lead_tokens")) >= threshold)
-            .groupBy("label")
-            .agg(F.min_by("lead", "place").alias("joined"))
+        first = _settle(still_open.withColumn("nth", F.row_number().over(in_key)).where(F.col("nth") <= window).drop("nth"), "label-window")
+        beaten = (
+            first.alias("a")
+            .join(first.alias("b"), _on_key("a", "b") & before & _alike("a", "b", threshold))
+            .select(F.col("b.label").alias("label"))
         )
-        state = settle(
-            state.join(F.broadcast(own), "label", "left")
-            .join(joined, "label", "left")
-            .select("label", "rank", "tokens", F.coalesce("leader", "own", "joined").alias("leader"))
+        seen = first.groupBy("label", "n_keys").agg(F.count(F.lit(1)).alias("n")).where("n = n_keys")
+        leaders = _settle(seen.select("label").join(beaten, "label", "left_anti"), "label-leaders")
+        leaders.write.mode("append").parquet(leaders_path)
+        leading = first.join(leaders, "label", "left_semi").withColumn("block", every_block())
+        members = (
+            still_open.alias("a")
+            .join(leading.alias("b"), _on_key("a", "b", "block") & (F.col("a.label") != F.col("b.label")) & _alike("a", "b", threshold))
+            .select(F.col("a.label").alias("label"))
         )
+        still_open = _settle(still_open.join(leaders.unionByName(members), "label", "left_anti"), "labels-open")
+        if still_open.isEmpty():
+            break
+    leaders = spark.read.schema("label string").parquet(leaders_path)
+    leading = keys.join(leaders, "label", "left_semi").withColumn("block", every_block())
+    first_alike = (
+        keys.join(leaders, "label", "left_anti")
+        .alias("a")
+        .join(leading.alias("b"), _on_key("a", "b", "block") & _alike("a", "b", threshold))
+        .groupBy(F.col("a.label").alias("label"))
+        .agg(F.min(F.struct("b.rank", "b.label")).alias("lead"))
+    )
+    of_set = sets.join(first_alike, "label", "left").select("tokens", F.coalesce("lead.label", "label").alias("leader"))
+    alike = F.lit(threshold <= 1)  # beyond 1 not even equal token sets are alike
+    return rows.join(of_set, "tokens", "left").select("label", F.when(alike, F.coalesce("leader", "label")).otherwise(F.col("label")).alias("leader"))
 
 
 def group_labels(
     ranked_labels: DataFrame,
     threshold: float = 0.5,
     small: bool | None = None,
-    block: int = GROUP_BLOCK,
+    block: int = GROUP_WINDOW,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give every label a leader: the first one, by ``rank``, that it is like, or itself.
 
     A label is compared with leaders only. Few labels are grouped inside one row, which ``small=True``
-    promises (and the plan checks); otherwise they are counted first, and many are grouped in blocks.
+    promises (and the plan checks); otherwise they are counted first, and many are grouped in rounds, each of
+    which looks at the first ``block`` open labels of every key.
     """
     ranked = ranked_labels.select("label", "rank")
     if threshold <= 0:
@@ -257,4 +307,4 @@ def group_labels(
         return ranked.select("label", first.alias("leader"))
     if small is None:
         small = ranked.limit(GROUP_BLOCK + 1).count() <= GROUP_BLOCK
-    return _fold(ranked, threshold) if small else _block_grouping(ranked, threshold, min(block, GROUP_BLOCK))
+    return _fold(ranked, threshold) if small else _grouping_by_rounds(ranked, threshold, block, hot_rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -20,8 +22,12 @@ from lshthemes.functions.hashing import (
     probe_masks,
 )
 from lshthemes.functions.vectors import infer_dim, project
+from lshthemes.operators.index import bucket_sizes
 from lshthemes.operators.search import bucket_join, check_settings, hash_queries, index_at
 
+# Sketches of distinct buckets have two to the power of this many cells.
+LG_K = 12
+
 
 def principal_axes(corpus: DataFrame, dim: int) -> np.ndarray:
     """The three directions in which the vectors vary most, as axes for ``map_points``.
@@ -57,11 +63,7 @@ def map_points(
     check_settings(index, bits, dim, seed, index_bits)
     n_planes = max(bits, HASH_BITS)
     planes = hyperplanes(dim, n_planes + 3, seed)
-    sizes = (
-        index_at(index, bits)
-        .groupBy(F.col("bucket_id").alias("bucket_int"))
-        .agg(F.count("row_id").alias("bucket_size"))
-    )
+    sizes = bucket_sizes(index_at(index, bits)).toDF("bucket_int", "bucket_size")
     placed = (
         hash_vectors(corpus, planes[:n_planes])
         .where(F.col("hash").isNotNull())
@@ -84,11 +86,14 @@ def map_points(
     )
 
 
-def map_density(points: DataFrame, threshold: int = 10) -> DataFrame:
+def map_density(points: DataFrame, threshold: int = 10, approx: bool = False, lg_k: int = LG_K) -> DataFrame:
     """Density as the points see it: large buckets weigh more.
 
-    Points are summed up per bucket and size first, so the distinct count sees one row per bucket.
+    Points are summed up per bucket and size first, so the distinct count sees one row per bucket. With ``approx`` that
+    count comes from sketches (``map_tiles``) and no row per bucket is shuffled.
     """
+    if approx:
+        return density_of_tiles(map_tiles(points, threshold=threshold, lg_k=lg_k))
     per_bucket = points.groupBy("bucket", "bucket_size").agg(F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("bigint")
     dense = F.sum(F.when(F.col("bucket_size") >= threshold, F.col("n")).otherwise(zero))
@@ -103,6 +108,41 @@ def map_density(points: DataFrame, threshold: int = 10) -> DataFrame:
     )
 
 
+def map_tiles(points: DataFrame, width: float = 1.0, threshold: int = 10, lg_k: int = LG_K) -> DataFrame:
+    """The density of every cube of the map, in a form that adds up: sums, extremes, and a sketch of the buckets.
+
+    Tiles of several maps, or of points that came later, are united as rows; ``density_of_tiles`` reads them together.
+    """
+    tile = [F.floor(F.col(c) / width).cast("bigint").alias(f"tile_{c}") for c in "xyz"]
+    return points.groupBy(*tile).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("bucket_size") >= threshold).alias("dense"),
+        F.sum("bucket_size").alias("sizes"),
+        F.max("bucket_size").alias("max_size"),
+        F.min("bucket_size").alias("min_size"),
+        F.hll_sketch_agg("bucket", F.lit(lg_k)).alias("buckets"),
+    )
+
+
+def density_of_tiles(tiles: DataFrame) -> DataFrame:
+    """``map_density`` from tiles. All is exact but the number of buckets: its relative standard error is
+    ``sketch_error(lg_k)``."""
+    zero = F.lit(0).cast("bigint")
+    return tiles.agg(
+        F.max("max_size").alias("max_size"),
+        F.min("min_size").alias("min_size"),
+        F.try_divide(F.sum("sizes"), F.sum("n")).alias("avg_size"),
+        F.coalesce(F.sum("dense"), zero).alias("num_dense"),
+        F.try_divide(100 * F.sum("dense"), F.sum("n")).alias("pct_dense"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("buckets")), zero).alias("unique_buckets"),
+    )
+
+
+def sketch_error(lg_k: int = LG_K) -> float:
+    """Relative standard error of a sketch of ``2 ** lg_k`` cells that was united from others."""
+    return 1.04 / math.sqrt(2**lg_k)
+
+
 def probe_classes(
     points: DataFrame,
     queries: DataFrame,

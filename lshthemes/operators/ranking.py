@@ -2,7 +2,7 @@
 
 The queries of one pass are bounded in bytes and sent to every task; the rows are never shuffled and no
 (query, row) pair leaves a task unless it is among the best ``k`` of that task. More queries than fit in
-one pass are split in blocks, each of which passes over the rows again.
+one pass lie in files by block; a task goes through the blocks for each chunk of its rows, in the same job.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lshthemes.functions.vectors import batch_matrix
+from lshthemes.sources.files import locate
 from lshthemes.sources.scratch import scratch_path
 
 # Bytes of query vectors that one pass may send to every task.
@@ -34,6 +36,9 @@ UNDEFINED = -2.0
 # Scores held at once inside a task.
 TILE = 1 << 21
 
+# Rows a task holds while it goes through several blocks of queries.
+CHUNK_BYTES = 64 << 20
+
 
 def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length one, and the lengths; NaN marks a row without direction."""
@@ -195,6 +200,11 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _found_schema(rows: DataFrame, id_type: T.DataType, kept: list[str]) -> T.StructType:
+    fields = [T.StructField("query_id", id_type), T.StructField("similarity", T.DoubleType())]
+    return T.StructType([*fields, *[rows.schema[c] for c in kept]])
+
+
 def _one_pass(
     rows: DataFrame,
     block: Sequence[Row],
@@ -203,20 +213,13 @@ def _one_pass(
     k: int,
     kept: list[str],
     stored_bits: int | None,
-) -> tuple[DataFrame, Broadcast | None]:
-    """Scores one block of queries against the rows. Also the broadcast block, to be destroyed when the result is
-    stored."""
+) -> DataFrame:
+    """Scores one block of queries against the rows."""
     spark = rows.sparkSession
     needed = [c for c in ("embedding", "bucket_id", "level1") if c in rows.columns]
-    schema = T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            T.StructField("similarity", T.DoubleType()),
-            *[rows.schema[c] for c in kept],
-        ]
-    )
+    schema = _found_schema(rows, id_type, kept)
     if not block:
-        return spark.createDataFrame([], schema), None
+        return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(packed_queries(block))
     id_arrow = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
 
@@ -234,7 +237,7 @@ def _one_pass(
         # No more ids than the block's queries probe, and the block is bounded.
         probed = spark.createDataFrame(pa.table({"bucket_id": pa.array(buckets, pa.int64())}))
         routed = routed.join(F.broadcast(probed), "bucket_id", "left_semi")
-    return routed.select(*dict.fromkeys([*needed, *kept])).mapInArrow(rank, schema), shared
+    return routed.select(*dict.fromkeys([*needed, *kept])).mapInArrow(rank, schema)
 
 
 def rank_rows(
@@ -277,8 +280,8 @@ def _in_blocks(
     stored_bits: int | None,
     limit: int,
 ) -> DataFrame:
-    """All queries, however many: one pass over the rows per block of at most about ``limit`` bytes of vectors and
-    probed ids. With several blocks the rows are written once, and results are kept in files."""
+    """All queries, however many, in blocks of at most about ``limit`` bytes of vectors and probed ids: a single block is
+    sent to every task, several lie in files that tasks read one after the other."""
     spark = rows.sparkSession
     stored = scratch_path(spark, "queries")
     # The encoder and the routing run once, not once per block.
@@ -288,17 +291,54 @@ def _in_blocks(
         raise ValueError("query_id must be unique")
     total = queries.agg(F.sum("_bytes")).first()[0] or 0
     if total <= limit:
-        return _one_pass(rows, queries.drop("_bytes").collect(), id_type, dim, k, carried, stored_bits)[0]
+        return _one_pass(rows, queries.drop("_bytes").collect(), id_type, dim, k, carried, stored_bits)
     n_blocks = -(-total * 5 // (4 * limit))
     number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    needed = [c for c in ("embedding", "bucket_id", "level1", "bits", "stored_bucket") if c in rows.columns]
-    kept_rows, results = scratch_path(spark, "rows"), scratch_path(spark, "results")
-    rows.select(*dict.fromkeys([*needed, *carried])).write.parquet(kept_rows)
-    rows = spark.read.parquet(kept_rows)
-    for i in range(n_blocks):
-        part = queries.where(number == i).drop("_bytes").collect()
-        found, shared = _one_pass(rows, part, id_type, dim, k, carried, stored_bits)
-        found.write.mode("append").parquet(results)
-        if shared is not None:
-            shared.destroy()
+    blocks, results = scratch_path(spark, "query-blocks"), scratch_path(spark, "results")
+    parted = queries.drop("_bytes").withColumn("_block", number).repartition("_block")
+    parted.write.partitionBy("_block").parquet(blocks)
+    _grid(rows, blocks, n_blocks, id_type, dim, k, carried).write.parquet(results)
     return spark.read.parquet(results)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    chunk, size = [], 0
+    for batch in batches:
+        chunk.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
+def _read_block(folder: str, number: int) -> tuple | None:
+    """One block of queries, as every task needs it."""
+    where, path = locate(f"{folder}/_block={number}")
+    listed = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    names = sorted(f.path for f in listed if f.path.endswith(".parquet"))
+    rows = [r for name in names for r in pq.ParquetFile(where.open_input_file(name)).read().to_pylist()]
+    return packed_queries(rows) if rows else None
+
+
+def _grid(
+    rows: DataFrame, blocks: str, n_blocks: int, id_type: T.DataType, dim: int, k: int, kept: list[str]
+) -> DataFrame:
+    """Every block of queries against every chunk of rows, in one job: tasks read their rows once, a chunk at a time, and
+    the blocks from their files for each chunk. A cell of that grid hands on its best ``k`` rows per query; the top-k
+    lists merge in the task and once more where they meet."""
+    needed = [c for c in ("embedding", "bucket_id", "level1") if c in rows.columns]
+    schema = _found_schema(rows, id_type, kept)
+    id_arrow = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, CHUNK_BYTES):
+            for number in range(n_blocks):
+                packed = _read_block(blocks, number)
+                if packed is not None:
+                    *queries, ids = packed
+                    yield from _rank_partition(iter(chunk), dim, k, QueryBlock(*queries), pa.array(ids, id_arrow), kept)
+
+    found = rows.select(*dict.fromkeys([*needed, *kept])).mapInArrow(rank, schema)
+    return top_k(found, k).drop("rank")

@@ -26,16 +26,14 @@ from lshthemes.functions.hashing import (
     with_buckets,
 )
 from lshthemes.functions.vectors import infer_dim
-from lshthemes.operators.index import identity
+from lshthemes.operators.index import bucket_sizes, count_entries, identity
 from lshthemes.operators.ranking import QUERY_BYTES, rank_rows
+from lshthemes.operators.skew import HOT_ROWS, every_block, hot_keys, own_block, with_blocks
 from lshthemes.sources.indexes import SETTINGS, settings_of
 from lshthemes.sources.scratch import use_checkpoints
 
 PAYLOAD = ("item_id", "title")
 
-# Parts of a bucket where queries and rows are paired by a shuffle.
-SALTS = 32
-
 
 def check_settings(
     index: DataFrame, bits: int, dim: int | None = None, seed: int = SEED, index_bits: int | None = None
@@ -167,10 +165,11 @@ def lsh_search(
     seed: int = SEED,
     query_bytes: int = QUERY_BYTES,
     index_bits: int | None = None,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
     """Rank the rows of the query's own bucket."""
     dim = dim or infer_dim(queries)
-    check_settings(index, base_bits, dim, seed, index_bits)
+    check_settings(index if manifest is None else manifest, base_bits, dim, seed, index_bits)
     routed = hash_queries(queries, dim, base_bits, seed=seed).select(
         "query_id", "embedding", F.array("bucket_id").alias("buckets")
     )
@@ -190,7 +189,7 @@ def _strategy(
     sizes = (
         index_at(index, base_bits, refine_bits)
         .groupBy("bucket_id", "level1")
-        .agg(F.count("row_id").alias("part_size"))
+        .agg(count_entries(index).alias("part_size"))
         .groupBy("bucket_id")
         .agg(
             F.sum("part_size").alias("bucket_size"),
@@ -264,14 +263,19 @@ def density_search(
     seed: int = SEED,
     query_bytes: int = QUERY_BYTES,
     index_bits: int | None = None,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
-    """Rank the query's bucket; in a dense one only the rows that share ``level1``, if there are any."""
+    """Rank the query's bucket; in a dense one only the rows that share ``level1``, if there are any.
+
+    With the ``manifest`` of the index, settings and densities are taken from that and the index is read for its
+    candidates alone."""
     dim = dim or infer_dim(queries)
     refined_bits = 0 if "hash" not in index.columns else refine_bits
-    check_settings(index, base_bits + refined_bits, dim, seed, index_bits)
+    known = index if manifest is None else manifest
+    check_settings(known, base_bits + refined_bits, dim, seed, index_bits)
     hashed = hash_queries(queries, dim, base_bits, refine_bits, seed)
     index = hashed_index(index, corpus, hashed, dim, base_bits, refine_bits, seed, payload)
-    routed = _strategy(hashed, index, threshold, base_bits, refine_bits).select(
+    routed = _strategy(hashed, index if manifest is None else manifest, threshold, base_bits, refine_bits).select(
         "query_id",
         "embedding",
         F.array("bucket_id").alias("buckets"),
@@ -293,10 +297,11 @@ def multi_probe_search(
     seed: int = SEED,
     query_bytes: int = QUERY_BYTES,
     index_bits: int | None = None,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
     """Rank the rows of all buckets within ``radius`` flipped bits of the query's."""
     dim = dim or infer_dim(queries)
-    check_settings(index, bits, dim, seed, index_bits)
+    check_settings(index if manifest is None else manifest, bits, dim, seed, index_bits)
     routed = hash_queries(queries, dim, bits, seed=seed).select(
         "query_id", "embedding", probe_list("bucket_id", bits, radius).alias("buckets")
     )
@@ -304,15 +309,20 @@ def multi_probe_search(
     return _ranked(routed, rows, dim, k, payload, bits, query_bytes=query_bytes)
 
 
-def bucket_join(keyed: DataFrame, rows: DataFrame, salts: int = SALTS) -> DataFrame:
+def bucket_join(
+    keyed: DataFrame, rows: DataFrame, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Queries ``(query_id, bucket_id, ..)`` to rows ``(bucket_id, row_id, ..)`` of the same bucket.
 
-    A salt from the row id splits every bucket, so a hot one is spread over ``salts`` tasks; size it by the largest
-    bucket. Adaptive execution sends the queries to the rows where they are few.
+    Only a hot bucket is cut into blocks, as many as its size asks for, and only its queries are copied to them.
+    ``sizes`` of the buckets are counted from the rows unless they are known. Adaptive execution sends the queries to
+    the rows where they are few.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-    spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, ["bucket_id", "salt"]).drop("salt")
+    sizes = rows.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("size")) if sizes is None else sizes
+    hot = hot_keys(sizes, ["bucket_id"], hot_rows)
+    cut = with_blocks(rows, hot, ["bucket_id"]).withColumn("block", own_block(*_identity(rows))).drop("blocks")
+    spread = with_blocks(keyed, hot, ["bucket_id"]).withColumn("block", every_block()).drop("blocks")
+    return cut.join(spread, ["bucket_id", "block"]).drop("block")
 
 
 def _identity(index: DataFrame) -> list[str]:
@@ -390,11 +400,7 @@ def multi_probe_stats(
     check_settings(index, bits, dim, seed)
     hashed = hash_queries(queries, dim, bits, seed=seed, keep_unfit=True)
     probes = probe_buckets(hashed.select("query_id", "bucket_id"), bits, radius)
-    sizes = (
-        index_at(index, bits)
-        .groupBy(F.col("bucket_id").alias("probe_bucket"))
-        .agg(F.count("row_id").alias("size"))
-    )
+    sizes = bucket_sizes(index_at(index, bits)).withColumnRenamed("bucket_id", "probe_bucket")
     # Used twice, and small: one row per bucket.
     use_checkpoints(index.sparkSession)
     sizes = sizes.checkpoint()

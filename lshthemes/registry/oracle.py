@@ -278,14 +278,15 @@ def oracle_sql() -> dict[str, str]:
 
     dense = "SELECT bucket_id, size AS count FROM sizes WHERE size >= 5"
     plain["dense_buckets"] = f"WITH {_VECTOR_INDEX}, {_SIZES} {dense}"
-    plain["stored_dense_buckets"] = plain["dense_buckets"]
+    plain["stored_dense_buckets"] = plain["manifest_dense_buckets"] = plain["dense_buckets"]
     plain["top_buckets"] = (
         f"WITH {_VECTOR_INDEX}, {_SIZES} {dense} ORDER BY size DESC, bucket_id LIMIT 10"
     )
     plain["stored_index"] = f"""WITH {_VECTOR_INDEX}
         SELECT bucket_id, hash, 'embeddings' AS file_path, row_id, 31::BIGINT AS seed, 64::BIGINT AS dim,
                8::BIGINT AS bits FROM ix"""
-    plain["index_stats"] = f"""WITH {_VECTOR_INDEX}, {_SIZES}
+    plain["partitioned_index"] = plain["stored_index"]
+    plain["index_stats"] = plain["manifest_stats"] = f"""WITH {_VECTOR_INDEX}, {_SIZES}
         SELECT sum(size)::BIGINT AS total_entries, count(*) AS num_buckets,
                round(avg(size), 6) AS avg_bucket_size, round(count(*) / 256.0, 6)::DOUBLE AS load_factor FROM sizes"""
     plain["size_histogram"] = (
@@ -322,6 +323,13 @@ def oracle_sql() -> dict[str, str]:
                    row_id::VARCHAR AS item_id {joined}) WHERE pos <= 3"""
 
     plain["search_exact"] = _search(_ALL_PAIRS, 10)
+    plain["search_vectors"] = """WITH pairs AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS row_id,
+                   list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+            FROM embeddings a CROSS JOIN embeddings b),
+        best AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id) AS rank FROM pairs)
+        SELECT query_id, rank, row_id, round(s, 6) AS similarity FROM best WHERE rank <= 5"""
     plain["fetch_documents"] = f"""WITH {_SEARCH}, {_ranked(_ALL_PAIRS, 5)}
         SELECT f.query_id, f.rank, f.item_id, d.text AS body,
                CASE WHEN length(d.text) > 100 THEN d.text END AS preview
@@ -398,7 +406,7 @@ def oracle_sql() -> dict[str, str]:
     plain["label_buckets"] = f"""WITH {_VECTOR_INDEX}, {_SIZES}, {_GIVEN}
         SELECT bucket_id, size AS count, coalesce(g.label, 'Theme ' || bucket_id) AS label
         FROM sizes LEFT JOIN given g USING (bucket_id)"""
-    for name, threshold in (("05", 0.5), ("10", 1.0)):
+    for name, threshold in (("03", 0.3), ("05", 0.5), ("10", 1.0)):
         plain[f"similar_labels_{name}"] = f"""WITH {_labels(WORD_PARTS)},
             d AS (SELECT DISTINCT label, {_tokens('label')} AS tokens FROM labels),
             pairs AS (
@@ -455,6 +463,8 @@ def oracle_sql() -> dict[str, str]:
                round(100.0 * count(*) FILTER (WHERE size >= 10) / count(*), 6)::DOUBLE AS pct_dense,
                count(DISTINCT bucket_id) AS unique_buckets
         FROM ix JOIN sizes USING (bucket_id)"""
+    plain["map_density_sketch"] = f"""WITH density AS ({plain['map_density']})
+        SELECT * REPLACE (unique_buckets > 0 AS unique_buckets) FROM density"""
     flips = "bit_count(xor(q.bucket_id, ix.bucket_id))"
     colour = f"CASE WHEN {flips} = 0 THEN 'red' WHEN {flips} <= 2 THEN 'orange' ELSE 'lightgray' END"
     every = f"SELECT q.query_id, ix.row_id, {colour} AS probe_class FROM q CROSS JOIN ix"
@@ -483,4 +493,6 @@ def oracle_sql() -> dict[str, str]:
                min_size || ' to ' || max_size || ' documents (avg: ' || printf('%.1f', avg_size) || ')' AS sizes,
                printf('%.1f', pct_dense) || '% of points in dense buckets' AS dense
         FROM density"""
+    plain["manifest_strategy"] = plain["search_strategy"]
+    plain["manifest_probe_stats"] = plain["multi_probe_stats"]
     return plain

@@ -31,7 +31,8 @@ from lshthemes.plans.themes import discover_themes
 from lshthemes.registry import tables as t
 from lshthemes.registry.tables import DIM, KEYWORDS_FOUND, WORD_PARTS
 from lshthemes.sources.corpora import CorpusShape, DatasetCatalog, load_corpus
-from lshthemes.sources.indexes import merge_indexes, read_index, write_index
+from lshthemes.sources.indexes import merge_indexes, read_index, write_index, write_partitions
+from lshthemes.sources.manifest import read_manifest
 from lshthemes.sources.scratch import scratch_path
 from lshthemes.sources.tables import read_map_points, read_metadata, write_metadata
 from lshthemes.streaming.index_stream import (
@@ -163,6 +164,34 @@ def stored_index(spark, sf_dir):
     return read_index(spark, path)
 
 
+@_query
+def partitioned_index(spark, sf_dir):
+    """The index as files of whole buckets, read beside a file that is no part of it."""
+    path = scratch_path(spark, "partitions")
+    index = t.vector_index(spark, sf_dir)
+    write_partitions(index, path, 4)
+    index.write.mode("append").parquet(path)  # files of other names
+    return read_index(spark, path, layout="partitioned")
+
+
+def _vector_manifest(spark, sf_dir) -> DataFrame:
+    path = scratch_path(spark, "index")
+    write_index(t.vector_index(spark, sf_dir), path, manifest=True)
+    return read_manifest(spark, path)
+
+
+@_query
+def manifest_dense_buckets(spark, sf_dir):
+    """Dense buckets from what the index says about itself."""
+    return index_op.dense_buckets(_vector_manifest(spark, sf_dir))
+
+
+@_query
+def manifest_stats(spark, sf_dir):
+    stats = index_op.index_stats(_vector_manifest(spark, sf_dir))
+    return _rounded(stats, "avg_bucket_size", "load_factor")
+
+
 @_query
 def stored_dense_buckets(spark, sf_dir):
     return index_op.dense_buckets(stored_index(spark, sf_dir))
@@ -249,6 +278,15 @@ def search_exact(spark, sf_dir):
     return _shown(found)
 
 
+@_query
+def search_vectors(spark, sf_dir):
+    """Every given vector as a query on all of them, the queries in several blocks."""
+    rows = t.vectors(spark, sf_dir)
+    asked = rows.withColumnRenamed("row_id", "query_id")
+    found = search_op.search_exact(asked, rows, k=5, dim=DIM, query_bytes=64 * 1024)
+    return _rounded(found.select("query_id", "rank", "row_id", "similarity"), "similarity")
+
+
 def _shown(found: DataFrame) -> DataFrame:
     columns = ("query_id", "rank", "row_id", "item_id", "title", "similarity")
     return _rounded(found.select(*columns), "similarity")
@@ -284,7 +322,16 @@ def density_search(spark, sf_dir):
 
 @_query
 def search_strategy(spark, sf_dir):
-    index = t.document_index(spark, sf_dir)
+    return _strategy_rows(spark, sf_dir, t.document_index(spark, sf_dir))
+
+
+@_query
+def manifest_strategy(spark, sf_dir):
+    """The same without a look at the index."""
+    return _strategy_rows(spark, sf_dir, t.documents_with_manifest(spark, sf_dir)[1])
+
+
+def _strategy_rows(spark, sf_dir, index: DataFrame) -> DataFrame:
     plan = search_op.search_strategy(t.text_queries(spark, sf_dir), index, dim=DIM)
     maybe = ["bucket_size", "original_candidates", "level_1_hash", "refined_candidates", "final_candidates"]
     return _rounded(plan, "reduction_pct").withColumns({c: F.col(c).cast("double") for c in maybe})
@@ -298,9 +345,17 @@ def multi_probe_search(spark, sf_dir):
 
 @_query
 def multi_probe_stats(spark, sf_dir):
-    stats = search_op.multi_probe_stats(
-        t.text_queries(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
-    )
+    return _probe_stats(spark, sf_dir, t.document_index(spark, sf_dir))
+
+
+@_query
+def manifest_probe_stats(spark, sf_dir):
+    """The same without a look at the index."""
+    return _probe_stats(spark, sf_dir, t.documents_with_manifest(spark, sf_dir)[1])
+
+
+def _probe_stats(spark, sf_dir, index: DataFrame) -> DataFrame:
+    stats = search_op.multi_probe_stats(t.text_queries(spark, sf_dir), index, dim=DIM)
     return _rounded(stats, "pct_candidates", "speedup")
 
 
@@ -332,12 +387,12 @@ def multi_probe_candidates(spark, sf_dir):
 def recall_at_k(spark, sf_dir):
     """Recall of the three approximate searches."""
     asked = t.text_queries(spark, sf_dir)
-    index = t.stored_documents(spark, sf_dir)
+    index, manifest = t.documents_with_manifest(spark, sf_dir)
     exact = search_op.search_exact(asked, index, k=5, dim=DIM)
     found = {
-        "bucket": search_op.lsh_search(asked, index, k=5, dim=DIM),
-        "density": search_op.density_search(asked, index, k=5, dim=DIM),
-        "probes": search_op.multi_probe_search(asked, index, k=5, dim=DIM),
+        "bucket": search_op.lsh_search(asked, index, k=5, dim=DIM, manifest=manifest),
+        "density": search_op.density_search(asked, index, k=5, dim=DIM, manifest=manifest),
+        "probes": search_op.multi_probe_search(asked, index, k=5, dim=DIM, manifest=manifest),
     }
     rows = [
         search_op.recall_at_k(approx, exact, 5).select(F.lit(mode).alias("mode"), "query_id", "recall")
@@ -446,7 +501,7 @@ def _similar(threshold: float) -> Query:
     return query
 
 
-for _name, _threshold in (("05", 0.5), ("10", 1.0)):
+for _name, _threshold in (("03", 0.3), ("05", 0.5), ("10", 1.0)):
     _ALL[f"similar_labels_{_name}"] = _similar(_threshold)
 
 
@@ -598,19 +653,32 @@ def stored_map_points(spark, sf_dir):
     return _rounded(points, "x", "y", "z")
 
 
+def _map_points(spark, sf_dir) -> DataFrame:
+    """Map points of all documents, which are encoded once: the index carries what the map shows."""
+    stored = t.document_index(spark, sf_dir, carry=("embedding", "display_text"))
+    return maps_op.map_points(stored, stored, dim=DIM)
+
+
 @_query
 def map_density(spark, sf_dir):
-    points = maps_op.map_points(
-        t.encoded_documents(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
-    )
+    points = _map_points(spark, sf_dir)
     return _rounded(maps_op.map_density(points), "avg_size", "pct_dense")
 
 
+@_query
+def map_density_sketch(spark, sf_dir):
+    """The same from tiles of the map; the number of buckets within three standard errors."""
+    tiles = maps_op.map_tiles(_map_points(spark, sf_dir))
+    later = tiles.where("tile_x % 2 = 0"), tiles.where("tile_x % 2 <> 0")  # as if they had come apart
+    found = _rounded(maps_op.density_of_tiles(later[0].unionByName(later[1])), "avg_size", "pct_dense")
+    exact = t.document_index(spark, sf_dir).agg(F.count_distinct("bucket_id")).scalar()
+    near = F.abs(F.col("unique_buckets") - exact) <= 3 * maps_op.sketch_error() * exact
+    return found.withColumn("unique_buckets", near)
+
+
 @_query
 def probe_classes(spark, sf_dir):
-    points = maps_op.map_points(
-        t.encoded_documents(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
-    )
+    points = _map_points(spark, sf_dir)
     classes = maps_op.probe_classes(points, t.text_queries(spark, sf_dir), dim=DIM)
     return classes.select("query_id", "row_id", "probe_class")
 
@@ -666,7 +734,5 @@ def probe_report(spark, sf_dir):
 
 @_query
 def map_report(spark, sf_dir):
-    points = maps_op.map_points(
-        t.encoded_documents(spark, sf_dir), t.document_index(spark, sf_dir), dim=DIM
-    )
+    points = _map_points(spark, sf_dir)
     return reports_op.map_report(maps_op.map_density(points))

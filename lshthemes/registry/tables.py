@@ -9,6 +9,7 @@ from lshthemes.functions.encoders import TokenHashEncoder, encode
 from lshthemes.operators.index import build_index
 from lshthemes.sources.corpora import CorpusShape, canonical
 from lshthemes.sources.indexes import read_index, write_index
+from lshthemes.sources.manifest import read_manifest
 from lshthemes.sources.scratch import scratch_path
 
 DIM = 64
@@ -19,6 +20,9 @@ KEYWORDS_FOUND = (
 )
 WORD_PARTS = ("ight", "ough", "heit", "eaux", "ción", "keit", "able", "ment", "ness", "est")
 
+# What a search shows of a document, with the vector it is found by.
+SHOWN = ("embedding", "item_id", "title")
+
 AS_TWEETS = CorpusShape(item_id="doc_id", body="text", row_id="doc_id")
 AS_PAPERS = CorpusShape(
     item_id="doc_id",
@@ -77,7 +81,15 @@ def document_index(
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with what a search shows, so that it needs no corpus beside it."""
-    return document_index(spark, sf_dir, carry=("embedding", "item_id", "title"))
+    return document_index(spark, sf_dir, carry=SHOWN)
+
+
+def documents_with_manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same, and its manifest."""
+    path = scratch_path(spark, "index")
+    index = build_index(encoded_documents(spark, sf_dir), bits=8, dim=DIM, carry=SHOWN, file_path="documents")
+    write_index(index, path, manifest=True)
+    return read_index(spark, path), read_manifest(spark, path)
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lshthemes.sources.files import locate
+from lshthemes.sources.manifest import write_manifest
 
 SETTINGS = ("seed", "dim", "bits")
 
 
-def write_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write the index clustered by bucket, so statistics skip the files and row groups of other buckets.
+def write_index(index: DataFrame, path: str, mode: str = "errorifexists", manifest: bool = False) -> None:
+    """Write the index clustered by bucket, so statistics skip the files and row groups of other buckets; with ``manifest``
+    also what ``read_manifest`` reads, for which the hashes are read once more.
 
     The index is computed once: rebalancing needs no sample pass. It spreads a hot bucket over as many
     files as its size asks for and packs small ones together (with adaptive execution, Spark's default).
@@ -23,6 +32,8 @@ def write_index(index: DataFrame, path: str, mode: str = "errorifexists") -> Non
         .write.mode(mode)
         .parquet(path)
     )
+    if manifest:
+        write_manifest(index.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str, layout: str = "spark") -> DataFrame:
@@ -38,6 +49,26 @@ def read_index(spark: SparkSession, path: str, layout: str = "spark") -> DataFra
     return index.withColumns({c: v for c, v in ids.items() if dict(index.dtypes)[c] != "bigint"})
 
 
+def write_partitions(index: DataFrame, path: str, parts: int) -> None:
+    """Write the index as the files ``partition_00000.parquet`` and on, each with whole buckets, for ``layout="partitioned"``.
+    A task that runs again replaces its file."""
+    arrow = to_arrow_schema(index.schema)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        where, at = locate(f"{path}/partition_{part:05d}.parquet")
+        where.create_dir(at.rpartition("/")[0], recursive=True)
+        rows = 0
+        with where.open_output_stream(at) as sink, pq.ParquetWriter(sink, arrow) as file:
+            for batch in batches:
+                file.write_table(pa.Table.from_batches([batch]).cast(arrow))
+                rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    dealt = index.repartition(parts, "bucket_id").sortWithinPartitions("bucket_id", "row_id")
+    dealt.mapInArrow(write, "rows bigint").agg(F.sum("rows")).collect()
+
+
 def settings_of(index: DataFrame) -> dict[str, int] | None:
     """Seed, width and bits of an index, None for one without rows. Raises where rows differ in them."""
     row = index.agg(*[f(c).alias(f"{n}_{c}") for c in SETTINGS for n, f in (("low", F.min), ("high", F.max))]).first()
@@ -63,6 +94,6 @@ def merge_indexes(*indexes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, indexes)
 
 
-def compact_index(spark: SparkSession, path: str, compacted: str) -> None:
+def compact_index(spark: SparkSession, path: str, compacted: str, manifest: bool = False) -> None:
     """Rewrites an index that a stream appended to, clustered by bucket, at another path."""
-    write_index(read_index(spark, path), compacted)
+    write_index(read_index(spark, path), compacted, manifest=manifest)

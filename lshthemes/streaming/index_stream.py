@@ -44,22 +44,31 @@ def stream_bucket_counts(index_stream: DataFrame) -> DataFrame:
 
 
 def write_bucket_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the sizes after every batch to a folder of its own, then stop. A batch that runs again replaces its own."""
+    """Write the sizes that a batch changed to a folder of that batch, then stop. A batch that runs again replaces its own
+    folder, so nothing counts twice. ``compact_bucket_counts`` makes one folder of many."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         counts.writeStream.foreachBatch(write)
-        .outputMode("complete")
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _last_written(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("bucket_id").agg(F.max(F.struct("batch", "count")).alias("last"))
+
+
 def read_bucket_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The sizes after the last batch."""
-    counts = spark.read.parquet(path)
-    last = counts.agg(F.max("batch").alias("last"))
-    return counts.join(F.broadcast(last), counts["batch"] == last["last"]).drop("batch", "last")
+    """The size of every bucket, as the last batch that changed it wrote it."""
+    return _last_written(spark.read.parquet(path)).select("bucket_id", "last.count")
+
+
+def compact_bucket_counts(spark: SparkSession, path: str, compacted: str) -> None:
+    """The sizes now, at another path, under the batch that wrote them last; batches to come may be added there."""
+    last = _last_written(spark.read.parquet(path)).select("bucket_id", "last.count", "last.batch")
+    last.write.partitionBy("batch").parquet(compacted)

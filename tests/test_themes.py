@@ -66,6 +66,45 @@ def test_grouping_is_greedy_in_every_form(spark, threshold):
         assert dict(map(tuple, group_labels(table, threshold, **how).collect())) == want
 
 
+@pytest.mark.parametrize("threshold", [0.2, 1 / 3, 0.5, 1.0])
+def test_rounds_with_narrow_windows_and_hot_keys_are_greedy(spark, threshold):
+    rng = random.Random(17)
+    labels = ["+"] + [" ".join(rng.sample("a b c d e f g h i".split(), rng.randint(1, 4)) + ["hot"] * (rng.random() < 0.7)) for _ in range(150)]
+    labels = list(dict.fromkeys(labels))
+    want = greedy(labels, threshold)
+    for how in ({"block": 3}, {"block": 1000, "hot_rows": 2}, {"block": 5, "hot_rows": 1}):
+        got = group_labels(ranked(spark, labels), threshold, small=False, **how).collect()
+        assert len(got) == len(labels) and dict(map(tuple, got)) == want
+
+
+def test_unlike_labels_take_few_rounds(spark, monkeypatch):
+    """Labels that share nothing lead in one round, a key that all share is worked off by windows; none is collected."""
+    from lshthemes.operators import labels as labels_op
+
+    rounds, settle = [], labels_op._settle
+
+    def count(df, purpose):
+        rounds.extend([1] if purpose == "label-window" else [])
+        return settle(df, purpose)
+
+    monkeypatch.setattr(labels_op, "_settle", count)
+    unlike = ranked(spark, [f"w{i} v{i}" for i in range(10_000)])
+    got = group_labels(unlike, 0.5, small=False)
+    assert got.where("label = leader").count() == 10_000 and len(rounds) == 1
+    rounds.clear()
+    # at a third every label is like the first, by the word they share
+    assert group_labels(ranked(spark, [f"hot w{i}" for i in range(3_000)]), 1 / 3, small=False).where("leader = 'hot w0'").count() == 3_000
+    assert len(rounds) < 20
+
+
+def test_similar_labels_with_a_token_in_every_label(spark):
+    labels = [f"hot x{i % 40} y{i}" for i in range(300)]
+    want = {(a, b) for a in labels for b in labels if a < b and alike(a, b) >= 0.4}
+    for hot_rows in (1, 7, 1_000):
+        got = similar_labels(ranked(spark, labels), 0.4, hot_rows)
+        assert {(r[0], r[1]) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_grouping_in_one_row_is_bounded(spark):
     with pytest.raises(Exception, match="too many labels"):
         group_labels(ranked(spark, [f"w{i}" for i in range(300)]), 0.5, small=True).collect()
