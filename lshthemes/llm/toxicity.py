@@ -7,9 +7,10 @@ the span, so a disguised insult stays close to the plain one. Kernel values with
 
 Labels mark whole documents while an insult is a word or two, so documents are bags of units: words between word ends,
 words with marks inside joined up, and single letters in a row joined up. The machine is trained as for multiple instances
-(Andrews et al., 2003): of a toxic document its worst unit counts, of a clean one all; rounds settle which is the worst,
-and clean units that score high become training rows and landmarks of the next round. A document scores as its worst unit,
-as a probability (Platt, 1999).
+(Andrews et al., 2003): of a toxic document its worst units count, if they are rarer in clean ones, of a clean one all; rounds
+settle which are the worst, and clean units that score high become training rows and landmarks of the next round. A
+document scores by its ``WORST`` highest margins, as a probability that is fitted to margins of texts unseen in training
+(Platt, 1999): one clear insult is enough, and of weaker ones it takes several, since a clean text may well have one.
 
 Training reads a sample of labelled documents of at most ``TRAIN_ROWS`` rows, by a hash of the identifier. Scoring reads
 every text whole.
@@ -21,10 +22,11 @@ Labels of null are not used. Rows that repeat score alike. Other columns may hav
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -39,7 +41,7 @@ ORDER = 3
 DECAY = 0.5
 #: Labelled rows from which the machine is trained, at most.
 TRAIN_ROWS = 4_000
-LANDMARKS = 40
+LANDMARKS = 100
 #: Lengths of the word parts among which landmarks are looked for.
 STEM_LETTERS = (4, 5, 6)
 #: Units longer than this are scored in overlapping parts.
@@ -48,6 +50,14 @@ THRESHOLD = 0.7
 #: Remembered tokens of one Python worker; forgetting them changes no result.
 REMEMBERED = 400_000
 ROUNDS = 4
+#: Units of a toxic document that are taken for what makes it toxic, and how much rarer than there they must be in clean ones.
+WITNESSES, RARER = 2, 4
+#: Units by whose margins a document is judged, and how far a margin counts.
+WORST, FAR = 3, 4.0
+#: Cost of a row on the wrong side of the machine's margin.
+COST = 30.0
+#: Units among which new landmarks are looked for at a time.
+LOOKED_AT = 600
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters that only ever stand for these in disguised words.
 _STAND_INS = str.maketrans("013457@$", "oieastas")
@@ -153,13 +163,15 @@ def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """``margin = kernel(unit, landmarks) @ weights + bias``, and the two numbers of its probability."""
+    """``margin = kernel(unit, landmarks) @ weights + bias``, and the probability of a document from the margins of its
+    worst units: ``slopes @ margins + shift``. Where a document has fewer units, ``usual`` margins of clean ones stand in."""
 
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = -1.0
-    slope: float = 0.0
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(WORST))
     shift: float = -50.0
+    usual: np.ndarray = field(default_factory=lambda: np.full(WORST, -1.0))
 
     def __post_init__(self) -> None:
         self.folded = Features(self.landmarks, self.weights) if self.landmarks else None
@@ -169,8 +181,14 @@ class Machine:
             return np.full(len(units), self.bias)
         return self.folded.of(units)[:, 0] + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+    def worst(self, margins: Iterable[float]) -> list[float]:
+        """The highest different margins of a document; units of one margin are as good as always the same one."""
+        top = heapq.nlargest(WORST, set(margins))
+        return [min(max(m, -FAR), FAR) for m in [*top, *self.usual[len(top) :].tolist()]]
+
+    def probability(self, worst: np.ndarray) -> np.ndarray:
+        """Of rows of ``worst`` margins."""
+        return 1 / (1 + np.exp(-np.clip(worst @ self.slopes + self.shift, -50, 50)))
 
 
 def document_units(text: str) -> set[str]:
@@ -197,21 +215,27 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 40) -
     return w
 
 
-def _fit_probability(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Platt's two numbers, by Newton steps on the smoothed labels."""
+def _fit_probability(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes, none below 0, and shift by Newton steps on smoothed labels (Platt, 1999, for several margins)."""
     ones = label.sum()
     goal = np.where(label > 0, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
-    slope, shift = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
-        weight = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - goal) * margin).sum(), (p - goal).sum()])
-        h = np.array([[(weight * margin * margin).sum() + 1e-6, (weight * margin).sum()], [(weight * margin).sum(), weight.sum() + 1e-6]])
-        move = np.linalg.solve(h, g)
-        slope, shift = slope - move[0], shift - move[1]
-        if np.abs(move).max() < 1e-9:
-            break
-    return float(slope), float(shift)
+    used = list(range(margin.shape[1]))
+    while True:
+        design = np.column_stack([margin[:, used], np.ones(len(margin))])
+        at = np.zeros(design.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
+            bend = design.T @ (design * np.maximum(p * (1 - p), 1e-9)[:, None]) + 1e-3 * np.eye(len(at))
+            move = np.linalg.solve(bend, design.T @ (p - goal) + 1e-3 * at)
+            at -= np.clip(move, -5, 5)
+            if np.abs(move).max() < 1e-9:
+                break
+        falling = [k for k, slope in zip(used, at, strict=False) if slope < 0]
+        if not falling:
+            slopes = np.zeros(margin.shape[1])
+            slopes[used] = at[:-1]
+            return slopes, float(at[-1])
+        used = [k for k in used if k not in falling]
 
 
 def _stems(unit: str) -> set[str]:
@@ -261,28 +285,46 @@ def _telling_stems(bags: list[list[str]], toxic: np.ndarray, good: Counter, most
     return list(dict.fromkeys(chosen)), odds
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Machine:
-    toxic = np.array([1 if x else 0 for x in labels])
-    if len(set(toxic.tolist())) < 2:
-        return Machine()
-    bags = [sorted(document_units(t)) for t in texts]
+def _unlike(units: list[str], chosen: list[str], most: int, alike: float = 0.85) -> list[str]:
+    """The first ``most`` of ``units`` that are like none of ``chosen`` and none before them."""
+    units = [u for u in dict.fromkeys(units) if len(u) >= ORDER and u not in chosen][:LOOKED_AT]
+    if not units or most <= 0:
+        return []
+    near = kernel(units, units)
+    free = kernel(units, chosen).max(axis=1) < alike if chosen else np.ones(len(units), dtype=bool)
+    out: list[int] = []
+    for k in range(len(units)):
+        if len(out) < most and free[k] and not (near[k, out] >= alike).any():
+            out.append(k)
+    return [units[k] for k in out]
+
+
+def _machine(bags: list[list[str]], toxic: np.ndarray, landmarks: int, rounds: int) -> Machine:
+    """A machine without its probability."""
     bad, good = Counter(), Counter()
     for bag, x in zip(bags, toxic, strict=True):
         (bad if x else good).update(bag)
     n_bad, n_good = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    stems, odds = _telling_stems(bags, toxic, good, landmarks // 2)
-    chosen = list(stems)
-    common = [u for u, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(u) >= ORDER]
-    chosen += [u for u in common if u not in chosen][: landmarks // 5]
+    stems, odds = _telling_stems(bags, toxic, good, landmarks // 4)
     tell = lambda u: (max((odds.get(s, 0.0) for s in _stems(u)), default=0.0), u)
-    worst = [max(bag, key=tell) for bag, x in zip(bags, toxic, strict=True) if x and bag]
+    # what is as usual in clean documents can't be what makes one toxic
+    suspects = [
+        sorted((u for u in bag if bad[u] * n_good > RARER * good[u] * n_bad), key=tell, reverse=True)
+        for bag, x in zip(bags, toxic, strict=True)
+        if x
+    ]
+    worst = [u for bag in suspects for u in bag[:WITNESSES]]
+    common = [u for u, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(u) >= ORDER]
+    chosen = stems + _unlike([u for u, _ in sorted(Counter(worst).items(), key=lambda x: (-x[1], x[0]))], stems, landmarks // 4)
+    chosen += [u for u in common if u not in chosen][: landmarks // 10]
     pool = sorted(good)
     picks = np.random.RandomState(11).permutation(len(pool))[:3_000]
     negatives = {pool[k] for k in picks} | set(common[:3_000])
     machine = Machine()
     units = sorted(set(bad) | set(good))
     place = {u: k for k, u in enumerate(units)}
-    for step in range(ROUNDS):
+    clean_at = np.array([place[u] for u in pool], dtype=np.int64)
+    for step in range(rounds):
         gram = kernel(chosen, chosen).astype(np.float64)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         keep = value > 1e-4
@@ -291,25 +333,40 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Ma
         rows = [*positives, *sorted(negatives - positives.keys())]
         y = np.array([1.0] * len(positives) + [-1.0] * (len(rows) - len(positives)))
         seen = np.array([float(positives[u]) for u in rows[: len(positives)]])
-        cost = np.concatenate([10 * np.sqrt(seen), np.full(len(rows) - len(positives), 10.0)])
+        cost = COST * np.concatenate([np.sqrt(seen), np.full(len(rows) - len(positives), 1.0)])
         x = np.column_stack([kernel(rows, chosen) @ white, np.ones(len(rows))])
         w = _fit_svm(x, y, cost)
         machine = Machine(list(chosen), (white @ w[:-1]).astype(np.float32), float(w[-1]))
         margin = machine.margins(units)
-        of = [margin[[place[u] for u in bag]] if bag else np.array([machine.bias]) for bag in bags]
-        if step < ROUNDS - 1:
-            worst = [bag[int(m.argmax())] for bag, m, x in zip(bags, of, toxic, strict=True) if x and bag]
-            clean = sorted(good, key=lambda u: (-margin[place[u]], u))
-            negatives |= set(clean[:2_000])
-            room = landmarks - len(chosen) if step else landmarks // 8
-            for unit in clean:
-                if room <= 0:
-                    break
-                if len(unit) >= ORDER and unit not in chosen and kernel([unit], chosen).max() < 0.8:
-                    chosen.append(unit)
-                    room -= 1
-    highest = np.array([m.max() for m in of])
-    machine.slope, machine.shift = _fit_probability(highest, toxic)
+        if step < rounds - 1:
+            worst = [u for bag in suspects for u in sorted(bag, key=lambda u: (-margin[place[u]], u))[:WITNESSES]]
+            hardest = [pool[k] for k in np.argsort(-margin[clean_at], kind="stable")[:2_000]]
+            negatives |= set(hardest)
+            chosen += _unlike(hardest, chosen, (landmarks - len(chosen)) // (rounds - 1 - step))
+    of_clean = [machine.worst(margin[[place[u] for u in bag]].tolist()) for bag, x in zip(bags, toxic, strict=True) if not x and len(bag) >= WORST]
+    if of_clean:
+        machine.usual = np.median(np.array(of_clean), axis=0)
+    return machine
+
+
+def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Machine:
+    """A machine from all texts. Its probability is fitted to margins of texts that the machine of the other half of them
+    gave, as it will meet texts it hasn't seen."""
+    toxic = np.array([1 if x else 0 for x in labels])
+    if len(set(toxic.tolist())) < 2:
+        return Machine()
+    bags = [sorted(document_units(t)) for t in texts]
+    machine = _machine(bags, toxic, landmarks, ROUNDS)
+    half = np.random.RandomState(3).permutation(len(bags)) % 2
+    both = all(len(set(toxic[half == k].tolist())) == 2 for k in range(2))
+    worst = np.zeros((len(bags), WORST))
+    for k in range(2):
+        learn, told = np.flatnonzero(half != k).tolist(), np.flatnonzero(half == k).tolist()
+        other = _machine([bags[i] for i in learn], toxic[learn], landmarks, ROUNDS - 1) if both else machine
+        flat = sorted(set().union(*(bags[i] for i in told)))
+        of = dict(zip(flat, other.margins(flat).tolist(), strict=True))
+        worst[told] = [other.worst(map(of.__getitem__, bags[i])) for i in told]
+    machine.slopes, machine.shift = _fit_probability(worst, toxic)
     return machine
 
 
@@ -330,18 +387,20 @@ class Scorer:
         floor = self.machine.bias
         self.known.update((t, max((margin[u] for u in own), default=floor)) for t, own in zip(new, units, strict=True))
 
-    def margins(self, texts: list[str]) -> list[float]:
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The worst margins of each text."""
         tokens = [t.lower().split() for t in texts]
         sets = [set(t) for t in tokens]
         self._learn(set().union(*sets))
         extra = [spelled(t) for t in tokens]
         flat = sorted(set().union(*extra))
         margin = dict(zip(flat, self.machine.margins(flat).tolist(), strict=True))
-        floor, known = self.machine.bias, self.known.__getitem__
-        return [
-            max(max(map(known, s), default=floor), max((margin[u] for u in e), default=floor))
-            for s, e in zip(sets, extra, strict=True)
-        ]
+        known, worst = self.known.__getitem__, self.machine.worst
+        rows = [worst([*map(known, s), *(margin[u] for u in e)]) for s, e in zip(sets, extra, strict=True)]
+        return np.array(rows, dtype=np.float64).reshape(len(texts), WORST)
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        return self.machine.probability(self.worst(texts))
 
 
 #: Texts whose tokens are learnt together; bounds memory where batches hold long texts.
@@ -367,14 +426,13 @@ def train_on(
 
 def toxicity(machine: Machine, text: str = "text") -> Column:
     """The probability that a text is toxic."""
-    parts = (list(machine.landmarks), machine.weights, machine.bias, machine.slope, machine.shift)
+    parts = (list(machine.landmarks), machine.weights, machine.bias, machine.slopes, machine.shift, machine.usual)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(Machine(*parts))
         for batch in batches:
             for block in blocks((t.as_py() for t in batch), BLOCK_CHARS):
-                margins = np.array(scorer.margins(block), dtype=np.float64)
-                yield pa.array(scorer.machine.probability(margins), pa.float64())
+                yield pa.array(scorer.probabilities(block), pa.float64())
 
     return score.asNondeterministic()(text)

@@ -51,20 +51,36 @@ def test_toxicity_on_held_out_texts():
     train, test = make_texts(300, 1), make_texts(200, 2)
     machine = toxicity.train(*zip(*train, strict=True))
     scorer = toxicity.Scorer(machine)
-    score = machine.probability(np.array(scorer.margins([t for t, _ in test])))
+    score = scorer.probabilities([t for t, _ in test])
     label = np.array([x for _, x in test])
     assert ((score >= toxicity.THRESHOLD) == label).mean() > 0.97
     odd = ["you i d i o t there", "id-iot", "1diot", "an idiot", "x" * 5000 + " moron"]
-    assert (machine.probability(np.array(scorer.margins(odd))) > 0.5).all()
-    calm = machine.probability(np.array(scorer.margins(["", "the summer house", "x" * 5000])))
+    assert (scorer.probabilities(odd) > 0.5).all()
+    calm = scorer.probabilities(["", "the summer house", "x" * 5000])
     assert (calm < 0.5).all()
 
 
+def test_toxicity_in_every_language(spark):
+    """Trained as the query trains, judged on the labels it never sees."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    machine = toxicity.train_on(docs, labels.where(~queries.held_out()))
+    rows = docs.join(labels.where(queries.held_out()), "doc_id").select("lang", "toxic", toxicity.toxicity(machine).alias("score")).collect()
+    for lang in ("en", "de", "fr", "es"):
+        bad = np.array([r["score"] for r in rows if r["lang"] == lang and r["toxic"]])
+        good = np.array([r["score"] for r in rows if r["lang"] == lang and not r["toxic"]])
+        ahead = (bad[:, None] > good[None, :]).mean() + 0.5 * (bad[:, None] == good[None, :]).mean()
+        assert len(bad) > 9 and ahead >= 0.9, lang
+        assert (bad >= toxicity.THRESHOLD).mean() >= 0.7, lang
+    good = np.array([r["score"] for r in rows if not r["toxic"]])
+    assert (good >= toxicity.THRESHOLD).mean() < 0.01
+
+
 def test_long_obfuscated_tokens_are_scored_in_parts():
     phrase = ".".join("thehouseidiotmountainwinter")
     assert any("idiot" in unit for unit in toxicity.token_units(phrase))
     machine = toxicity.train(*zip(*make_texts(300, 1), strict=True))
-    score = machine.probability(np.array(toxicity.Scorer(machine).margins([f"the {'.'.join('idiot' * 6)} green", phrase.replace("idiot", "table")])))
+    score = toxicity.Scorer(machine).probabilities([f"the {'.'.join('idiot' * 6)} green", phrase.replace("idiot", "table")])
     assert score[0] > 0.5 > score[1]
 
 
@@ -134,7 +150,7 @@ def test_queries_run_over_whole_tables(spark, name):
         for table in TABLES:
             duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
         assert rows_of(got.toPandas()) == rows_of(duck.execute(queries.oracle_sql()[name]).df())
-    elif "decontamination" not in name:
+    elif "decontamination" not in name and "variants" not in name:
         table = "pages" if "warc" in name else "documents"
         assert got.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
