@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lshthemes.llm.exact_dedup import drop_exact_copies
 from lshthemes.llm.near_texts import keep_one_of_near_copies
@@ -17,7 +16,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the machine doesn't reject. It is trained on the labels of the tables, as the query is."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     machine = train_on(docs, labels)
-    return docs.withColumn("_toxicity", toxicity(machine)).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return docs.where(toxicity(machine) < THRESHOLD)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
