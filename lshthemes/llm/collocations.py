@@ -6,8 +6,8 @@ The longest grams, of three words, are the edges of the graph: each leads from i
    sends on is summed from the edges that leave it. Where a piece ends, the walk leaves over an edge without a word: that
    correction makes the outflow of a node the count of its two words, and the outflow of all nodes that begin with a word
    the count of that word. So no gram but the longest is ever counted.
-2. One shuffle by node adds up the blocks. The few nodes that hold more than a thousandth of all edges are spread by their
-   last word as well; a sample finds them, which decides nothing but where rows go. Frequent edges stay with their node.
+2. One shuffle by node adds up the blocks. The few nodes that hold more than one edge in ``HOT_SHARE`` are spread by
+   their last word as well; a sample finds them, which decides nothing but where rows go. Frequent edges stay with their node.
 3. Unary paths are compacted: a node all of whose flow comes by one edge and leaves by one edge joins the two. Its words
    occur only within the path, so it is no phrase of its own.
 4. Candidates look up the flow of their parts, and the best of each language are ranked from partial ranks.
@@ -22,6 +22,7 @@ settled by the phrase's bytes. An empty table gives no rows. Other columns are n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ TOP = 2_000
 #: Words numbered and counted together; one longer text is a block by itself.
 BLOCK_WORDS = 1 << 20
 #: One text in so many is looked at to find nodes that hold more than one edge in ``HOT_SHARE``.
-SAMPLE, HOT_SHARE = 64, 1_000
+SAMPLE, HOT_SHARE = 64, 20_000
 #: Candidates ranked by one task before ranks of a language are merged.
 RANKED_ROWS = 200_000
 _END = b"."
@@ -49,7 +50,7 @@ _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + _END * len(_PIECE_ENDS))
 #: Stands between a node and its language, in one column; no word has it.
 _KEY = "\t"
-_SCHEMA = "key string, tail string, n bigint, hot boolean"
+_SCHEMA = "key string, n bigint, tails string, hot boolean"
 
 
 class _Numbers(dict):
@@ -88,30 +89,39 @@ class _Walk:
 
 
 def _graph_rows(lang: str, walk: _Walk, hot: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Rows of a block: its edges, and the counts of words and of all of them, each under the key of a node."""
+    """Rows of a block: every node with what follows it, ``tail:count`` in a text (a count of 1 goes without saying), and the
+    counts of words and of all of them, each under its key. Of a hot node every tail has a row."""
     words, nodes, node, last, count = walk.edges()
     size = len(words)
     if not len(nodes):
         return
 
-    def rows(node: pa.Array, tail: pa.Array, n: np.ndarray, hot: pa.Array) -> Iterator[pa.RecordBatch]:
-        columns = [node, tail, pa.array(n, pa.int64()), hot]
-        yield from pa.table(columns, ["key", "tail", "n", "hot"]).to_batches(max_chunksize=1 << 16)
+    def rows(key: pa.Array, n: np.ndarray, tails: pa.Array, hot: bool) -> Iterator[pa.RecordBatch]:
+        columns = [pc.binary_join_element_wise(key, lang, _KEY), pa.array(n, pa.int64()), tails, pa.repeat(hot, len(key))]
+        yield from pa.table(columns, ["key", "n", "tails", "hot"]).to_batches(max_chunksize=1 << 16)
 
     outflow = np.bincount(node, weights=count).astype(np.int64)
     of_word = np.bincount(nodes // size, weights=outflow, minlength=size).astype(np.int64)
     of_word[0] = of_word.sum()  # in place of a piece's end: all words of the language
     names = pa.concat_arrays([pa.array([""]), words.slice(1)])
-    yield from rows(pc.binary_join_element_wise(names, lang, _KEY), pa.repeat("", size), of_word, pa.repeat(False, size))
+    yield from rows(names, of_word, pa.repeat("", size), False)
     whole = nodes % size > 0  # nodes of one word and a piece's end are told by their word already
     if not whole.any():
         return
-    pair = nodes[whole]
-    phrase = pc.binary_join_element_wise(words.take(pa.array(pair // size)), words.take(pa.array(pair % size)), " ")
-    here = whole[node]
-    place = pa.array((np.cumsum(whole) - 1)[node[here]])
-    key, flag = pc.binary_join_element_wise(phrase, lang, _KEY), pc.is_in(phrase, value_set=hot)
-    yield from rows(key.take(place), names.take(pa.array(last[here])), count[here], flag.take(place))
+    phrase = pc.binary_join_element_wise(words.take(pa.array(nodes // size)), names.take(pa.array(nodes % size)), " ")
+    spread = pc.is_in(phrase, value_set=hot).to_numpy(zero_copy_only=False) & whole
+    told = last > 0
+    tail = names.take(pa.array(last[told]))
+    many = pc.binary_join_element_wise(tail, pa.array(count[told]).cast(pa.string()), ":")
+    tail = pc.if_else(pa.array(count[told] > 1), many, tail)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(node[told], minlength=len(nodes)))))
+    tails = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail), " ")
+    plain = np.flatnonzero(whole & ~spread)
+    yield from rows(phrase.take(pa.array(plain)), outflow[plain], tails.take(pa.array(plain)), False)
+    if spread.any():
+        at = np.flatnonzero(spread[node])
+        one = pc.if_else(pa.array(told[at]), tail.take(pa.array(np.maximum(np.cumsum(told)[at] - 1, 0))), "")
+        yield from rows(phrase.take(pa.array(node[at])), count[at], one, True)
 
 
 def _count_blocks(docs: DataFrame, lang: str, text: str, hot: dict[str, list[str]], block: int) -> DataFrame:
@@ -155,58 +165,42 @@ def _node_and_lang() -> tuple[Column, Column]:
 
 
 class _Sums:
-    """Adds up rows that come sorted by key and tail. What the last key has so far is carried into the next batch, as sums."""
+    """Adds up rows that come sorted by key. Keys that occur too seldom go by in arrays; of the others, and of one that may
+    go on in the next batch, the tails are counted."""
 
     def __init__(self, min_count: int) -> None:
         self.min_count = min_count
         self.key: str | None = None
-        self.tail, self.n, self.flow = "", 0, 0
-        self.often: list[tuple[str, int]] = []
-
-    def _close_edge(self) -> None:
-        if self.n >= self.min_count and self.tail:
-            self.often.append((self.tail, self.n))
-        self.n = 0
+        self.flow, self.tails = 0, Counter()
 
     def close(self) -> list[tuple[str, int, list[tuple[str, int]]]]:
         if self.key is None:
             return []
-        self._close_edge()
-        out = [(self.key, self.flow, self.often)]
-        self.key, self.flow, self.often = None, 0, []
+        out = [(self.key, self.flow, [x for x in self.tails.items() if x[1] >= self.min_count])]
+        self.key, self.flow, self.tails = None, 0, Counter()
         return out
 
     def add(self, batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[tuple[str, int]]]]:
         """Keys that are done with this batch: those that occur often enough, or that only this task has a part of."""
-        key, tail, n, hot = batch.columns
+        key, n, tails, hot = batch.columns
         rows = batch.num_rows
-        fresh_key = np.ones(rows, dtype=bool)
-        fresh_key[1:] = pc.not_equal(key.slice(1), key.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
-        fresh_edge = fresh_key.copy()
-        fresh_edge[1:] |= pc.not_equal(tail.slice(1), tail.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
-        edge = np.flatnonzero(fresh_edge)
-        count = np.add.reduceat(n.to_numpy(), edge)
-        of_key = np.flatnonzero(fresh_key[edge])
-        flow = np.add.reduceat(count, of_key)
-        ends = np.append(of_key[1:], len(edge))
-        # the first key may go on from the batch before, and the last one into the next
-        wanted = (flow >= self.min_count) | hot.to_numpy(zero_copy_only=False)[edge[of_key]]
+        fresh = np.ones(rows, dtype=bool)
+        fresh[1:] = pc.not_equal(key.slice(1), key.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(fresh)
+        flow = np.add.reduceat(n.to_numpy(), starts)
+        wanted = (flow >= self.min_count) | hot.to_numpy(zero_copy_only=False)[starts]
         wanted[0] = wanted[-1] = True
+        ends = np.append(starts[1:], rows)
         for k in np.flatnonzero(wanted).tolist():
-            name = key[int(edge[of_key[k]])].as_py()
+            first, name = int(starts[k]), key[int(starts[k])].as_py()
             if name != self.key:
                 yield from self.close()
                 self.key = name
             self.flow += int(flow[k])
-            some = range(int(of_key[k]), int(ends[k]))
-            for j in some:
-                first, last = j == some[0], j == some[-1]
-                if first or last or count[j] >= self.min_count:
-                    ending = tail[int(edge[j])].as_py()
-                    if ending != self.tail or not self.n:
-                        self._close_edge()
-                        self.tail = ending
-                    self.n += int(count[j])
+            for line in tails.slice(first, int(ends[k]) - first).to_pylist():
+                for item in line.split(" ") if line else ():
+                    tail, _, count = item.partition(":")
+                    self.tails[tail] += int(count or 1)
 
 
 def _summed(rows: DataFrame, min_count: int) -> DataFrame:
@@ -238,8 +232,9 @@ def phrase_graph(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = _count_blocks(docs, lang, text, hot_nodes(docs, lang, text), block)
-    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("tail"), F.lit(parts))).otherwise(F.lit(-1)).cast("int")
-    dealt = counted.withColumn("spread", spread).repartition("key", "spread").drop("spread").sortWithinPartitions("key", "tail")
+    tail = F.substring_index("tails", ":", 1)
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64(tail), F.lit(parts))).otherwise(F.lit(-1)).cast("int")
+    dealt = counted.withColumn("spread", spread).repartition("key", "spread").drop("spread").sortWithinPartitions("key")
     kept = _stored(_summed(dealt, min_count), "phrase-nodes")
     node, language = _node_and_lang()
     # a hot node comes in parts
