@@ -52,6 +52,8 @@ REMEMBERED = 400_000
 ROUNDS = 4
 #: Units of a toxic document that are taken for what makes it toxic, and how much rarer than there they must be in clean ones.
 WITNESSES, RARER = 2, 4
+#: They must tell half as much as the document's most telling one.
+AS_TELLING = 0.5
 #: Units by whose margins a document is judged, and how far a margin counts.
 WORST, FAR = 3, 4.0
 #: Cost of a row on the wrong side of the machine's margin.
@@ -246,7 +248,7 @@ def _stems(unit: str) -> set[str]:
 
 def _telling_stems(bags: list[list[str]], toxic: np.ndarray, good: Counter, most: int) -> tuple[list[str], dict[str, float]]:
     """Parts of words by which toxic documents differ: one after the other, each telling of documents that those before
-    leave. Also the log-odds of all parts seen in several toxic documents."""
+    leave. Also how much each part seen in several toxic documents tells."""
     of_bag = [set().union(*map(_stems, bag)) if bag else set() for bag, x in zip(bags, toxic, strict=True) if x]
     seen = Counter(s for own in of_bag for s in own)
     clean = Counter()
@@ -282,7 +284,8 @@ def _telling_stems(bags: list[list[str]], toxic: np.ndarray, good: Counter, most
         # the word itself if one word has most of it, else what the words share
         word, n = max(holders.items(), key=lambda x: (x[1], x[0]))
         chosen.append(word if 2 * n >= sum(holders.values()) else stem.strip("^$"))
-    return list(dict.fromkeys(chosen)), odds
+    # log-odds from few documents say little
+    return list(dict.fromkeys(chosen)), {s: x * math.sqrt(min(seen[s], 16)) for s, x in odds.items()}
 
 
 def _unlike(units: list[str], chosen: list[str], most: int, alike: float = 0.85) -> list[str]:
@@ -313,6 +316,7 @@ def _machine(bags: list[list[str]], toxic: np.ndarray, landmarks: int, rounds: i
         for bag, x in zip(bags, toxic, strict=True)
         if x
     ]
+    suspects = [[u for u in bag if tell(u)[0] >= AS_TELLING * tell(bag[0])[0]] for bag in suspects]
     worst = [u for bag in suspects for u in bag[:WITNESSES]]
     common = [u for u, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(u) >= ORDER]
     chosen = stems + _unlike([u for u, _ in sorted(Counter(worst).items(), key=lambda x: (-x[1], x[0]))], stems, landmarks // 4)
