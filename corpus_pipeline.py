@@ -1,12 +1,18 @@
-"""A corpus run: from the documents table to token ids, stage by stage."""
+"""A corpus run: from the documents table to token ids, stage by stage.
+
+Every stage takes the rows its predecessor kept, with all their columns, and gives back those it keeps, unchanged; the last
+one gives digests. Null texts count as empty and rows with a null identifier are rows like others. Where a stage keeps one of
+several rows, its function says which. Texts of any length are read whole, and an empty table goes through empty. Columns
+of other names than ``doc_id`` and ``text`` are carried, whatever they are called.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lshthemes.llm.exact_dedup import drop_exact_copies
-from lshthemes.llm.near_texts import keep_one_of_near_copies
 from lshthemes.llm.queries import bpe_digests, held_out
+from lshthemes.llm.simhash import keep_one_of_each
 from lshthemes.llm.templates import drop_contaminated
 from lshthemes.llm.toxicity import THRESHOLD, toxicity, train_on
 from lshthemes.sources.scratch import scratch_path
@@ -25,9 +31,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest
-    identifier."""
-    return keep_one_of_near_copies(docs)
+    """One document of each group of near copies, the one with the smallest identifier: fingerprints of three-word shingles,
+    linked at three differing bits or fewer. Texts without words are near copies of one another."""
+    return keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
