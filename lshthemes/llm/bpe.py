@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ class PairIndexBpe:
     def learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of new chunks, over one index."""
         find, special = self.pattern.findall, self.special
-        split = [[] if c in special else find(c) for c in chunks]
+        # letters alone, or after one blank, are a piece by themselves
+        split = [[c] if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else [] if c in special else find(c) for c in chunks]
         pieces = list({p for s in split for p in s})
         ids = dict(zip(pieces, self.merge([p.encode() for p in pieces]), strict=True))
         return [
@@ -159,8 +161,8 @@ def _model(path: str, pattern: str) -> PairIndexBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def _tokens(path: str) -> list[bytes]:
-    return token_bytes(path)
+def _tokens(path: str) -> pa.Array:
+    return pa.array(token_bytes(path), pa.binary())
 
 
 #: Texts of one index at a time; bounds its memory where batches hold long texts.
@@ -199,6 +201,25 @@ def decode_ids(tokens: list[bytes], ids: bytes) -> str:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def decode_array(tokens: pa.Array, ids: pa.Array) -> pa.Array:
+    """The text of each row of ids. The bytes of all tokens of the rows, taken one after the other, are the texts laid end to
+    end; only rows that aren't UTF-8 as a whole are decoded one by one."""
+    ids = pc.fill_null(ids, b"")
+    _, ends, data = ids.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+    numbers = np.frombuffer(data, dtype="<u4")[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint32)
+    taken = tokens.take(pa.array(numbers))
+    places = np.frombuffer(taken.buffers()[1], dtype=np.int32) if len(taken) else np.zeros(1, dtype=np.int32)
+    bounds = np.ascontiguousarray(places[taken.offset + ends - ends[0]])
+    out = pa.StringArray.from_buffers(len(ids), pa.py_buffer(bounds), taken.buffers()[2] or pa.py_buffer(b""))
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        known = tokens.to_pylist()
+        return pa.array([decode_ids(known, i) for i in ids.to_pylist()], pa.string())
+    return out
+
+
 def decoder(path: str) -> Callable:
     """A function from ids as bytes to the text; null as no ids."""
 
@@ -207,7 +228,6 @@ def decoder(path: str) -> Callable:
         tokens = _tokens(path)
         for batch in batches:
             for first in range(0, len(batch), DECODED_ROWS):
-                part = batch.slice(first, DECODED_ROWS)
-                yield pa.array([decode_ids(tokens, i.as_py() or b"") for i in part], pa.string())
+                yield decode_array(tokens, batch.slice(first, DECODED_ROWS))
 
     return decode.asNondeterministic()

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Remembered chunks of one Python worker; forgetting them changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _RUN = re.compile(r"[ \n](?:\s|\Z)")
 _CUT = re.compile(r"([ \n](?=\S))")
 _MARKS = ".,!?;:"
@@ -62,7 +62,7 @@ class Remembered:
         if len(self.now) > self.limit // 2:
             self.old, self.now = self.now, {}
         new = self._want(set().union(*texts))
-        cores = {chunk: _core(chunk) for chunk in new}
+        cores = {chunk: chunk if chunk[-1:].isalpha() else _core(chunk) for chunk in new}
         parts = {part for chunk, core in cores.items() for part in (core, chunk[len(core) :])}
         unknown = self._want(parts)
         self.now.update(zip(unknown, self.encode(unknown), strict=True))
