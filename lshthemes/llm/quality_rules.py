@@ -91,9 +91,13 @@ def fails(n_words: int, n_repeat_words: int) -> bool:
 
 def token_buckets(word: bytes) -> np.ndarray:
     """Features of a word: itself and its character n-grams."""
-    marked = f"<{word.decode()}>"
-    grams = [marked[k : k + n].encode() for n in CHAR_GRAMS for k in range(len(marked) - n + 1)]
-    return np.array([zlib.crc32(g) % BUCKETS for g in [b"word " + word, *grams]], dtype=np.int64)
+    if word.isascii():
+        marked = b"<" + word + b">"
+        grams = [marked[k : k + n] for n in CHAR_GRAMS for k in range(len(marked) - n + 1)]
+    else:
+        letters = f"<{word.decode()}>"
+        grams = [letters[k : k + n].encode() for n in CHAR_GRAMS for k in range(len(letters) - n + 1)]
+    return np.array([zlib.crc32(b"word " + word), *map(zlib.crc32, grams)], dtype=np.int64) % BUCKETS
 
 
 def _pair_buckets(numbers: np.ndarray) -> np.ndarray:
@@ -152,10 +156,10 @@ class Scorer:
 
 def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean logistic loss with penalty and its gradient; the last weight is the bias and goes free."""
-    margin = x @ w[:-1] + w[-1]
+    margin = (x @ w[:-1].astype(np.float32)).astype(np.float64) + w[-1]
     loss = np.logaddexp(0, -y * margin).mean() + 0.5 * PENALTY * (w[:-1] @ w[:-1])
     pull = -y / (1 + np.exp(np.clip(y * margin, -50, 50))) / len(y)
-    return float(loss), np.append(x.T @ pull + PENALTY * w[:-1], pull.sum())
+    return float(loss), np.append((pull.astype(np.float32) @ x).astype(np.float64) + PENALTY * w[:-1], pull.sum())
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 60, memory: int = 8) -> np.ndarray:
@@ -219,7 +223,7 @@ def train(x: np.ndarray, good: np.ndarray) -> Model:
     for k in range(FOLDS):
         learn = part != k
         w = fit(x[learn], y[learn])
-        unseen[~learn] = x[~learn] @ w[:-1] + w[-1]
+        unseen[~learn] = x[~learn] @ w[:-1].astype(np.float32) + w[-1]
     w = fit(x, y)
     slope, shift = _calibrate(unseen, y)
     return Model(w[:-1].astype(np.float32), float(w[-1]), slope, shift)
@@ -248,8 +252,10 @@ def train_on(
     known = labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(train_rows)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
-    first = rows.orderBy("id", "label", F.xxhash64("text")).limit(train_rows)
-    counted = first.select((F.col("label") == 1).alias("good"), _feature_rows("text").alias("x")).where("x IS NOT NULL").collect()
+    # features are counted where the rows are, before the few that count are brought together
+    found = rows.select("id", "label", F.xxhash64("text").alias("mark"), _feature_rows("text").alias("x"))
+    first = found.orderBy("id", "label", "mark").limit(train_rows)
+    counted = first.select((F.col("label") == 1).alias("good"), "x").where("x IS NOT NULL").collect()
     if not counted:
         return Model()
     tool = zstandard.ZstdDecompressor()
