@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lshthemes.llm import simhash, suffix_index, templates, warc
 from lshthemes.llm.components import components
@@ -242,3 +243,12 @@ def test_archives_give_back_every_page(spark):
             assert (r["payload_bytes"], r["payload_digest"]) == (len(data), warc.digest(data))
             assert r["payload"] == (data if kind == "response" else None)
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0), scratch_path(spark, "w"))).count() == 0
+
+
+def test_ranges_are_read_by_a_task_each(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    archives = warc.write_warc(pages, scratch_path(spark, "w"))
+    split = 16 << 10
+    ranges = sum(-(-r["bytes"] // split) for r in archives.collect())
+    used = warc.read_warc(spark, archives, split).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert ranges >= 8 and used >= 0.8 * ranges
