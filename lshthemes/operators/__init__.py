@@ -29,7 +29,7 @@ from lshthemes.operators.labels import (
     similar_labels,
     theme_labels,
 )
-from lshthemes.operators.maps import map_density, map_points, principal_axes, probe_classes
+from lshthemes.operators.maps import density_of_tiles, map_density, map_points, map_tiles, principal_axes, probe_classes
 from lshthemes.operators.models import (
     ModelIndex,
     build_metadata,
@@ -73,6 +73,7 @@ __all__ = [
     "corpus_profile",
     "dangling_entries",
     "dense_buckets",
+    "density_of_tiles",
     "density_search",
     "density_stats",
     "documents_by_id",
@@ -88,6 +89,7 @@ __all__ = [
     "lsh_search",
     "map_density",
     "map_points",
+    "map_tiles",
     "map_report",
     "merge_themes",
     "model_info",

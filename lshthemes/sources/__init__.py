@@ -10,7 +10,8 @@ from lshthemes.sources.corpora import (
     load_corpus,
     shape_of,
 )
-from lshthemes.sources.indexes import merge_indexes, read_index, write_index
+from lshthemes.sources.indexes import merge_indexes, read_index, write_index, write_partitions
+from lshthemes.sources.manifest import read_manifest, write_manifest
 from lshthemes.sources.scratch import scratch_path
 from lshthemes.sources.tables import read_map_points, read_metadata, write_metadata
 
@@ -24,10 +25,13 @@ __all__ = [
     "load_corpus",
     "merge_indexes",
     "read_index",
+    "read_manifest",
     "read_map_points",
     "read_metadata",
     "scratch_path",
     "shape_of",
     "write_index",
+    "write_manifest",
     "write_metadata",
+    "write_partitions",
 ]
