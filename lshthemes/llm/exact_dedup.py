@@ -7,7 +7,7 @@ a hash of the identifier; the first rows of the cuts are then brought together.
 
 Edge cases: a null text counts as empty, and all empty texts are one group. A null identifier sorts after all others.
 Rows repeated with their identifier form a group too; exactly one row of a group stays. No rows in, no rows out.
-Other columns may have any name: they travel inside one struct.
+A very long text is one row, held and compared whole by the task that sorts it. Other columns may have any name: they travel inside one struct.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ reach the driver. Ties at the last key are settled by the identifier within that
 Edge cases: a null or empty text has no n-grams and the weight of a text that is as likely under both models (log weight
 0). Null identifiers take part as one more identifier; repeated rows are drawn as one, so they may exceed ``k`` by their
 repeats. Without target documents both models are uniform in what they add, and all weights come from the raw text
-alone. Other columns are not read.
+alone. Texts of any length are weighed whole, one at a time. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

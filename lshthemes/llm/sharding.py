@@ -5,7 +5,7 @@ The generator of the paper multiplies modulo 2**64. SQL's multiplication raises
 together from parts that fit.
 
 Edge cases: a null key hashes as 0; rows with equal keys share a shard and get slots of their own; a null text has no
-bytes. No rows in, no rows out. Other columns are not read.
+bytes. No rows in, no rows out. Of a text of any length only size and checksum are looked at. Other columns are not read.
 """
 
 from __future__ import annotations

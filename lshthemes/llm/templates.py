@@ -12,7 +12,8 @@ A document holds an item when matching windows cover ``SHARE`` of the item's win
 
 Edge cases: null and empty texts have no windows. Items with fewer words than a window tell too little and are never
 found; of an item with fewer than three plain words, windows of placeholders alone match only as plain words. Rows are told apart by identifier and a hash of the text, items too: rows with both alike are one, and rows without an
-identifier, or with one identifier and different texts, are looked at one by one. Empty tables give no hits. Other columns are not read.
+identifier, or with one identifier and different texts, are looked at one by one. Empty tables give no hits. Texts of
+any length are cut whole, and rows that come back keep all their columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ the ids in 2 bytes each if the vocabulary allows, else 4. Files hold documents i
 file per range; the index is a table ``(file, part, id, offset, bytes, n_tokens)``.
 
 Edge cases: null and empty texts give the end id alone. Null identifiers come first, equal ones are ordered by text.
-An empty table gives an empty index.
+An empty table gives an empty index. A text of any length is one record. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Edge cases: a null page has an empty payload, and empty payloads are equal ones.
 control characters in it are percent-encoded. Of equal payloads the row with the largest identifier is the response
 (null identifiers count as smallest; rows repeated with
 that identifier are responses too). Other columns are not stored. An empty
-table gives no archive and reads back as no rows.
+table gives no archive and reads back as no rows. A very long page is one record, held whole by the task that writes or
+reads it, a few times over.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lshthemes.llm.files import create, new_part, open_random
