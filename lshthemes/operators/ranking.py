@@ -314,11 +314,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.R
 
 
 def _read_block(folder: str, number: int) -> tuple | None:
-    """One block of queries, as every task needs it."""
+    """One block of queries, as every task needs it; none where the block is empty."""
     where, path = locate(f"{folder}/_block={number}")
     listed = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
     names = sorted(f.path for f in listed if f.path.endswith(".parquet"))
-    rows = [r for name in names for r in pq.ParquetFile(where.open_input_file(name)).read().to_pylist()]
+    rows = []
+    for name in names:
+        with where.open_input_file(name) as file:
+            rows += pq.read_table(file).to_pylist()
     return packed_queries(rows) if rows else None
 
 

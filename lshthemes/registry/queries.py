@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lshthemes.functions.encoders import TokenHashEncoder, encode
+from lshthemes.functions.encoders import TokenHashEncoder
 from lshthemes.functions.hashing import hash_vectors, hyperplanes, probe_buckets, with_buckets
 from lshthemes.functions.text import label_tokens
 from lshthemes.functions.vectors import cosine, project
