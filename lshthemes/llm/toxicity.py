@@ -430,11 +430,10 @@ def train_on(
 
 def toxicity(machine: Machine, text: str = "text") -> Column:
     """The probability that a text is toxic."""
-    parts = (list(machine.landmarks), machine.weights, machine.bias, machine.slopes, machine.shift, machine.usual)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(Machine(*parts))
+        scorer = Scorer(machine)  # comes with its table folded to one column; no task builds that of all landmarks
         for batch in batches:
             for block in blocks((t.as_py() for t in batch), BLOCK_CHARS):
                 yield pa.array(scorer.probabilities(block), pa.float64())
