@@ -688,8 +688,9 @@ def probe_classes(spark, sf_dir):
 
 def _vector_stream(spark, sf_dir) -> DataFrame:
     schema = t.table(spark, sf_dir, "embeddings").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
-    return files.parquet(sf_dir).select(F.col("vec_id").alias("row_id"), "embedding")
+    # As a pattern, the path may be a file or a folder of files; a stream takes a plain path for a folder.
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.[p]arquet")
+    return files.select(F.col("vec_id").alias("row_id"), "embedding")
 
 
 @_query

@@ -27,3 +27,10 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry_runs(spark):
     rows = entry.entry(spark).collect()
     assert [(r["bucket_id"], r["count"]) for r in rows][:3] == [(28, 7), (159, 7), (24, 6)]
+
+
+@pytest.mark.parametrize("name", ["streamed_index", "stream_counts"])
+def test_stream_reads_a_table_of_many_files(spark, tmp_path, name):
+    spark.read.parquet(f"{SF001}/embeddings.parquet").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = rows_of(entry.queries()[name](spark, str(tmp_path)).toPandas())
+    assert got == rows_of(entry.queries()[name](spark, SF001).toPandas())
