@@ -126,34 +126,66 @@ def label_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _classes(tokens: DataFrame) -> DataFrame:
+    """Labels ``(label, tokens)`` with their ``common`` tokens, which other labels have too, and how many are ``lonely``.
+
+    A lonely token is shared with no label and counts in the size only, so labels with the same common tokens and as many
+    lonely ones are a class: each is as much like any label outside as the others are.
+    """
+    words = tokens.select("label", F.explode("tokens").alias("token"))
+    uses = words.groupBy("token").agg(F.count(F.lit(1)).alias("uses"), F.min("label").alias("label"))
+    lonely = uses.where("uses = 1").groupBy("label").agg(F.collect_list("token").alias("lonely"))
+    of_label = F.coalesce("lonely", F.array().cast("array<string>"))
+    return (
+        tokens.join(lonely, "label", "left")
+        .withColumn("common", F.array_sort(F.array_except("tokens", of_label)))
+        .withColumn("lonely", F.size("tokens") - F.size("common"))
+    )
+
+
+def _class_key() -> Column:
+    return F.concat_ws(" ", F.array_join("common", " "), F.col("lonely").cast("string"))
+
+
+def _own_likeness() -> Column:
+    """How much two labels of a class are alike."""
+    n = F.size("common")
+    return F.when(n > 0, n / (n + 2 * F.col("lonely"))).otherwise(F.lit(0.0))
+
+
 def _join_keys(tokens: DataFrame, threshold: float) -> DataFrame:
     """Keys at least one of which two labels share if their similarity reaches ``threshold``.
 
     Prefix filtering by size: labels of ``a`` and ``b`` tokens must share ``t / (1 + t) * (a + b)`` of them,
-    so it is enough to compare all but that many, less one, of each, the rarest first. Common tokens are
-    keys only between sizes where sharing them alone makes two labels similar. ``pos`` is the token's place
-    and ``needed`` how many the two must share.
+    so it is enough to compare all but that many, less one, of each, the rarest first; lonely tokens go before all others
+    and are no keys. Common tokens are keys only between sizes where sharing them alone makes two labels similar. ``pos``
+    is the token's place and ``needed`` how many the two must share. The ``label`` may stand for a class of them;
+    then ``tokens`` are the common ones and a column tells how many are ``lonely``.
     """
+    if "lonely" not in tokens.columns:
+        tokens = tokens.withColumn("lonely", F.lit(0))
     words = tokens.select("label", F.explode("tokens").alias("token"))
     rarity = words.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     ordered = (
         words.join(rarity, "token")
         .groupBy("label")
         .agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("rare"))
-        .withColumn("own", F.size("rare"))
+        .join(tokens.select("label", "lonely"), "label")
+        .withColumn("own", F.size("rare") + F.col("lonely"))
     )
     t = F.lit(float(threshold))
     sizes = F.sequence(
         F.ceil(t * F.col("own") - 1e-9).cast("int"), F.floor(F.col("own") / t + 1e-9).cast("int")
     )
-    longest = tokens.agg(F.max(F.size("tokens"))).scalar()
+    longest = tokens.agg(F.max(F.size("tokens") + F.col("lonely"))).scalar()
     needed = F.greatest(F.ceil(t / (1 + t) * (F.col("own") + F.col("other")) - 1e-9), F.lit(1))
-    prefix = F.slice("rare", F.lit(1), F.greatest(F.col("own") - needed + 1, F.lit(0)).cast("int"))
+    prefix = F.slice("rare", F.lit(1), F.greatest(F.col("own") - needed + 1 - F.col("lonely"), F.lit(0)).cast("int"))
+    of_label = F.transform("rare", lambda r: r["token"])
     return (
         ordered.withColumn("other", F.explode(sizes))
         .where(F.col("other").between(1, longest))
-        .select("label", "own", "other", needed.cast("int").alias("needed"), F.posexplode(prefix).alias("pos", "rare"))
-        .select("label", "own", "other", "needed", "pos", F.col("rare.token").alias("token"))
+        .select("label", "own", "other", "lonely", needed.cast("int").alias("needed"), of_label.alias("tokens"), F.posexplode(prefix).alias("pos", "rare"))
+        .select("label", "own", "other", "needed", "tokens", (F.col("pos") + F.col("lonely")).alias("pos"), F.col("rare.token").alias("token"))
     )
 
 
@@ -172,12 +204,16 @@ def _blocked(keys: DataFrame, hot_rows: int) -> DataFrame:
     return with_blocks(met, hot_keys(sizes, group, hot_rows), group).withColumn("block", own_block("label"))
 
 
+def _shared_over_all(a: str, b: str) -> Column:
+    shared = F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens"))
+    return shared / (F.col(f"{a}.own") + F.col(f"{b}.own") - shared)
+
+
 def _alike(a: str, b: str, threshold: float) -> Column:
     """Whether rows of one key are similar. Counting from the place of the first token they share, the shorter rest bounds
     what they can share at all; that token brings every similar pair together."""
     rest = lambda side: F.col(f"{side}.own") - F.col(f"{side}.pos")
-    same = jaccard(label_tokens(F.col(f"{a}.label")), label_tokens(F.col(f"{b}.label")))
-    return (F.least(rest(a), rest(b)) >= F.col(f"{a}.needed")) & (same >= threshold)
+    return (F.least(rest(a), rest(b)) >= F.col(f"{a}.needed")) & (_shared_over_all(a, b) >= threshold)
 
 
 def _on_key(a: str, b: str, *also: str) -> Column:
@@ -191,21 +227,39 @@ def similar_labels(labels: DataFrame, threshold: float = 0.5, hot_rows: int = HO
     """Pairs of different labels whose token sets are at least ``threshold`` alike, each pair once.
 
     The threshold must be above 0; at 0 every label is like every other, which no list of pairs should
-    spell out. A token that very many labels share is compared block by block, from ``hot_rows`` on.
+    spell out. Classes of labels are compared in place of labels, and pairs of them spelt out at the end. A token that
+    very many classes share is compared block by block, from ``hot_rows`` on.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
-    tokens = labels.select("label").distinct().withColumn("tokens", label_tokens("label"))
-    keys = _blocked(_settle(_join_keys(tokens, threshold), "label-keys"), hot_rows)
+    tokens = labels.select("label").distinct().withColumn("tokens", label_tokens("label")).where(F.size("tokens") > 0)
+    members = _settle(_classes(tokens).select("label", "common", "lonely", _class_key().alias("class")), "labels")
+    sizes = members.groupBy("class").agg(F.first("common").alias("common"), F.first("lonely").alias("lonely"), F.count(F.lit(1)).alias("size"))
+    classes = _settle(sizes, "label-classes")
+    keys = _blocked(_settle(_join_keys(classes.withColumnsRenamed({"class": "label", "common": "tokens"}), threshold), "label-keys"), hot_rows)
     a = keys.withColumn("there", every_block()).alias("a")
     b = keys.withColumnRenamed("block", "there").withColumn("block", every_block()).alias("b")
     in_order = F.col("a.label") < F.col("b.label")
-    pairs = (
+    unlike = (
         a.join(b, _on_key("a", "b", "block", "there") & in_order & _alike("a", "b", threshold))
-        .select(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"))
+        .select(F.col("a.label").alias("class_a"), F.col("b.label").alias("class_b"), _shared_over_all("a", "b").alias("jaccard"))
         .distinct()
     )
-    return pairs.withColumn("jaccard", jaccard(label_tokens("label_a"), label_tokens("label_b")))
+    within = classes.where(F.col("size") > 1).select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), _own_likeness().alias("jaccard"))
+    pairs = unlike.unionByName(within.where(F.col("jaccard") >= threshold))
+    hot = hot_keys(classes, ("class",), hot_rows)
+    blocks = with_blocks(members, hot, ("class",)).groupBy("class", own_block("label").alias("block")).agg(F.collect_list("label").alias("labels"))
+    blocks = _settle(blocks, "label-blocks")
+    for side in "ab":
+        pairs = pairs.join(blocks.toDF(f"class_{side}", f"block_{side}", f"labels_{side}"), f"class_{side}")
+    apart = F.col("class_a") != F.col("class_b")
+    told = (
+        pairs.repartition("class_a", "block_a", "class_b", "block_b")
+        .select(apart.alias("apart"), "jaccard", "labels_b", F.explode("labels_a").alias("one"))
+        .select("apart", "jaccard", "one", F.explode("labels_b").alias("two"))
+        .where(F.col("apart") | (F.col("one") < F.col("two")))
+    )
+    return told.select(F.least("one", "two").alias("label_a"), F.greatest("one", "two").alias("label_b"), "jaccard")
 
 
 def _fold(ranked: DataFrame, threshold: float) -> DataFrame:
@@ -239,7 +293,9 @@ def _grouping_by_rounds(ranked: DataFrame, threshold: float, window: int, hot_ro
     In a round every open label leads that is like no open label before it; those like a leader are open no more. The
     first open label always leads, and unlike labels all lead in the first round. Of a key that many labels share, the
     first ``window`` are compared in a round, and a label beyond them waits; so no round spells out the pairs of a dense
-    group. Labels with the same tokens go through the rounds as one. In the end each label joins the first leader it
+    group. The window doubles with each round, up to ``GROUP_WINDOW``, so that rounds stay few. Labels with the same tokens
+    go through the rounds as one, and so does a class of labels that are like one another: all are like the same leaders,
+    or the first of them leads the others. In the end each label joins the first leader it
     is like. Labels never come to the driver, and every round is written out, so a lost executor repeats one.
     """
     spark = ranked.sparkSession
@@ -247,9 +303,13 @@ def _grouping_by_rounds(ranked: DataFrame, threshold: float, window: int, hot_ro
     rows = _settle(ranked.select("label", "rank", F.sort_array(label_tokens("label")).alias("tokens")), "labels")
     sets = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min(place).alias("first"))
     sets = _settle(sets.select("tokens", "first.rank", "first.label"), "label-sets")
-    keys = _settle(_join_keys(sets.select("label", "tokens"), threshold), "label-keys")
+    node = F.when(_own_likeness() >= threshold, F.concat(F.lit("="), _class_key())).otherwise(F.concat(F.lit(":"), "label"))
+    sets = _settle(_classes(sets).withColumn("node", node), "label-classes")
+    nodes = sets.groupBy("node").agg(F.min(place).alias("first"), F.first("common").alias("common"), F.first("lonely").alias("lonely"))
+    nodes = _settle(nodes.select("node", "common", "lonely", "first.rank", "first.label"), "label-nodes")
+    keys = _settle(_join_keys(nodes.withColumnRenamed("common", "tokens"), threshold), "label-keys")
     of_label = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n_keys"))
-    about = sets.select("label", "rank").join(of_label, "label")
+    about = nodes.select("label", "rank").join(of_label, "label")
     keys = _settle(_blocked(keys, hot_rows).join(about, "label"), "label-keys")
     leaders_path, still_open = scratch_path(spark, "label-leaders"), keys
     in_key = Window.partitionBy("token", "lo", "hi").orderBy("rank", "label")
@@ -273,6 +333,7 @@ def _grouping_by_rounds(ranked: DataFrame, threshold: float, window: int, hot_ro
         still_open = _settle(still_open.join(leaders.unionByName(members), "label", "left_anti"), "labels-open")
         if still_open.isEmpty():
             break
+        window = max(window, min(2 * window, GROUP_WINDOW))
     leaders = spark.read.schema("label string").parquet(leaders_path)
     leading = keys.join(leaders, "label", "left_semi").withColumn("block", every_block())
     first_alike = (
@@ -282,7 +343,8 @@ def _grouping_by_rounds(ranked: DataFrame, threshold: float, window: int, hot_ro
         .groupBy(F.col("a.label").alias("label"))
         .agg(F.min(F.struct("b.rank", "b.label")).alias("lead"))
     )
-    of_set = sets.join(first_alike, "label", "left").select("tokens", F.coalesce("lead.label", "label").alias("leader"))
+    of_node = nodes.join(first_alike, "label", "left").select("node", F.coalesce("lead.label", "label").alias("leader"))
+    of_set = sets.select("tokens", "node").join(of_node, "node")
     alike = F.lit(threshold <= 1)  # beyond 1 not even equal token sets are alike
     return rows.join(of_set, "tokens", "left").select("label", F.when(alike, F.coalesce("leader", "label")).otherwise(F.col("label")).alias("leader"))
 

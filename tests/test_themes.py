@@ -105,6 +105,43 @@ def test_similar_labels_with_a_token_in_every_label(spark):
         assert {(r[0], r[1]) for r in got.collect()} == want and got.count() == len(want)
 
 
+def addresses(n=140):
+    """Labels that differ from many others by a word of their own, or by one that only another has."""
+    rng = random.Random(5)
+    words = lambda i: rng.sample("a b c d e f".split(), rng.randint(1, 4)) + [f"n{i - i % 2 if i % 10 < 2 else i}"] * (i % 7 > 0)
+    return list(dict.fromkeys(" ".join(words(i)) for i in range(n))) + ["u v", "v u", "v + u"]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 1.0])
+def test_classes_of_labels_are_grouped_and_paired_as_labels_are(spark, threshold):
+    labels = addresses()
+    for how in ({"block": 2}, {"block": 1000, "hot_rows": 1}):
+        assert dict(map(tuple, group_labels(ranked(spark, labels), threshold, small=False, **how).collect())) == greedy(labels, threshold)
+    want = {(a, b): alike(a, b) for a in labels for b in labels if a < b and alike(a, b) >= threshold}
+    for hot_rows in (1, 1_000):
+        got = similar_labels(ranked(spark, labels), threshold, hot_rows).collect()
+        assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == pytest.approx(want)
+
+
+def test_labels_with_a_word_of_their_own_are_compared_by_class(spark, monkeypatch):
+    """Two classes of 400 labels have a handful of keys, not some for each label, and are grouped in one round."""
+    from lshthemes.operators import labels as labels_op
+
+    kept, settle = {}, labels_op._settle
+
+    def keep(df, purpose):
+        kept.setdefault(purpose, []).append(settle(df, purpose))
+        return kept[purpose][-1]
+
+    monkeypatch.setattr(labels_op, "_settle", keep)
+    labels = ranked(spark, [f"{'x' if i % 2 else 'y'} a b c d e n{i}" for i in range(800)])
+    assert similar_labels(labels, 0.55).count() == 800 * 799 // 2
+    assert kept["label-keys"][0].count() < 50
+    kept.clear()
+    assert group_labels(labels, 0.55, small=False, block=8).select("leader").distinct().count() == 1
+    assert kept["label-keys"][0].count() < 50 and len(kept["label-window"]) == 1
+
+
 def test_grouping_in_one_row_is_bounded(spark):
     with pytest.raises(Exception, match="too many labels"):
         group_labels(ranked(spark, [f"w{i}" for i in range(300)]), 0.5, small=True).collect()
