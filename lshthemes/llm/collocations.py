@@ -120,7 +120,8 @@ def _graph_rows(lang: str, walk: _Walk, hot: pa.Array) -> Iterator[pa.RecordBatc
     yield from rows(phrase.take(pa.array(plain)), outflow[plain], tails.take(pa.array(plain)), False)
     if spread.any():
         at = np.flatnonzero(spread[node])
-        one = pc.if_else(pa.array(told[at]), tail.take(pa.array(np.maximum(np.cumsum(told)[at] - 1, 0))), "")
+        place = np.where(told, np.cumsum(told) - 1, len(tail))[at]
+        one = pa.concat_arrays([tail, pa.array([""])]).take(pa.array(place))
         yield from rows(phrase.take(pa.array(node[at])), count[at], one, True)
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lshthemes.llm import collocations, quality_rules, queries, spelling
@@ -257,3 +258,13 @@ def test_scores_pass_64_bits(spark):
 def test_phrases_of_nothing(spark):
     assert collocations.collocations(phrase_rows(spark, [("en", None)])).count() == 0
     assert collocations.collocations(phrase_rows(spark, [("en", "x")]).limit(0)).count() == 0
+
+
+def test_a_hot_node_that_no_word_follows():
+    """The piece ends after each of its occurrences, so the block has no word to tell of."""
+    from lshthemes.llm.collocations import _graph_rows, _Walk
+
+    walk = _Walk()
+    walk.read("a b. a b")
+    rows = [r for batch in _graph_rows("en", walk, pa.array(["a b"])) for r in batch.to_pylist()]
+    assert [(r["n"], r["tails"]) for r in rows if r["hot"]] == [(2, "")]
