@@ -33,8 +33,8 @@ class _Slots(dict):
 class TokenHashEncoder:
     """Signed bag of hashed words. The sums stay whole numbers, so every engine agrees on them."""
 
-    # Words remembered in one task.
-    MAX_WORDS = 1 << 20
+    # Words remembered in one task; forgetting them changes no vector.
+    MAX_WORDS = 1 << 16
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -53,6 +53,10 @@ class TokenHashEncoder:
         return out
 
 
+# Texts that are Python strings at a time.
+ROWS = 512
+
+
 def _vectors(texts: pa.Array, encoder) -> pa.Array:
     matrix = encoder.encode([t or "" for t in texts.to_pylist()])
     offsets = np.arange(0, matrix.size + 1, encoder.dim, dtype=np.int32)
@@ -64,6 +68,8 @@ def encode(df: DataFrame, text_col: str, encoder, out: str = "embedding") -> Dat
 
     @F.arrow_udf("array<float>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from map(partial(_vectors, encoder=encoder), batches)
+        for batch in batches:
+            parts = (batch.slice(first, ROWS) for first in range(0, len(batch), ROWS))
+            yield from map(partial(_vectors, encoder=encoder), parts)
 
     return df.withColumn(out, evaluated_once(encoded)(text_col))
