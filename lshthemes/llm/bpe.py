@@ -231,3 +231,20 @@ def decoder(path: str) -> Callable:
                 yield decode_array(tokens, batch.slice(first, DECODED_ROWS))
 
     return decode.asNondeterministic()
+
+
+def round_trip(path: str, pattern: str) -> Callable:
+    """A function from a text column to its ``ids`` as bytes and the text ``decoded`` from them, in one pass: of two
+    functions in a row each would have a Python process for every task."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, tokens = _model(path, pattern), _tokens(path)
+        for batch in batches:
+            for block in blocks((t.as_py() for t in batch), INDEX_CHARS):
+                encoded = pa.array(model.encode(block), pa.binary())
+                for first in range(0, len(encoded), DECODED_ROWS):
+                    ids = encoded.slice(first, DECODED_ROWS)
+                    yield pa.StructArray.from_arrays([ids, decode_array(tokens, ids)], names=["ids", "decoded"])
+
+    return there_and_back.asNondeterministic()

@@ -45,3 +45,13 @@ def test_digests_of_nulls_and_empty_texts(docs):
     assert [r["n_tokens"] for r in rows] == [0, 0, 2, 2] and rows[0]["ids_sha256"] == rows[1]["ids_sha256"]
     assert rows[2]["decoded_sha256"] == rows[3]["decoded_sha256"]
     assert bpe_digests(docs([]).limit(0)).count() == 0
+
+
+def test_digests_need_one_python_process_for_each_task(docs, library):
+    texts = ["".join(PARTS), "x y", None, "<|endoftext|>", "你🙂"] * 300
+    got = bpe_digests(docs(texts))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = {r["doc_id"]: r for r in got.collect()}
+    for k, text in enumerate(texts[:5]):
+        assert rows[k]["n_tokens"] == len(library.encode(text or "", add_special_tokens=False).ids)
+    assert len(rows) == len(texts) and rows[0]["decoded_sha256"] == rows[5]["decoded_sha256"]
