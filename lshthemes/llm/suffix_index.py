@@ -10,15 +10,18 @@ owners agree can share a string:
 1. Runs travel as numbers: hash of the owner, hash of the run's bytes, document (identifier and hash of the text), place. A block of texts keeps the first
    of its equal runs, so a passage that very many documents share leaves each block once. Sorted by owner, a run that
    equals an earlier one repeats as a whole; a run alone with its owner repeats nothing.
-2. What is left are owners with different runs, mostly at the ends of passages. Their first runs fetch their bytes and
-   meet by owner. A task takes them in document order, batch by batch. A batch gets a suffix array, cut at 100 bytes;
-   it is scanned along the levels before it for equal strings; its new strings become a level, and levels of one size
-   class merge into one of the next. So a string is merged as often as the logarithm of the strings, and every batch is
-   compared with all before it.
-   A task takes its owners share by share, so what an index family holds doesn't grow with the texts. The strings of an
-   owner with very many runs (the gram at the edge of a passage that many documents share) don't meet by owner: each
-   travels singly, as a number of 128 bits, and settles like a run of step 1.
-3. Spans of each document come together and are cut out.
+2. What is left are owners with different runs, mostly at the ends of passages. Each of their first runs, whether its owner
+   has few or many, is dealt in blocks: strings in which the owner stands at one of 8 neighbouring places. The strings of a
+   block have 93 bytes in common, its core, so only blocks with equal cores can share a string. Blocks settle by the hash of
+   the core as runs do by their owner; at most 10 rows come of a run (5 on average), however many runs its owner has.
+3. Blocks still open, of one core and different, fetch their bytes and meet by core. A task takes them in document order,
+   batch by batch. A batch gets a suffix array, cut at 100 bytes; it is scanned along the levels before it for equal
+   strings; its new strings become a level, and levels of one size class merge into one of the next. So a string is merged
+   as often as the logarithm of the strings, and every batch is compared with all before it.
+   A task takes its cores share by share, so what an index family holds doesn't grow with the texts. The strings of a core
+   with very many blocks (a passage that as many documents share, with other bytes next to it in each) don't meet by core:
+   each of them, 8 of a block at most, travels singly, as a number of 128 bits, and settles like a run of step 1.
+4. Spans of each document come together and are cut out.
 
 Edge cases: a null text is an empty one, and texts of less than 100 bytes lose nothing. Null identifiers go before all
 others. Rows repeated with identifier and text are one document; rows with one identifier and different texts are
@@ -46,14 +49,19 @@ OWNED = LENGTH - GRAM + 1  # grams of a string
 #: Characters of texts whose runs are looked at together, and strings of a batch of the index family.
 BLOCK_CHARS = 1_000_000
 BATCH_STRINGS = 4_096
-#: Open runs from which on an owner's strings are dealt singly, and open runs that one index family holds, about.
-HOT_RUNS = 1_000
+#: Places of the owner in the strings of a block.
+BLOCK = 8
+#: Open blocks from which on a core's strings are dealt singly, and open blocks that one index family holds, about. A block
+#: has at most ``BLOCK`` strings.
+HOT_RUNS = 8_000
 SHARE_RUNS = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 _LETTERS = np.random.RandomState(5).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A place: the start, and in 7 bits the number of strings.
+#: A place: the start, in 7 bits how far on the owner stands, and in 7 bits the number of strings.
 _COUNT_BITS = 7
+_START_BITS = 2 * _COUNT_BITS
+_COUNT = (1 << _COUNT_BITS) - 1
 NO_ID = -(1 << 63)
 
 
@@ -72,7 +80,8 @@ def _join(h: np.ndarray, size: int, other: np.ndarray | None = None, step: int |
 
 
 def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end, all at least ``LENGTH`` long: ``(text, start, strings, owner hash, run hash)``."""
+    """Of texts laid end to end, all at least ``LENGTH`` long: ``(text, start, bytes from there to the owner, strings,
+    owner hash, run hash)``."""
     h8 = _LETTERS[data]
     for size in (1, 2, 4):
         h8 = _join(h8, size)
@@ -98,7 +107,7 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     first, count = first[kept], count[kept]
     text = np.searchsorted(starts, first, side="right") - 1
     run = _mix(_mix(whole[first], whole[first + count - 1]), count.astype(np.uint64))
-    return text, first - starts[text], count, gram[owner[first]].view(np.int64), run.view(np.int64)
+    return text, first - starts[text], owner[first] - first, count, gram[owner[first]].view(np.int64), run.view(np.int64)
 
 
 def _first_of_equal(g: np.ndarray, r: np.ndarray, d: np.ndarray, t: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +139,9 @@ def text_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
                     continue
                 sizes = np.array([len(raw[k]) for k in long], dtype=np.int64)
                 data = np.frombuffer(b"".join(raw[k] for k in long), dtype=np.uint8)
-                which, start, count, g, r = runs(data, np.cumsum(sizes) - sizes, sizes)
+                which, start, ahead, count, g, r = runs(data, np.cumsum(sizes) - sizes, sizes)
                 of = long[which]
-                pos = (start << _COUNT_BITS) | count
+                pos = (start << _START_BITS) | (ahead << _COUNT_BITS) | count
                 doc, mark = ids[of], own[of]
                 first, again = _first_of_equal(g, r, doc, mark, pos)
                 for picked, repeats in ((first, False), (again, True)):
@@ -272,19 +281,19 @@ SPANS = "d bigint, t bigint, start bigint, count bigint"
 
 
 def _spans(d: np.ndarray, t: np.ndarray, pos: np.ndarray, shift: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    start = (pos >> _COUNT_BITS) + shift
+    start = (pos >> _START_BITS) + shift
     return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(start), pa.array(count)], ["d", "t", "start", "count"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """``(g, d, t, pos, bytes)`` of the runs of ``(d, t, runs, packed)``."""
+    """``(g, d, t, pos, bytes)`` of the runs, or blocks, of ``(d, t, runs, packed)``."""
     tool = zstandard.ZstdDecompressor()
     for batch in batches:
         for d, t, runs_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             data = tool.decompress(data.as_py())
             for run in runs_.as_py():
                 pos = run["pos"]
-                start, count = pos >> _COUNT_BITS, pos & ((1 << _COUNT_BITS) - 1)
+                start, count = pos >> _START_BITS, pos & _COUNT
                 yield run["g"], d, t, pos, data[start : start + count + LENGTH - 1]
 
 
@@ -294,7 +303,7 @@ def _with_texts(docs: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def _run_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """``(g, d, t, pos, bytes)`` of the open runs."""
+    """``(g, d, t, pos, bytes)`` of the open blocks."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -315,17 +324,45 @@ def _run_bytes(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return _with_texts(docs, open_).mapInArrow(fetch, "g bigint, d bigint, t bigint, pos bigint, bytes binary")
 
 
+def _blocks(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """The blocks of the open runs, in the shape of ``text_runs``: the hash of the core takes the place of the owner's."""
+
+    def deal(g: int, d: int, t: int, pos: int, piece: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+        start, owner, count = pos >> _START_BITS, pos >> _COUNT_BITS & _COUNT, pos & _COUNT
+        first = 0
+        while first < count:
+            ahead = owner - first
+            core = owner - ahead // BLOCK * BLOCK  # where the last string of a whole block would begin
+            end = min(core + 1, count)
+            common = xxhash.xxh3_64_intdigest(piece[core : core + LENGTH - BLOCK + 1], ahead // BLOCK)
+            own = xxhash.xxh3_64_intdigest(piece[first : end + LENGTH - 1], ahead)
+            yield common, own, d, t, (start + first) << _START_BITS | ahead << _COUNT_BITS | (end - first)
+            first = end
+
+    return _dealt(docs, open_, deal)
+
+
 def _single_strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """Each string of the open runs by itself, in the shape of ``text_runs``: two hashes of it take the place of those of
-    the owner and the run. A block of strings keeps the first of equal ones."""
+    """Each string of the open blocks by itself, in the shape of ``text_runs``: two hashes of it take the place of those of
+    the owner and the run."""
+
+    def deal(g: int, d: int, t: int, pos: int, piece: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+        start = pos >> _START_BITS
+        for k in range(pos & _COUNT):
+            h = xxhash.xxh3_128_intdigest(piece[k : k + LENGTH])
+            yield h >> 64, h & 0xFFFFFFFFFFFFFFFF, d, t, (start + k) << _START_BITS | 1
+
+    return _dealt(docs, open_, deal)
+
+
+def _dealt(docs: DataFrame, open_: DataFrame, deal: Callable) -> DataFrame:
+    """What ``deal`` makes of the open runs or blocks: ``(g, r, d, t, pos)`` with unsigned hashes. Of the rows that a task
+    holds together, ``again`` marks those that repeat one."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, int]] = []
-        for _, d, t, pos, piece in _pieces(batches):
-            start = pos >> _COUNT_BITS
-            for k in range(pos & ((1 << _COUNT_BITS) - 1)):
-                h = xxhash.xxh3_128_intdigest(piece[k : k + LENGTH])
-                held.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, d, t, (start + k) << _COUNT_BITS | 1))
+        for piece in _pieces(batches):
+            held.extend(deal(*piece))
             if len(held) > 200_000:
                 yield from _settled(held)
                 held = []
@@ -391,23 +428,26 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     settle_runs(text_runs(docs, id, text)).write.parquet(path)
     settled = spark.read.parquet(path)
     texts = docs.select(F.col(id).alias("id"), *_document(id, text), packed(text).alias("packed"))
-    # owners with many open runs are few: no more than the open runs by HOT_RUNS
-    open_ = settled.where("open").select("g", "d", "t", "pos")
+    sources = texts.drop("id")
+    path = scratch_path(spark, "blocks")
+    settle_runs(_blocks(sources, settled.where("open").select("g", "d", "t", "pos"))).write.parquet(path)
+    blocks_ = spark.read.parquet(path)
+    # cores with many open blocks are few: no more than the open blocks by HOT_RUNS
+    open_ = blocks_.where("open").select("g", "d", "t", "pos")
     counts = open_.groupBy("g").count().where(F.col("count") > HOT_RUNS).select("g")
-    path = scratch_path(spark, "hot-owners")
+    path = scratch_path(spark, "hot-cores")
     counts.write.parquet(path)
     hot = spark.read.parquet(path)
     single, meeting = open_.join(F.broadcast(hot), "g", "left_semi"), open_.join(F.broadcast(hot), "g", "left_anti")
     shares = max(1, -(-meeting.count() // (SHARE_RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    sources = texts.drop("id")
-    ends = settled.where("NOT open").drop("open")
+    ends = settled.unionByName(blocks_).where("NOT open").drop("open")
     if not hot.isEmpty():
         ends = ends.unionByName(settle_runs(_single_strings(sources, single)).where("NOT open").drop("open"))
     whole = ends.select(
         "d",
         "t",
-        F.shiftrightunsigned("pos", _COUNT_BITS).alias("start"),
-        F.col("pos").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)).alias("count"),
+        F.shiftrightunsigned("pos", _START_BITS).alias("start"),
+        F.col("pos").bitwiseAND(F.lit(_COUNT)).alias("count"),
     )
     spans = whole.unionByName(open_spans(_run_bytes(sources, meeting), shares))
     of = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "count")).alias("spans"))

@@ -160,6 +160,24 @@ def test_an_owner_with_many_runs_is_dealt_by_string(docs, monkeypatch):
     assert single[0].count() > 50
 
 
+def test_runs_of_a_hot_owner_are_dealt_in_few_rows(docs, monkeypatch):
+    monkeypatch.setattr(suffix_index, "HOT_RUNS", 1000)
+    pick = random.Random(23)
+    shared, opened, rows = "".join(chr(pick.randrange(33, 127)) for _ in range(90)), [], []
+    texts = ["".join(chr(pick.randrange(33, 127)) for _ in range(60)) + shared + "".join(chr(pick.randrange(33, 127)) for _ in range(60)) for _ in range(1100)]
+    texts += [x[40:] for x in texts[:20]]
+    with_texts, settle = suffix_index._with_texts, suffix_index.settle_runs
+    monkeypatch.setattr(suffix_index, "_with_texts", lambda d, o: opened.append(o) or with_texts(d, o))
+    monkeypatch.setattr(suffix_index, "settle_runs", lambda found: rows.append(found) or settle(found))
+    want = plain_cut(list(enumerate(texts)))
+    for r in suffix_index.cut_repeats(docs(texts)).collect():
+        removed = sum(s["end"] - s["start"] for s in r["spans"])
+        assert (r["n_bytes"], removed, len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) == want[r["doc_id"]]
+    runs = opened[0].count()
+    assert runs > 1000  # one owner has over a thousand
+    assert sum(found.count() for found in rows[1:]) < 8 * runs  # before: a row for each of up to 77 strings
+
+
 def test_index_family_keeps_few_levels():
     family = suffix_index.IndexFamily()
     pick = random.Random(2)
