@@ -230,6 +230,13 @@ def test_templates_find_items_dense_with_placeholders(docs, spark):
     assert hits == {(0, 0), (1, 1), (2, 0), (3, 1)}
 
 
+def test_texts_are_cut_into_windows_once(docs, spark):
+    items = spark.createDataFrame([(1, QUESTION)], "item_id bigint, text string")
+    hits = templates.benchmark_hits(docs([QUESTION, None, "something else", QUESTION.replace("Alice", "Bob")]), items)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow cut(doc") < 2
+    assert sorted((r["doc_id"], r["matched"], r["replaced"]) for r in hits.collect()) == [(0, 20, 0), (3, 20, 1)]
+
+
 def test_clean_rows_stay_beside_contaminated_ones_of_their_identifier(docs, spark):
     items = spark.createDataFrame([(1, QUESTION)], "item_id bigint, text string")
     half = len(QUESTION) // 2
