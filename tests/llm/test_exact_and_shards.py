@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from lshthemes.llm import token_records
 from lshthemes.llm.exact_dedup import drop_exact_copies, exact_groups
 from lshthemes.llm.sharding import assign_shards
 from lshthemes.llm.token_records import frame, token_layout, unframe, write_token_records
@@ -80,6 +81,25 @@ def test_records_are_checked():
             unframe(damaged)
 
 
+def test_chunks_are_encoded_many_to_a_text():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    model = token_records._Library(path)
+    library, calls = model.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    model.library = Counted()
+    words = [f"w{k:x}{c}" for k in range(700) for c in ("", "<|endoftext", "|>", "<|", "é🙂", "  ", "\n\n")]
+    texts = [" ".join(words[k : k + 90]) for k in range(0, len(words), 90)] + ["", "a<|endoftext|>b", "<|endoftext|", "\x00 \x00"]
+    got = model.encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, model.width).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(calls) < len(words) / 20  # before: a text for each chunk
+
+
 def test_token_layout(docs, spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
